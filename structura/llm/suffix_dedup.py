@@ -39,8 +39,10 @@ V, D = 133, (0, 1, 3, 12, 20, 34, 38, 81, 88, 94, 104, 109)
 GRAM = 200
 #: Bytes that are hashed at a time, and entries that a task gathers before it sends them.
 STRETCH, HELD = 1 << 19, 1 << 20
-#: Names that more tasks than this have seen are open without asking: tasks combine what repeats within them.
+#: Names that occur more often than this are open without asking: no task is asked about a name more often.
 CROWD = 64
+#: Flags of an entry: repeats by name; by both names; occurs often; is only reported on. From COUNT on, its number here.
+NEAR, FULL, LOUD, TOLD, COUNT = 1, 2, 4, 8, 16
 _BASES = (0x9E3779B97F4A7C15 | 1, 0xD6E8FEB86659FD93 | 1)
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -186,25 +188,28 @@ class _Exchange:
             count = 0
             name, second, key, position = (c[np.lexsort((columns[1], columns[0]))] for c in columns)
             near, full = _repeats(name, second)
-            known = near.astype(np.uint8) + 2 * full
+            begins = np.concatenate(([0], np.flatnonzero(name[1:] != name[:-1]) + 1))
+            sizes = np.diff(np.concatenate((begins, [len(name)])))
+            known = near * NEAR + full * FULL + np.repeat(sizes > CROWD, sizes) * LOUD
+            count = np.repeat(np.minimum(sizes, CROWD + 1), sizes)
             # Of a name that repeats here, report all and send one of each second name on, so that others hear of it.
             first = np.concatenate(([True], (name[1:] != name[:-1]) | (second[1:] != second[:-1])))
-            yield from self._rows(name[first], second[first], key[first], position[first], known[first])
+            yield from self._rows(name[first], second[first], key[first], position[first], known[first] + count[first] * COUNT)
             rest = ~first
             if rest.any():
-                yield from self._rows(name[rest], second[rest], key[rest], position[rest], known[rest] + 4)
+                yield from self._rows(name[rest], second[rest], key[rest], position[rest], known[rest] + TOLD)
 
         return add, flush
 
     def _rows(self, name, second, key, position, known) -> Iterator[pa.RecordBatch]:
         # What is only reported (4 and more) needs no meeting by name, but names keep the dealing even.
         bucket = ((name * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(self.parts)
-        if known[0] >= 4:
+        if known[0] & TOLD:
             bucket = key.view(np.uint64) % np.uint64(self.parts)
         order = np.argsort(bucket, kind="stable")
         bucket = bucket[order]
         firsts = np.concatenate(([0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]))
-        arrays = [c[order] for c in (name, second, key, position.astype(np.uint32), known.astype(np.uint8))]
+        arrays = [c[order] for c in (name, second, key, position.astype(np.uint32), known.astype(np.uint16))]
         blobs = [[c[a:b].tobytes() for a, b in zip(firsts[:-1], firsts[1:])] for c in arrays]
         yield pa.RecordBatch.from_arrays([pa.array(bucket[firsts[:-1]].astype(np.int32)), *[pa.array(b, pa.binary()) for b in blobs]], names=self.NAMES)
 
@@ -240,9 +245,9 @@ class _Exchange:
             first = begins[opened]
             told = np.flatnonzero(opened[group] & ~is_open)
             ask = np.flatnonzero(~opened[group])
-            for at, known in ((first, 1), (ask, 0), (told, 4)):
+            for at, known in ((first, NEAR), (ask, 0), (told, TOLD)):
                 if len(at):
-                    yield from self._rows(name[at], np.zeros(len(at), np.uint64), key[at], position[at], np.full(len(at), known, np.uint8))
+                    yield from self._rows(name[at], np.zeros(len(at), np.uint64), key[at], position[at], np.full(len(at), known))
 
         return add, flush
 
@@ -259,11 +264,8 @@ def _repeats(name: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return spread(same), spread(both)
 
 
-FULL, LOUD = 1, 2
-
-
 def _received(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, ...]:
-    kinds = {"name": np.uint64, "second": np.uint64, "key": np.int64, "position": np.uint32, "known": np.uint8}
+    kinds = {"name": np.uint64, "second": np.uint64, "key": np.int64, "position": np.uint32, "known": np.uint16}
     columns: dict[str, list[np.ndarray]] = {c: [np.zeros(0, kind)] for c, kind in kinds.items()}
     for batch in batches:
         for c, kind in kinds.items():
@@ -284,8 +286,8 @@ def _by_key(key: np.ndarray, arrays: list[np.ndarray], names: list[str]) -> Iter
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     name, second, key, position, known = _received(batches)
-    near, full, loud = (known & 1).astype(bool), (known & 2).astype(bool), (known & 1).astype(bool)
-    at = np.flatnonzero(known < 4)
+    near, full, loud = ((known & flag) > 0 for flag in (NEAR, FULL, LOUD))
+    at = np.flatnonzero((known & TOLD) == 0)
     at = at[np.lexsort((second[at], name[at]))]
     n, f = _repeats(name[at], second[at])
     # One that repeats within another task makes all its equals repeated, and is itself already.
@@ -293,8 +295,9 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     full[at] |= f
     if len(at):
         begins = np.concatenate(([0], np.flatnonzero(name[at][1:] != name[at][:-1]) + 1))
-        sizes = np.diff(np.concatenate((begins, [len(at)])))
-        loud[at] |= np.repeat(sizes > CROWD, sizes)
+        # Entries of one task and name, with other second names, each hold its count; too high a sum does no harm.
+        times = np.add.reduceat((known[at] // COUNT).astype(np.int64), begins)
+        loud[at] |= np.repeat(times > CROWD, np.diff(np.concatenate((begins, [len(at)]))))
     keep = np.flatnonzero(near)
     keep = keep[np.lexsort((position[keep], key[keep]))]
     yield from _by_key(key[keep], [position[keep], name[keep], (full[keep] * FULL + loud[keep] * LOUD).astype(np.uint8)], ["near", "names", "flags"])
@@ -302,8 +305,8 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     name, _, key, position, known = _received(batches)
-    loud = np.unique(name[known == 1])
-    keep = np.flatnonzero((known == 4) | ((known == 0) & np.isin(name, loud)))
+    opened = np.unique(name[known == NEAR])
+    keep = np.flatnonzero((known == TOLD) | ((known == 0) & np.isin(name, opened)))
     keep = keep[np.lexsort((position[keep], key[keep]))]
     yield from _by_key(key[keep], [position[keep]], ["opened"])
 
