@@ -1,10 +1,11 @@
 """Language-model scores from a subword lattice.
 
 The pieces of an existing vocabulary span a lattice over each word, with a blank mark before it. A forward recursion in log
-space sums over all segmentations, so a word's probability is marginal, not that of one best cut. Piece weights start from
-the vocabulary's scores (ranks, as a Zipf law) and are re-estimated by expectation-maximisation over the distinct words of
-the training rows. Words seen in training have one more arc over their whole length with an absolutely discounted share;
-the mass set free goes to the lattice. Both parts and the end token make a proper distribution over texts.
+space sums over all segmentations, so a word's probability is marginal, not that of one best cut. Piece weights are how
+often the vocabulary's own scores choose each piece over the distinct words of the training rows, which rounds of
+expectation-maximisation may refine. Words seen in training have one more arc over their whole length with an absolutely
+discounted share; the mass set free goes to the lattice. A share of each token's probability that rises with its position
+repeats the document's earlier words. All parts and the end token make a proper distribution over texts.
 
 Counts are over all training documents. Scoring looks the most frequent words up in a broadcast table of a fixed number of
 rows; all other words of a document meet the full word table in a join.
@@ -28,10 +29,12 @@ from pyspark.sql import functions as F
 
 from structura.llm.common import Scratch, byte_views, crc_mod, shuffle_partitions, texts
 
-#: Rows of the broadcast word table, and bytes of the longest word in it: the bound of what is broadcast.
+#: Rows of the broadcast word table at most, and bytes of the longest word in it: the bound of what is broadcast.
 HOT, HOT_BYTES = 300_000, 32
-#: Rounds of expectation-maximisation, the Zipf law's offset, and the count that every piece has before it.
-ROUNDS, OFFSET, PRIOR = 1, 3.0, 0.01
+#: Rounds of expectation-maximisation, the Zipf law's offset for an empty training set, and each piece's count before any.
+ROUNDS, OFFSET, PRIOR = 0, 3.0, 0.01
+#: The share that repeats earlier words: REPEAT * t / (t + RAMP) after t words.
+REPEAT, RAMP = 0.25, 30.0
 #: A task's counter is emptied at so many distinct words.
 FLUSH = 400_000
 LOG10 = math.log(10.0)
@@ -50,10 +53,15 @@ class Pieces:
 
 
 @functools.lru_cache(maxsize=2)
-def _vocabulary(path: str) -> tuple[tuple[str, ...], tuple[float, ...], tuple[bool, ...]]:
+def _processor(path: str):
     import sentencepiece
 
-    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    return sentencepiece.SentencePieceProcessor(model_file=path)
+
+
+@functools.lru_cache(maxsize=2)
+def _vocabulary(path: str) -> tuple[tuple[str, ...], tuple[float, ...], tuple[bool, ...]]:
+    sp = _processor(path)
     n = sp.get_piece_size()
     usable = tuple(not (sp.is_control(k) or sp.is_unknown(k)) for k in range(n))
     return tuple(sp.id_to_piece(k) for k in range(n)), tuple(sp.get_score(k) for k in range(n)), usable
@@ -128,6 +136,14 @@ def log_probability(word: str, p: Pieces) -> float:
     return alpha[n]
 
 
+def segment_counts(words: list[str], path: str) -> np.ndarray:
+    """Uses of each piece when the vocabulary's scores segment each word once."""
+    sp, n = _processor(path), len(_vocabulary(path)[0])
+    ids = sp.encode(words, num_threads=1)
+    flat = np.fromiter((k for own in ids for k in own), np.int64)
+    return np.bincount(flat, minlength=n).astype(np.float64)
+
+
 def expected_counts(words: list[str], p: Pieces) -> np.ndarray:
     """Expected uses of each piece over the segmentations of the words, each word once: forward and backward in log space."""
     counts = np.zeros(p.size)
@@ -215,29 +231,58 @@ def word_counts(rows: DataFrame, parts: int) -> DataFrame:
 
 
 def fit(counts: DataFrame, path: str, rounds: int = ROUNDS) -> np.ndarray:
-    """Log weights of the pieces after some rounds over the distinct training words; one row a piece and task is summed."""
-    weights = initial_weights(path)
+    """Log weights of the pieces from the distinct training words; what is summed is one row a piece and task."""
     usable = np.array(_vocabulary(path)[2])
-    for _ in range(rounds):
-        shared = counts.sparkSession.sparkContext.broadcast(weights.astype(np.float64).tobytes())
+    weights = None
+    for _ in range(rounds + 1):
+        raw = None if weights is None else weights.tobytes()
 
-        def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            p = build(path, np.frombuffer(shared.value))
-            total = np.zeros(p.size)
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            p = None if raw is None else build(path, np.frombuffer(raw))
+            total = np.zeros(len(_vocabulary(path)[0]))
             for batch in batches:
-                total += expected_counts([w.decode("utf-8", "replace") for w in batch.column("word").to_pylist()], p)
+                words = [w.decode("utf-8", "replace") for w in batch.column("word").to_pylist()]
+                total += segment_counts(words, path) if p is None else expected_counts(words, p)
             k = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(total[k])], names=["piece", "n"])
 
-        found = counts.where("c > 0").select("word").mapInArrow(expect, "piece int, n double").groupBy("piece").agg(F.sum("n").alias("n")).orderBy("piece").collect()
+        found = counts.where("c > 0").select("word").mapInArrow(count, "piece int, n double").groupBy("piece").agg(F.sum("n").alias("n")).orderBy("piece").collect()
         total = np.where(usable, PRIOR, 0.0)
         for r in found:
-            total[r.piece] += r.n
+            if usable[r.piece]:
+                total[r.piece] += r.n
         with np.errstate(divide="ignore"):
             weights = np.log(total / total.sum())
     return weights
 
 
+def repeat_share(t: np.ndarray) -> np.ndarray:
+    return REPEAT * t / (t + RAMP)
+
+
+def ranks(ids: np.ndarray) -> np.ndarray:
+    """How often each value occurred before."""
+    order = np.argsort(ids, kind="stable")
+    own = ids[order]
+    begins = np.concatenate(([0], np.flatnonzero(np.diff(own)) + 1)) if len(own) else np.zeros(0, np.int64)
+    out = np.empty(len(ids), np.int64)
+    out[order] = np.arange(len(ids)) - np.repeat(begins, np.diff(np.concatenate((begins, [len(ids)]))))
+    return out
+
+
+def _cutoff(words: DataFrame, most: int) -> int:
+    """The least count that at most so many words reach, to an eighth of an octave: from a histogram of a few hundred rows."""
+    step = F.floor(F.log2("c") * 8).cast("int")
+    bins = words.where((F.col("c") > 0) & (F.length("word") <= HOT_BYTES)).groupBy(step.alias("k")).agg(F.count("*").alias("n"), F.min("c").alias("least"))
+    cutoff, total = 1 << 62, 0
+    for r in sorted(bins.collect(), key=lambda r: -r.k):
+        total += r.n
+        if total > most:
+            break
+        cutoff = r.least
+    return cutoff
+
+
 def language_scores(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, hot: int = HOT) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: one row per input row.
 
@@ -268,7 +313,7 @@ def language_scores(df: DataFrame, path: str, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("c"), pa.array(lp, pa.float64())], names=["word", "c", "lp"])
 
     words = scratch.save(counts.mapInArrow(rate, "word binary, c long, lp double"), "words")
-    top = words.where(F.length("word") <= HOT_BYTES).orderBy(F.desc("c"), "word").limit(hot).toPandas()
+    top = words.where((F.length("word") <= HOT_BYTES) & (F.col("c") >= _cutoff(words, hot))).toPandas()
     table = spark.sparkContext.broadcast(pickle.dumps((b"\n".join(map(bytes, top["word"])), top["c"].to_numpy(np.int64), top["lp"].to_numpy(np.float64))))
     token = uuid.uuid4().hex  # a Python worker may serve several queries
     end_base, end_score, end_known = totals.base(documents), totals.log10(documents, end), int(documents > 0)
@@ -277,16 +322,22 @@ def language_scores(df: DataFrame, path: str, id_col: str = "doc_id", text_col:
         from pyspark import TaskContext
 
         part, n = TaskContext.get().partitionId(), 0
-        known, base, lp = _table(table)
+        known, base, p = _table(table)
         for batch in batches:
             out = []
             for doc_id, held, v in zip(batch.column("doc_id").to_pylist(), batch.column("held_out").to_pylist(), byte_views(batch.column("text"))):
                 tokens = bytes(v).lower().split()
                 at = np.fromiter(map(known.get, tokens, repeat(-1)), np.int64, len(tokens))
-                hit = at[at >= 0]
-                rare = Counter([tokens[k] for k in np.flatnonzero(at < 0).tolist()])
+                t = np.flatnonzero(at >= 0)
+                hit = at[t]
+                share = repeat_share(t)
+                total = float(np.log10((1 - share) * p[hit] + share * ranks(hit) / np.maximum(t, 1)).sum())
+                rare: dict[bytes, list[int]] = {}
+                for k in np.flatnonzero(at < 0).tolist():
+                    rare.setdefault(tokens[k], []).append(k)
+                last = end_score + math.log10(1 - float(repeat_share(len(tokens))))
                 seen = int((base[1][hit] > 0).sum())
-                out.append((part, n, doc_id, held, len(tokens) + 1, seen + end_known, float(base[0][hit].sum()) + end_base, float(lp[hit].sum()) + end_score, list(rare), list(rare.values())))
+                out.append((part, n, doc_id, held, len(tokens) + 1, seen + end_known, float(base[0][hit].sum()) + end_base, total + last, list(rare), list(rare.values())))
                 n += 1
             columns = list(zip(*out)) if out else [[]] * 10
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, fields)], names=[f for f, _ in fields])
@@ -297,15 +348,18 @@ def language_scores(df: DataFrame, path: str, id_col: str = "doc_id", text_col:
             _CACHE.clear()
             _CACHE["id"] = token
             b = np.log10((c + 0.1) / (totals.tokens + 0.1 * (totals.distinct + 1)))
-            _CACHE["table"] = ({w: k for k, w in enumerate(joined.split(b"\n"))} if len(c) else {}, (b, c), lp)
+            _CACHE["table"] = ({w: k for k, w in enumerate(joined.split(b"\n"))} if len(c) else {}, (b, c), 10.0**lp)
         return _CACHE["table"]
 
-    fields = [("part", pa.int32()), ("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("rare", pa.list_(pa.binary())), ("times", pa.list_(pa.int32()))]
-    found = scratch.save(rows.mapInArrow(score, "part int, row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<binary>, times array<int>"), "scored")
-    rare = found.select("part", "row", F.explode(F.arrays_zip("rare", "times")).alias("w")).select("part", "row", F.col("w.rare").alias("word"), F.col("w.times").alias("times"))
+    fields = [("part", pa.int32()), ("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("rare", pa.list_(pa.binary())), ("at", pa.list_(pa.list_(pa.int32())))]
+    found = scratch.save(rows.mapInArrow(score, "part int, row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<binary>, at array<array<int>>"), "scored")
+    rare = found.select("part", "row", F.explode(F.arrays_zip("rare", "at")).alias("w")).select("part", "row", F.col("w.rare").alias("word"), F.col("w.at").alias("at"))
     base = F.log10((F.col("c") + 0.1) / F.lit(totals.tokens + 0.1 * (totals.distinct + 1)))
+    share = lambda t: F.lit(REPEAT) * t / (t + F.lit(RAMP))
+    # The first occurrence in log space: a long word's probability may be too small for a double.
+    each = F.transform("at", lambda t, j: F.when(j == 0, F.col("lp") + F.log10(1 - share(t))).otherwise(F.log10((1 - share(t)) * F.pow(F.lit(10.0), F.col("lp")) + share(t) * j / t)))
     sums = rare.join(words, "word").groupBy("part", "row").agg(
-        F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("k"), F.sum(base * F.col("times")).alias("b"), F.sum(F.col("lp") * F.col("times")).alias("s")
+        F.sum(F.when(F.col("c") > 0, F.size("at")).otherwise(0)).alias("k"), F.sum(base * F.size("at")).alias("b"), F.sum(F.aggregate(each, F.lit(0.0), lambda a, x: a + x)).alias("s")
     )
     return found.join(sums, ["part", "row"], "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("k", F.lit(0))).alias("n_known"), F.lit(totals.tokens).cast("long").alias("train_tokens"),
