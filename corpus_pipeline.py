@@ -14,24 +14,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from structura.llm import exact_dedup, packing, simhash, suffix_dedup, toxicity
-from structura.llm.common import shared_dir
+from structura.llm.common import shared_dir, small_batches
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 8: documents that score as toxic go."""
+    small_batches(spark)
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.drop_toxic(docs.select(*COLUMNS), model)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 4: one document of each group of equal texts stays."""
+    small_batches(spark)
     return exact_dedup.exact_dedup(docs.select(*COLUMNS))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 5, on shingles of five words: one document of each component stays, that with the smallest identifier."""
+    small_batches(spark)
     return simhash.near_dedup(docs.select(*COLUMNS), words=5)
 
 
@@ -39,6 +42,7 @@ def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     """Operator 7: bytes of passages that repeat go; a character that a cut splits goes whole. Every document stays."""
     import pyarrow as pa
 
+    small_batches(spark)
     rest = [c for c in COLUMNS if c not in ("doc_id", "text")]
     fields = docs.select(*COLUMNS).schema
 
@@ -61,6 +65,7 @@ def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 6: pieces of at most 2048 tokens in as few sequences as it can."""
+    small_batches(spark)
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 

@@ -26,7 +26,6 @@ from structura.llm.common import shuffle_partitions, texts
 CHUNK, OVERLAP = 1 << 15, 512
 
 
-@functools.lru_cache(maxsize=4)
 def load_ranks(path: str) -> dict[bytes, int]:
     """Ranks from a tiktoken rank file, or from the vocabulary of a byte-level BPE in tokenizers' JSON (ids are ranks there)."""
     if path.endswith(".json"):

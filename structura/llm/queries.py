@@ -7,12 +7,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from structura.llm import bpe, exact_dedup, lattice_lm, merkle, packing, simhash, suffix_dedup, token_counts, toxicity, warc
-from structura.llm.common import Scratch
+from structura.llm.common import Scratch, small_batches
 
 RANKS, TOKENIZER, PIECES = "byte_bpe_50k.tiktoken", "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
