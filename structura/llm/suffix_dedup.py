@@ -127,23 +127,32 @@ def _gathered(flat: np.ndarray, group: list[tuple[int, int, int, int]], length:
     """A group's bytes side by side: (bytes, value of each byte, position of each byte in its value, whether a window starts there)."""
     sizes = np.array([e - s for _, _, s, e in group])
     out = np.concatenate([flat[s:e] for _, _, s, e in group])
-    value = np.repeat(np.array([k for k, *_ in group]), sizes)
     begins = np.cumsum(sizes) - sizes
-    inner = np.arange(len(out)) - np.repeat(begins, sizes)
-    position = inner + np.repeat(np.array([f for _, f, _, _ in group]), sizes)
-    return out, value, position, inner <= np.repeat(sizes - length, sizes)
-
-
-def _in_intervals(value: np.ndarray, position: np.ndarray, intervals: list[np.ndarray]) -> np.ndarray:
-    """Whether each (value, position) lies in one of its value's half-open intervals (n x 2, disjoint, ascending)."""
-    shift = np.int64(1) << np.int64(40)
-    keyed = [iv + np.int64(k) * shift for k, iv in enumerate(intervals) if len(iv)]
-    if not keyed:
-        return np.zeros(len(value), bool)
-    flat = np.concatenate(keyed)
-    at = value.astype(np.int64) * shift + position
-    k = np.searchsorted(flat[:, 0], at, side="right") - 1
-    return (k >= 0) & (at < flat[np.maximum(k, 0), 1])
+    first = np.array([f for _, f, _, _ in group])
+    value = np.repeat(np.array([k for k, *_ in group], np.int32), sizes)
+    position = np.arange(len(out)) + np.repeat(first - begins, sizes)
+    valid = np.zeros(len(out), bool)
+    for b, n in zip(begins.tolist(), (sizes - length + 1).tolist()):
+        valid[b : b + n] = True
+    return out, value, position, valid
+
+
+def _in_intervals(group: list[tuple[int, int, int, int]], intervals: list[np.ndarray], length: int) -> np.ndarray:
+    """Of a group's bytes side by side, the places of windows that start in one of their value's half-open intervals."""
+    begins, ends, at = [], [], 0
+    for k, first, s, e in group:
+        own = intervals[k]
+        if len(own) and e - s >= length:
+            inner = np.clip(own - first, 0, e - s - length + 1) + at
+            begins.append(inner[:, 0])
+            ends.append(inner[:, 1])
+        at += e - s
+    if not begins:
+        return np.zeros(0, np.int64)
+    edge = np.zeros(at + 1, np.int32)
+    np.add.at(edge, np.concatenate(begins), 1)
+    np.add.at(edge, np.concatenate(ends), -1)
+    return np.flatnonzero(np.cumsum(edge[:-1]) > 0)
 
 
 def merged(begin: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -191,10 +200,10 @@ class _Exchange:
             begins = np.concatenate(([0], np.flatnonzero(name[1:] != name[:-1]) + 1))
             sizes = np.diff(np.concatenate((begins, [len(name)])))
             known = near * NEAR + full * FULL + np.repeat(sizes > CROWD, sizes) * LOUD
-            count = np.repeat(np.minimum(sizes, CROWD + 1), sizes)
+            times = np.repeat(np.minimum(sizes, CROWD + 1), sizes)
             # Of a name that repeats here, report all and send one of each second name on, so that others hear of it.
             first = np.concatenate(([True], (name[1:] != name[:-1]) | (second[1:] != second[:-1])))
-            yield from self._rows(name[first], second[first], key[first], position[first], known[first] + count[first] * COUNT)
+            yield from self._rows(name[first], second[first], key[first], position[first], known[first] + times[first] * COUNT)
             rest = ~first
             if rest.any():
                 yield from self._rows(name[rest], second[rest], key[rest], position[rest], known[rest] + TOLD)
@@ -363,7 +372,7 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 own, value, position, valid = _gathered(flat, group, length)
                 at, h = minimizers(own, valid, length)
                 # Windows of neighbouring stretches may choose the same one; it must not count as its own repetition.
-                place = np.unique(value[at] * (1 << 40) + position[at], return_index=True)[1]
+                place = np.unique(value[at].astype(np.int64) * (1 << 40) + position[at], return_index=True)[1]
                 at, h = at[place], h[place]
                 yield from add(h, np.zeros(len(h), np.uint64), keys[value[at]], position[at])
         yield from flush()
@@ -383,9 +392,9 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             reach = [np.stack([iv[:, 0], iv[:, 1] + V - 1], axis=1) for iv in _intervals(batch.column("starts").to_pylist())]
             reach = [merged(iv[:, 0], iv[:, 1]) for iv in reach]
             for group in stretches(bounds, prefix):
-                own, value, position, valid = _gathered(flat, group, prefix)
-                at = np.flatnonzero(valid & chosen[position % V])
-                at = at[_in_intervals(value[at], position[at], reach)]
+                own, value, position, _ = _gathered(flat, group, prefix)
+                at = _in_intervals(group, reach, prefix)
+                at = at[chosen[position[at] % V]]
                 first, other = Names(own), Names(own, 1)
                 size = bounds[value[at] + 1] - bounds[value[at]]
                 whole = (position[at] + length <= size) & (at + length <= len(own))
@@ -416,10 +425,9 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 p = np.sort(np.concatenate((p[_is_open(p, f, size, length)], more)))
                 reach.append(merged(np.maximum(p - V + 1, 0), p + 1))
             for group in stretches(bounds, length):
-                own, value, position, valid = _gathered(flat, group, length)
-                at = np.flatnonzero(valid)
-                at = at[_in_intervals(value[at], position[at], reach)]
+                at = _in_intervals(group, reach, length)
                 if len(at):
+                    own, value, position, _ = _gathered(flat, group, length)
                     yield from add(Names(own).at(at, length), Names(own, 1).at(at, length) & ~np.uint64(1), keys[value[at]], position[at])
         yield from flush()
 
