@@ -81,26 +81,22 @@ class Names:
         return h ^ (h >> np.uint64(29))
 
 
-def _slide(values: np.ndarray, width: int, take: np.ufunc, fill: int) -> np.ndarray:
-    """take (minimum or maximum) over values[s : s + width] for each s, by running extremes within blocks of width."""
-    n = len(values) - width + 1
-    blocks = -(-len(values) // width)
-    padded = np.full(blocks * width, fill, np.uint64)
-    padded[: len(values)] = values
-    grid = padded.reshape(blocks, width)
-    ahead = take.accumulate(grid, axis=1).reshape(-1)
-    back = take.accumulate(grid[:, ::-1], axis=1)[:, ::-1].reshape(-1)
-    return take(back[:n], ahead[width - 1 : width - 1 + n])
+def _slide(values: np.ndarray, width: int, take: np.ufunc) -> np.ndarray:
+    """take (minimum or maximum) over values[s : s + width] for each s: spans double, and two that overlap make the width."""
+    span, out = 1, values
+    while 2 * span <= width:
+        out, span = take(out[:-span], out[span:]), 2 * span
+    return out if span == width else take(out[: len(values) - width + 1], out[width - span :])
 
 
 def minimizers(flat: np.ndarray, valid: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
     """(positions, hashes) of the least GRAM-byte hashes of the valid windows (a flag for each start)."""
     width = length - gram + 1
     h = Names(flat).all(gram)
-    least = _slide(h, width, np.minimum, int(_NONE))
+    least = _slide(h, width, np.minimum)
     least[~valid[: len(least)]] = 0
     padded = np.concatenate((np.zeros(width - 1, np.uint64), least, np.zeros(width - 1, np.uint64)))
-    most = _slide(padded, width, np.maximum, 0)
+    most = _slide(padded, width, np.maximum)
     at = np.flatnonzero(most == h[: len(most)])
     return at, h[at]
 
