@@ -53,8 +53,15 @@ class Scratch:
         return f"{self.root}/{name}"
 
     def save(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+        """Write a table and read it again; the shuffle files that it took are removed once it is there."""
         self.at[name] = path = f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
-        df.write.option("compression", codec).parquet(path)
+        key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+        before = self.spark.conf.get(key, None)
+        self.spark.conf.set(key, "true")
+        try:
+            df.write.option("compression", codec).parquet(path)
+        finally:
+            self.spark.conf.unset(key) if before is None else self.spark.conf.set(key, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:

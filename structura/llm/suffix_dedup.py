@@ -7,10 +7,10 @@ of no matter, so prefixes are named to that depth only:
    is a shift below V that takes both to sampled ones, so two equal windows share sampled suffixes with equal prefixes of
    LENGTH - V + 1 bytes. Sampled suffixes are dealt out by the name of that prefix and sorted by it; neighbours with equal
    names are kept, and those whose names of the whole window agree too are settled.
-2. Open samples. A kept sample is open if a window that reaches it isn't covered by what is settled; so are those that
-   share its name, as one of them may be reached by that window's equal.
+2. Open samples. A kept sample is open if a window that reaches it isn't covered by what is settled. Those that share its
+   name learn how far before the sample such windows start, as one of them may be reached by an equal window.
 3. Remaining suffixes. A window that starts between samples can only repeat if a sampled suffix that it reaches was kept.
-   Windows that reach an open sample are named in full, sorted, and compared with their neighbours.
+   Windows that start so far before an open sample are named in full, sorted, and compared with their neighbours.
 
 Before that, windows are thinned out exactly: each has a minimizer, the least hash of the GRAM-byte strings in it, which
 equal windows share; a window whose minimizer occurs once is dropped, and so most of a corpus never gets to the sort.
@@ -223,14 +223,19 @@ class _Exchange:
         found = sent.repartition(self.parts, "bucket").mapInArrow(_compared, "key long, near binary, names binary, flags binary")
         return found.groupBy("key").agg(*[F.collect_list(c).alias(c) for c in ("near", "names", "flags")])
 
+    def repeated(self, sent: DataFrame, column: str) -> DataFrame:
+        """(key, column): for each key arrays of positions that repeat by both names."""
+        found = sent.repartition(self.parts, "bucket").mapInArrow(_both, f"key long, {column} binary")
+        return found.groupBy("key").agg(F.collect_list(column).alias(column))
+
     def open_sender(self) -> tuple[Callable, Callable]:
-        """As sender, for (name, key, position, whether it is open)."""
+        """As sender, for (name, key, position, least and greatest distance of unsettled windows, flags)."""
         held: list[tuple[np.ndarray, ...]] = []
         count = 0
 
-        def add(name, key, position, is_open) -> Iterator[pa.RecordBatch]:
+        def add(name, key, position, least, most, flags) -> Iterator[pa.RecordBatch]:
             nonlocal count
-            held.append((name, key.astype(np.int64), position.astype(np.int64), is_open))
+            held.append((name, key.astype(np.int64), position.astype(np.int64), least, most, flags))
             count += len(name)
             if count >= HELD:
                 yield from flush()
@@ -242,23 +247,21 @@ class _Exchange:
             columns = [np.concatenate(c) for c in zip(*held)]
             held.clear()
             count = 0
-            name, key, position, is_open = (c[np.argsort(columns[0], kind="stable")] for c in columns)
-            begins = np.concatenate(([0], np.flatnonzero(name[1:] != name[:-1]) + 1))
-            group = np.repeat(np.arange(len(begins)), np.diff(np.concatenate((begins, [len(name)]))))
-            opened = np.maximum.reduceat(is_open.astype(np.uint8), begins).astype(bool)
-            # Of a name with an open member here one goes on for all, and the others learn it at once.
-            first = begins[opened]
-            told = np.flatnonzero(opened[group] & ~is_open)
-            ask = np.flatnonzero(~opened[group])
-            for at, known in ((first, NEAR), (ask, 0), (told, TOLD)):
-                if len(at):
-                    yield from self._rows(name[at], np.zeros(len(at), np.uint64), key[at], position[at], np.full(len(at), known))
+            name, key, position, least, most, flags = (c[np.argsort(columns[0], kind="stable")] for c in columns)
+            # A frequent name is open at any distance; its samples know, and one for each task tells the others.
+            loud = (flags & LOUD) > 0
+            least, most = np.where(loud, 0, least), np.where(loud, V - 1, most)
+            again = np.concatenate(([False], (name[1:] == name[:-1]) & loud[:-1]))
+            at = np.flatnonzero(~(loud & again))
+            if len(at):
+                yield from self._rows(name[at], (least + most * 256).astype(np.uint64)[at], key[at], position[at], loud[at] * NEAR)
 
         return add, flush
 
     def opened(self, sent: DataFrame) -> DataFrame:
-        """(key, opened): positions, not open themselves, that share a name with an open one."""
-        return sent.repartition(self.parts, "bucket").mapInArrow(_opened, "key long, opened binary").groupBy("key").agg(F.collect_list("opened").alias("opened"))
+        """(key, opened, ranges): positions whose names are open, and the least and greatest distance there."""
+        found = sent.repartition(self.parts, "bucket").mapInArrow(_opened, "key long, opened binary, ranges binary")
+        return found.groupBy("key").agg(*[F.collect_list(c).alias(c) for c in ("opened", "ranges")])
 
 
 def _repeats(name: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -308,12 +311,30 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from _by_key(key[keep], [position[keep], name[keep], (full[keep] * FULL + loud[keep] * LOUD).astype(np.uint8)], ["near", "names", "flags"])
 
 
+def _both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in _compared(batches):
+        keys, near, flags = (batch.column(c).to_pylist() for c in ("key", "near", "flags"))
+        full = [np.frombuffer(p, np.uint32)[(np.frombuffer(f, np.uint8) & FULL) > 0].tobytes() for p, f in zip(near, flags)]
+        rows = [(k, p) for k, p in zip(keys, full) if p]
+        if rows:
+            k, p = zip(*rows)
+            yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(p, pa.binary())], names=["key", "full"])
+
+
 def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    name, _, key, position, known = _received(batches)
-    opened = np.unique(name[known == NEAR])
-    keep = np.flatnonzero((known == TOLD) | ((known == 0) & np.isin(name, opened)))
+    name, pair, key, position, known = _received(batches)
+    if not len(name):
+        return
+    order = np.argsort(name, kind="stable")
+    name, pair, key, position, known = (c[order] for c in (name, pair, key, position, known))
+    begins = np.concatenate(([0], np.flatnonzero(name[1:] != name[:-1]) + 1))
+    sizes = np.diff(np.concatenate((begins, [len(name)])))
+    # A sample without unsettled windows has a least distance beyond its greatest.
+    least = np.repeat(np.minimum.reduceat(pair & np.uint64(255), begins), sizes)
+    most = np.repeat(np.maximum.reduceat(pair >> np.uint64(8), begins), sizes)
+    keep = np.flatnonzero((least <= most) & (known == 0))
     keep = keep[np.lexsort((position[keep], key[keep]))]
-    yield from _by_key(key[keep], [position[keep]], ["opened"])
+    yield from _by_key(key[keep], [position[keep], (least + most * np.uint64(256)).astype(np.uint16)[keep]], ["opened", "ranges"])
 
 
 def _positions(column: list) -> list[np.ndarray]:
@@ -407,7 +428,7 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for batch in batches:
             rows = _samples(*(batch.column(c).to_pylist() for c in ("near", "names", "flags")))
             for key, size, (p, n, f) in zip(batch.column("key").to_pylist(), batch.column("size").to_pylist(), rows):
-                yield from add(n, np.full(len(p), key), p, _is_open(p, f, size, length))
+                yield from add(n, np.full(len(p), key), p, *_unsettled(p, f, size, length), f)
         yield from flush()
 
     def remaining(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -417,9 +438,11 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             keys = batch.column("key").to_numpy()
             rows = _samples(*(batch.column(c).to_pylist() for c in ("near", "names", "flags")))
             reach = []
-            for size, (p, _, f), more in zip(np.diff(bounds).tolist(), rows, _positions(batch.column("opened").to_pylist())):
-                p = np.sort(np.concatenate((p[_is_open(p, f, size, length)], more)))
-                reach.append(merged(np.maximum(p - V + 1, 0), p + 1))
+            for (p, _, f), opened, ranges in zip(rows, *(batch.column(c).to_pylist() for c in ("opened", "ranges"))):
+                loud = p[(f & LOUD) > 0]
+                q, r = np.frombuffer(b"".join(opened or ()), np.uint32).astype(np.int64), np.frombuffer(b"".join(ranges or ()), np.uint16).astype(np.int64)
+                begin, end = np.concatenate((loud - V + 1, q - (r >> 8))), np.concatenate((loud + 1, q - (r & 255) + 1))
+                reach.append(merged(np.maximum(begin, 0), np.maximum(end, 0)))
             for group in stretches(bounds, length):
                 at = _in_intervals(group, reach, length)
                 if len(at):
@@ -431,9 +454,8 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for batch in batches:
             out = []
             first = _samples(*(batch.column(c).to_pylist() for c in ("near", "names", "flags")))
-            then = _samples(*(batch.column(c).to_pylist() for c in ("near2", "names2", "flags2")))
-            for (p, _, f), (q, _, g) in zip(first, then):
-                p = np.concatenate((p[(f & FULL) > 0], q[(g & FULL) > 0]))
+            for (p, _, f), q in zip(first, _positions(batch.column("full").to_pylist())):
+                p = np.concatenate((p[(f & FULL) > 0], q))
                 out.append(merged(p, p + length).tobytes() if len(p) else None)
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("doc_id", "text", "carried")] + [pa.array(out, pa.binary())], names=["doc_id", "text", "carried", "spans"])
 
@@ -443,23 +465,32 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     left = thinned.where("starts is not null")
     sampled = scratch.save(exchange.returned(left.select("key", "text", "starts").mapInArrow(sample, exchange.DDL)), "sampled")
     asked = sampled.join(left.select("key", "size"), "key").mapInArrow(ask, exchange.DDL)
-    both = sampled.join(exchange.opened(asked), "key", "left")
-    rest = exchange.returned(left.select("key", "text").join(both, "key").mapInArrow(remaining, exchange.DDL))
-    rest = rest.select("key", *[F.col(c).alias(f"{c}2") for c in ("near", "names", "flags")])
-    found = left.select("key", "doc_id", "text", "carried").join(sampled.join(rest, "key", "full"), "key", "left").drop("key")
+    both = scratch.save(sampled.join(exchange.opened(asked), "key", "left"), "opened")
+    scratch.drop("sampled")
+    rest = scratch.save(exchange.repeated(left.select("key", "text").join(both, "key").mapInArrow(remaining, exchange.DDL), "full"), "rest")
+    found = left.select("key", "doc_id", "text", "carried").join(both.select("key", "near", "names", "flags").join(rest, "key", "full"), "key", "left").drop("key")
     found = found.mapInArrow(spans, f"doc_id long, text string, carried {kind}, spans binary")
     result = thinned.where("starts is null").select("doc_id", "text", "carried", F.lit(None).cast("binary").alias("spans")).unionByName(found)
     return result.withColumnRenamed("carried", carry) if carry else result.drop("carried")
 
 
-def _is_open(p: np.ndarray, flags: np.ndarray, size: int, length: int) -> np.ndarray:
-    """Which samples a window reaches that what is settled doesn't cover, or have names that are open without asking."""
-    settled = merged(p[(flags & FULL) > 0], p[(flags & FULL) > 0] + length)
+def _unsettled(p: np.ndarray, flags: np.ndarray, size: int, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each sample the least and the greatest distance back to a window that what is settled doesn't cover.
+
+    Where there is none, the least is beyond the greatest.
+    """
+    full = p[(flags & FULL) > 0]
+    settled = merged(full, full + length)
     first, last = np.maximum(p - V + 1, 0), np.minimum(p, size - length)
-    # Windows that lie inside one settled span start in [begin, end - length].
-    k = np.searchsorted(settled[:, 0], first, side="right") - 1
-    inside = (k >= 0) & (last <= settled[np.maximum(k, 0), 1] - length) if len(settled) else np.zeros(len(p), bool)
-    return ~(inside | (last < first)) | ((flags & LOUD) > 0)
+    if len(settled):
+        # Windows inside a settled span start in [begin, end - length].
+        begin, end = settled[:, 0], settled[:, 1] - length
+        k = np.searchsorted(begin, first, side="right") - 1
+        first = np.where((k >= 0) & (first <= end[np.maximum(k, 0)]), end[np.maximum(k, 0)] + 1, first)
+        k = np.searchsorted(begin, last, side="right") - 1
+        last = np.where((k >= 0) & (last <= end[np.maximum(k, 0)]), begin[np.maximum(k, 0)] - 1, last)
+    some = first <= last
+    return np.where(some, p - last, 255), np.where(some, p - first, 0)
 
 
 def cut(text: bytes, spans: np.ndarray) -> bytes:

@@ -60,3 +60,14 @@ def test_stretches(spark, rows, docs, monkeypatch):
 
 def test_empty(empty):
     assert S.suffix_dedup(empty).collect() == []
+
+
+def test_crowded_names(spark):
+    """One passage in far more documents than are asked about, cut at any place, with a few contexts that reach further."""
+    rng = random.Random(9)
+    hot, left = words(rng, 200), [words(rng, 12) for _ in range(5)]
+    rows = []
+    for k in range(150):
+        a = rng.randrange(0, 300)
+        rows.append((k, words(rng, rng.randint(0, 20)) + rng.choice(left)[rng.randrange(30) :] * (a == 0 or k % 3 == 0) + hot[a if k % 3 else 0 :][: rng.choice([390, 400, 405, 700])] + words(rng, 5)))
+    assert plain(S.suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(6))) == expected(rows)
