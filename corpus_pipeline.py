@@ -53,12 +53,11 @@ def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
             out = []
             for text, raw in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist()):
                 out.append(suffix_dedup.cut(text.encode(), np.frombuffer(raw, np.int64).reshape(-1, 2)).decode("utf-8", "ignore") if raw else text)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.string()), batch.column("rest")], names=["doc_id", "text", "rest"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.string()), batch.column("carried")], names=["doc_id", "text", "rest"])
 
-    # Other columns ride along with the text as JSON-free structs.
+    # Other columns ride along with the text.
     carried = docs.select("doc_id", "text", F.struct(*rest).alias("rest"))
-    spans = suffix_dedup.repeated_spans(carried, carry="rest")
-    kept = spans.mapInArrow(keep, f"doc_id long, text string, rest {carried.schema['rest'].dataType.simpleString()}")
+    kept = suffix_dedup.repeated_spans(carried, carry="rest", finish=keep, schema=f"doc_id long, text string, rest {carried.schema['rest'].dataType.simpleString()}")
     values = {"doc_id": F.col("doc_id").cast(fields["doc_id"].dataType), "text": F.col("text"), **{c: F.col(f"rest.{c}") for c in rest}, "n_chars": F.length("text").cast(fields["n_chars"].dataType)}
     return kept.select(*[values[c].alias(c) for c in COLUMNS])
 

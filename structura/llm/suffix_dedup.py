@@ -38,7 +38,7 @@ LENGTH = 400
 V, D = 133, (0, 1, 3, 12, 20, 34, 38, 81, 88, 94, 104, 109)
 GRAM = 200
 #: Bytes that are hashed at a time, and entries that a task gathers before it sends them.
-STRETCH, HELD = 1 << 19, 1 << 20
+STRETCH, HELD = 1 << 19, 1 << 19
 #: Names that occur more often than this are open without asking: no task is asked about a name more often.
 CROWD = 64
 #: Flags of an entry: repeats by name; by both names; occurs often; is only reported on. From COUNT on, its number here.
@@ -62,8 +62,9 @@ class Names:
     """Names of any substring of some bytes, by prefix sums."""
 
     def __init__(self, flat: np.ndarray, which: int = 0):
-        # Rounded up, so that few table sizes are ever made.
-        values, power, self.inverse = _tables(which, -(-max(len(flat), 1) // STRETCH) * STRETCH + 2 * LENGTH)
+        # A group's size is below two stretches and a window; longer bytes, in tests, get tables of their own.
+        usual = 2 * STRETCH + 2 * LENGTH
+        values, power, self.inverse = _tables(which, usual if len(flat) <= usual else len(flat))
         self.sums = np.zeros(len(flat) + 1, np.uint64)
         np.cumsum(values[flat] * power[: len(flat)], out=self.sums[1:])
 
@@ -366,11 +367,16 @@ def _keyed(df: DataFrame, id_col: str, text_col: str, carry: str | None, scratch
     return rows.select("key", "doc_id", "text", "carried")
 
 
-def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, carry: str | None = None) -> DataFrame:
-    """(doc_id, text, spans, and the column that carry names): a row per input row; spans (binary) holds the byte ranges to remove as pairs of 64-bit integers.
+def repeated_spans(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, carry: str | None = None, finish: Callable | None = None, schema: str = ""
+) -> DataFrame:
+    """(doc_id, text, spans, and as `carried` the column that carry names): a row per input row; spans (binary) holds the byte ranges to remove as pairs of 64-bit integers.
 
     Null for texts without any. A null text is empty. Rows that repeat in full are occurrences of their own. Matches never
     cross rows and are judged on the texts as they are given. Empty table: no rows.
+
+    finish, if given, is applied to the batches of these columns where they are made, and returns batches of schema: a
+    second Python stage after this one would take a second worker for each task.
     """
     spark = df.sparkSession
     parts = shuffle_partitions(spark)
@@ -469,9 +475,10 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     scratch.drop("sampled")
     rest = scratch.save(exchange.repeated(left.select("key", "text").join(both, "key").mapInArrow(remaining, exchange.DDL), "full"), "rest")
     found = left.select("key", "doc_id", "text", "carried").join(both.select("key", "near", "names", "flags").join(rest, "key", "full"), "key", "left").drop("key")
-    found = found.mapInArrow(spans, f"doc_id long, text string, carried {kind}, spans binary")
-    result = thinned.where("starts is null").select("doc_id", "text", "carried", F.lit(None).cast("binary").alias("spans")).unionByName(found)
-    return result.withColumnRenamed("carried", carry) if carry else result.drop("carried")
+    other = thinned.where("starts is null").select("doc_id", "text", "carried", F.lit(None).cast("binary").alias("spans"))
+    if finish is None:
+        return other.unionByName(found.mapInArrow(spans, f"doc_id long, text string, carried {kind}, spans binary"))
+    return other.mapInArrow(finish, schema).unionByName(found.mapInArrow(lambda batches: finish(spans(batches)), schema))
 
 
 def _unsettled(p: np.ndarray, flags: np.ndarray, size: int, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -512,7 +519,7 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             columns = list(zip(*rows)) if rows else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, kinds)], names=[n for n, _ in kinds])
 
-    return repeated_spans(df, id_col, text_col, length).mapInArrow(digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return repeated_spans(df, id_col, text_col, length, finish=digest, schema="doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def brute_force(texts: list[str], length: int = LENGTH) -> list[list[tuple[int, int]]]:
