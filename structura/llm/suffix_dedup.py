@@ -15,8 +15,8 @@ of no matter, so prefixes are named to that depth only:
 Before that, windows are thinned out exactly: each has a minimizer, the least hash of the GRAM-byte strings in it, which
 equal windows share; a window whose minimizer occurs once is dropped, and so most of a corpus never gets to the sort.
 
-A name is a pair of 64-bit polynomial hashes, of which equal strings have equal ones; a false match takes a 128-bit
-collision. Names come from prefix sums, so they cost the same for any depth. Tasks exchange arrays, not a row a suffix: a
+A name is a pair of polynomial hashes of 64 and 32 bits, of which equal strings have equal ones; a false match takes a
+96-bit collision. Names come from prefix sums, so they cost the same for any depth. Tasks exchange arrays, not a row a suffix: a
 task combines what it has seen itself, so a passage in a third of all documents moves once from each task.
 """
 
@@ -44,7 +44,7 @@ CROWD = 64
 #: Flags of an entry: repeats by name; by both names; occurs often; is only reported on. From COUNT on, its number here.
 NEAR, FULL, LOUD, TOLD, COUNT = 1, 2, 4, 8, 16
 _BASES = (0x9E3779B97F4A7C15 | 1, 0xD6E8FEB86659FD93 | 1)
-_NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
+_NONE = np.uint32(0xFFFFFFFF)
 
 
 @functools.lru_cache(maxsize=4)
@@ -82,6 +82,11 @@ class Names:
         return h ^ (h >> np.uint64(29))
 
 
+def _short(h: np.ndarray) -> np.ndarray:
+    """The upper half, never _NONE."""
+    return ((h >> np.uint64(32)) & np.uint64(0xFFFFFFFE)).astype(np.uint32)
+
+
 def _slide(values: np.ndarray, width: int, take: np.ufunc) -> np.ndarray:
     """take (minimum or maximum) over values[s : s + width] for each s: spans double, and two that overlap make the width."""
     span, out = 1, values
@@ -255,7 +260,7 @@ class _Exchange:
             again = np.concatenate(([False], (name[1:] == name[:-1]) & loud[:-1]))
             at = np.flatnonzero(~(loud & again))
             if len(at):
-                yield from self._rows(name[at], (least + most * 256).astype(np.uint64)[at], key[at], position[at], loud[at] * NEAR)
+                yield from self._rows(name[at], (least + most * 256).astype(np.uint32)[at], key[at], position[at], loud[at] * NEAR)
 
         return add, flush
 
@@ -274,7 +279,7 @@ def _repeats(name: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def _received(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, ...]:
-    kinds = {"name": np.uint64, "second": np.uint64, "key": np.int64, "position": np.uint32, "known": np.uint16}
+    kinds = {"name": np.uint64, "second": np.uint32, "key": np.int64, "position": np.uint32, "known": np.uint16}
     columns: dict[str, list[np.ndarray]] = {c: [np.zeros(0, kind)] for c, kind in kinds.items()}
     for batch in batches:
         for c, kind in kinds.items():
@@ -331,11 +336,11 @@ def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     begins = np.concatenate(([0], np.flatnonzero(name[1:] != name[:-1]) + 1))
     sizes = np.diff(np.concatenate((begins, [len(name)])))
     # A sample without unsettled windows has a least distance beyond its greatest.
-    least = np.repeat(np.minimum.reduceat(pair & np.uint64(255), begins), sizes)
-    most = np.repeat(np.maximum.reduceat(pair >> np.uint64(8), begins), sizes)
+    least = np.repeat(np.minimum.reduceat(pair & np.uint32(255), begins), sizes)
+    most = np.repeat(np.maximum.reduceat(pair >> np.uint32(8), begins), sizes)
     keep = np.flatnonzero((least <= most) & (known == 0))
     keep = keep[np.lexsort((position[keep], key[keep]))]
-    yield from _by_key(key[keep], [position[keep], (least + most * np.uint64(256)).astype(np.uint16)[keep]], ["opened", "ranges"])
+    yield from _by_key(key[keep], [position[keep], (least + most * np.uint32(256)).astype(np.uint16)[keep]], ["opened", "ranges"])
 
 
 def _positions(column: list) -> list[np.ndarray]:
@@ -397,7 +402,7 @@ def repeated_spans(
                 # Windows of neighbouring stretches may choose the same one; it must not count as its own repetition.
                 place = np.unique(value[at].astype(np.int64) * (1 << 40) + position[at], return_index=True)[1]
                 at, h = at[place], h[place]
-                yield from add(h, np.zeros(len(h), np.uint64), keys[value[at]], position[at])
+                yield from add(h, np.zeros(len(h), np.uint32), keys[value[at]], position[at])
         yield from flush()
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -425,7 +430,7 @@ def repeated_spans(
                 whole &= value[np.minimum(at + length - 1, len(own) - 1)] == value[at]
                 whole &= position[np.minimum(at + length - 1, len(own) - 1)] == position[at] + length - 1
                 second = np.full(len(at), _NONE)
-                second[whole] = other.at(at[whole], length) & ~np.uint64(1)
+                second[whole] = _short(other.at(at[whole], length))
                 yield from add(first.at(at, prefix), second, keys[value[at]], position[at])
         yield from flush()
 
@@ -437,32 +442,37 @@ def repeated_spans(
                 yield from add(n, np.full(len(p), key), p, *_unsettled(p, f, size, length), f)
         yield from flush()
 
-    def remaining(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        add, flush = exchange.sender()
+    def plan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            flat, bounds = flat_bytes(batch.column("text"))
-            keys = batch.column("key").to_numpy()
+            reach, settled = [], []
             rows = _samples(*(batch.column(c).to_pylist() for c in ("near", "names", "flags")))
-            reach = []
             for (p, _, f), opened, ranges in zip(rows, *(batch.column(c).to_pylist() for c in ("opened", "ranges"))):
-                loud = p[(f & LOUD) > 0]
+                loud, full = p[(f & LOUD) > 0], p[(f & FULL) > 0]
                 q, r = np.frombuffer(b"".join(opened or ()), np.uint32).astype(np.int64), np.frombuffer(b"".join(ranges or ()), np.uint16).astype(np.int64)
                 begin, end = np.concatenate((loud - V + 1, q - (r >> 8))), np.concatenate((loud + 1, q - (r & 255) + 1))
-                reach.append(merged(np.maximum(begin, 0), np.maximum(end, 0)))
+                reach.append(merged(np.maximum(begin, 0), np.maximum(end, 0)).tobytes())
+                settled.append(merged(full, full + length).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(reach, pa.binary()), pa.array(settled, pa.binary())], names=["key", "reach", "settled"])
+
+    def remaining(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        add, flush = exchange.sender()
+        for batch in batches:
+            flat, bounds = flat_bytes(batch.column("text"))
+            keys = batch.column("key").to_numpy()
+            reach = _intervals(batch.column("reach").to_pylist())
             for group in stretches(bounds, length):
                 at = _in_intervals(group, reach, length)
                 if len(at):
                     own, value, position, _ = _gathered(flat, group, length)
-                    yield from add(Names(own).at(at, length), Names(own, 1).at(at, length) & ~np.uint64(1), keys[value[at]], position[at])
+                    yield from add(Names(own).at(at, length), _short(Names(own, 1).at(at, length)), keys[value[at]], position[at])
         yield from flush()
 
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            first = _samples(*(batch.column(c).to_pylist() for c in ("near", "names", "flags")))
-            for (p, _, f), q in zip(first, _positions(batch.column("full").to_pylist())):
-                p = np.concatenate((p[(f & FULL) > 0], q))
-                out.append(merged(p, p + length).tobytes() if len(p) else None)
+            for own, p in zip(_intervals(batch.column("settled").to_pylist()), _positions(batch.column("full").to_pylist())):
+                own = merged(np.concatenate((own[:, 0], p)), np.concatenate((own[:, 1], p + length)))
+                out.append(own.tobytes() if len(own) else None)
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("doc_id", "text", "carried")] + [pa.array(out, pa.binary())], names=["doc_id", "text", "carried", "spans"])
 
     once = exchange.returned(docs.select("key", "text").mapInArrow(thin_out, exchange.DDL))
@@ -471,10 +481,12 @@ def repeated_spans(
     left = thinned.where("starts is not null")
     sampled = scratch.save(exchange.returned(left.select("key", "text", "starts").mapInArrow(sample, exchange.DDL)), "sampled")
     asked = sampled.join(left.select("key", "size"), "key").mapInArrow(ask, exchange.DDL)
-    both = scratch.save(sampled.join(exchange.opened(asked), "key", "left"), "opened")
+    plans = sampled.join(exchange.opened(asked), "key", "left").mapInArrow(plan, "key long, reach binary, settled binary")
+    plans = scratch.save(plans, "plans")
     scratch.drop("sampled")
-    rest = scratch.save(exchange.repeated(left.select("key", "text").join(both, "key").mapInArrow(remaining, exchange.DDL), "full"), "rest")
-    found = left.select("key", "doc_id", "text", "carried").join(both.select("key", "near", "names", "flags").join(rest, "key", "full"), "key", "left").drop("key")
+    reached = left.select("key", "text").join(plans.where(F.octet_length("reach") > 0).select("key", "reach"), "key")
+    rest = scratch.save(exchange.repeated(reached.mapInArrow(remaining, exchange.DDL), "full"), "rest")
+    found = left.select("key", "doc_id", "text", "carried").join(plans.select("key", "settled").join(rest, "key", "full"), "key", "left").drop("key")
     other = thinned.where("starts is null").select("doc_id", "text", "carried", F.lit(None).cast("binary").alias("spans"))
     if finish is None:
         return other.unionByName(found.mapInArrow(spans, f"doc_id long, text string, carried {kind}, spans binary"))
