@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from structura.llm.common import shuffle_partitions, texts
+from structura.llm.common import lean, shuffle_partitions, texts
 
 #: Code points in a chunk, and those by which it reaches into the next.
 CHUNK, OVERLAP = 1 << 15, 512
@@ -110,7 +110,7 @@ def _long_pieces(long: DataFrame, pattern: str, chunk: int, overlap: int, parts:
                 rows.append((row, doc_id, k, [p for p in starts if p < overlap], tail, part))
             yield _batch(rows, fields)
 
-    split = cut.mapInArrow(bounds, "row long, doc_id long, k int, head array<int>, tail array<int>, part string")
+    split = cut.mapInArrow(lean(bounds), "row long, doc_id long, k int, head array<int>, tail array<int>, part string")
     by_doc = Window.partitionBy("row").orderBy("k")
     # array_intersect keeps the order of its first argument, so the first element is the first common position.
     met = split.withColumn("sync", F.when(F.col("k") == 0, 0).otherwise(F.try_element_at(F.array_intersect(F.lag("tail").over(by_doc), "head"), F.lit(1))))
@@ -141,7 +141,7 @@ def encode_documents(
         for batch in batches:
             yield _batch([_summary(i, encode(path, pattern, t), path, pattern, want_ids) for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist())], _FIELDS)
 
-    short = rows.where(~is_long).mapInArrow(whole, _DDL)
+    short = rows.where(~is_long).mapInArrow(lean(whole), _DDL)
 
     # Rows of long texts are told apart by identifier and digest; a row that repeats in full is encoded once and counted.
     long = rows.where(is_long).withColumn("row", F.xxhash64("doc_id", F.sha2(F.col("text").cast("binary"), 256)))
@@ -156,7 +156,7 @@ def encode_documents(
             yield _batch(rows, fields)
 
     shares = pieces.groupBy("row", "doc_id", "piece").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "share"))), lambda x: x["share"]), "").alias("share"))
-    encoded = shares.mapInArrow(encode_pieces, "row long, doc_id long, piece long, ids binary")
+    encoded = shares.mapInArrow(lean(encode_pieces), "row long, doc_id long, piece long, ids binary")
     joined = encoded.groupBy("row", "doc_id").agg(F.array_sort(F.collect_list(F.struct("piece", "ids"))).alias("pieces")).join(copies, "row")
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,7 +166,7 @@ def encode_documents(
                 out += [_summary(d, np.frombuffer(b"".join(p["ids"] for p in pieces), dtype="<u4").tolist(), path, pattern, want_ids)] * n
             yield _batch(out, _FIELDS)
 
-    result = short.unionByName(joined.select("doc_id", "pieces", "copies").mapInArrow(assemble, _DDL))
+    result = short.unionByName(joined.select("doc_id", "pieces", "copies").mapInArrow(lean(assemble), _DDL))
     return result if want_ids else result.drop("ids")
 
 
@@ -178,4 +178,4 @@ def count_tokens(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
             n = [len(encode(path, pattern, t)) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64())], names=["doc_id", "n_tokens"])
 
-    return texts(df, id_col, text_col).mapInArrow(count, "doc_id long, n_tokens long")
+    return texts(df, id_col, text_col).mapInArrow(lean(count), "doc_id long, n_tokens long")

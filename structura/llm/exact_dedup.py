@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from structura.llm.common import BLANK, Scratch, byte_views, shuffle_partitions
+from structura.llm.common import BLANK, Scratch, byte_views, lean, shuffle_partitions
 
 _BLANK = BLANK.encode()
 #: Characters of the normalised text in the sort key. Ties go on to the digest.
@@ -123,7 +123,7 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     spark = df.sparkSession
     scratch = Scratch(spark, "exact")
     rows = _sorted(_keyed(df, id_col, text_col, []), shuffle_partitions(spark))
-    groups = scratch.save(rows.select("_id", "_sha", "_chars", "_text").mapInArrow(_grouped, _GROUPS), "groups")
+    groups = scratch.save(rows.select("_id", "_sha", "_chars", "_text").mapInArrow(lean(_grouped), _GROUPS), "groups")
     joined = groups.join(F.broadcast(_edges(groups)), F.col("edge") & (F.col("text_sha256") == F.col("edge_sha")), "left")
     at_edge = F.col("edge_sha").isNotNull()
     return joined.select(
@@ -163,7 +163,7 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
         if held is not None:
             yield _flagged(held, True, part)
 
-    found = scratch.save(rows.mapInArrow(heads, schema), "heads")
+    found = scratch.save(rows.mapInArrow(lean(heads), schema), "heads")
     seams = found.where("edge").groupBy(F.col("_sha").alias("edge_sha")).agg(F.min("part").alias("edge_part"))
     kept = found.join(F.broadcast(seams), F.col("edge") & (F.col("_sha") == F.col("edge_sha")), "left").where("edge_sha is null or part = edge_part")
     values = {id_col: F.col("_id").cast(df.schema[id_col].dataType), text_col: F.when(~F.col("_null"), F.col("_text"))} | {c: F.col(f"_p{k}") for k, c in enumerate(payload)}

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from structura.llm.common import Scratch, byte_views, crc_mod, shuffle_partitions, texts
+from structura.llm.common import Scratch, byte_views, crc_mod, lean, shuffle_partitions, texts
 
 #: Rows of the broadcast word table at most, and bytes of the longest word in it: the bound of what is broadcast.
 HOT, HOT_BYTES = 300_000, 32
@@ -226,7 +226,7 @@ def word_counts(rows: DataFrame, parts: int) -> DataFrame:
         yield flush()
 
     # Each task has counted its own rows, so a word comes once from each task at most.
-    partial = rows.select("text", "held_out").mapInArrow(count, "word binary, n long")
+    partial = rows.select("text", "held_out").mapInArrow(lean(count), "word binary, n long")
     return partial.repartition(parts, "word").groupBy("word").agg(F.sum("n").alias("c"))
 
 
@@ -246,7 +246,7 @@ def fit(counts: DataFrame, path: str, rounds: int = ROUNDS) -> np.ndarray:
             k = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(total[k])], names=["piece", "n"])
 
-        found = counts.where("c > 0").select("word").mapInArrow(count, "piece int, n double").groupBy("piece").agg(F.sum("n").alias("n")).orderBy("piece").collect()
+        found = counts.where("c > 0").select("word").mapInArrow(lean(count), "piece int, n double").groupBy("piece").agg(F.sum("n").alias("n")).orderBy("piece").collect()
         total = np.where(usable, PRIOR, 0.0)
         for r in found:
             if usable[r.piece]:
@@ -312,7 +312,7 @@ def language_scores(df: DataFrame, path: str, id_col: str = "doc_id", text_col:
             lp = [totals.log10(n, log_probability(w, p) + rest) for w, n in zip(words, c)]
             yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("c"), pa.array(lp, pa.float64())], names=["word", "c", "lp"])
 
-    words = scratch.save(counts.mapInArrow(rate, "word binary, c long, lp double"), "words")
+    words = scratch.save(counts.mapInArrow(lean(rate), "word binary, c long, lp double"), "words")
     top = words.where((F.length("word") <= HOT_BYTES) & (F.col("c") >= _cutoff(words, hot))).toPandas()
     table = spark.sparkContext.broadcast(pickle.dumps((b"\n".join(map(bytes, top["word"])), top["c"].to_numpy(np.int64), top["lp"].to_numpy(np.float64))))
     token = uuid.uuid4().hex  # a Python worker may serve several queries
@@ -352,7 +352,7 @@ def language_scores(df: DataFrame, path: str, id_col: str = "doc_id", text_col:
         return _CACHE["table"]
 
     fields = [("part", pa.int32()), ("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("rare", pa.list_(pa.binary())), ("at", pa.list_(pa.list_(pa.int32())))]
-    found = scratch.save(rows.mapInArrow(score, "part int, row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<binary>, at array<array<int>>"), "scored")
+    found = scratch.save(rows.mapInArrow(lean(score), "part int, row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<binary>, at array<array<int>>"), "scored")
     rare = found.select("part", "row", F.explode(F.arrays_zip("rare", "at")).alias("w")).select("part", "row", F.col("w.rare").alias("word"), F.col("w.at").alias("at"))
     base = F.log10((F.col("c") + 0.1) / F.lit(totals.tokens + 0.1 * (totals.distinct + 1)))
     share = lambda t: F.lit(REPEAT) * t / (t + F.lit(RAMP))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from structura.llm.common import shuffle_partitions
+from structura.llm.common import lean, shuffle_partitions
 
 #: One word in so many ends a phrase; one paragraph in so many ends a section.
 PHRASE, SECTION = 3, 8
@@ -153,7 +153,7 @@ def _ordered(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 names=["bucket", "tail", "doc_id", "text"],
             )
 
-    dealt = rows.mapInArrow(deal, "bucket int, tail boolean, doc_id long, text string")
+    dealt = rows.mapInArrow(lean(deal), "bucket int, tail boolean, doc_id long, text string")
     return dealt.repartition(parts, "bucket").sortWithinPartitions("bucket", "tail", F.asc_nulls_last("doc_id"), "text")
 
 
@@ -183,7 +183,7 @@ def fingerprint_with_next(df: DataFrame, id_col: str = "doc_id", text_col: str =
         if kept:
             yield _rows(kept)
 
-    return _ordered(df, id_col, text_col).mapInArrow(apply, _DDL)
+    return _ordered(df, id_col, text_col).mapInArrow(lean(apply), _DDL)
 
 
 def _compared(doc_id, text: str, own: Counter, after: str, next_leaves: Counter) -> tuple:
@@ -208,4 +208,4 @@ def fingerprint_documents(df: DataFrame, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([t.fingerprint for t in trees], pa.string()), pa.array(nodes, kind)], names=["doc_id", "fingerprint", "nodes"])
 
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.mapInArrow(apply, "doc_id long, fingerprint string, nodes array<struct<kind: string, digest: string, first_byte: long, end_byte: long>>")
+    return rows.mapInArrow(lean(apply), "doc_id long, fingerprint string, nodes array<struct<kind: string, digest: string, first_byte: long, end_byte: long>>")

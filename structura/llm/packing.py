@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from structura.llm.bpe import encode
-from structura.llm.common import Scratch, shuffle_partitions, texts
+from structura.llm.common import Scratch, lean, shuffle_partitions, texts
 
 #: Lengths in triples are enumerated in steps, so that a long sequence has a bounded number of patterns.
 PATTERNS = 400_000
@@ -166,7 +166,7 @@ def pack(df: DataFrame, path: str, pattern: str, end_id: int = 0, size: int = 20
             columns = list(zip(*out)) if out else [[]] * len(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, kinds)], names=[n for n, _ in kinds])
 
-    pieces = scratch.save(texts(df, id_col, text_col).mapInArrow(cut, "part int, rank long, doc_id long, piece int, start long, length long, ids_crc32 long"), "pieces")
+    pieces = scratch.save(texts(df, id_col, text_col).mapInArrow(lean(cut), "part int, rank long, doc_id long, piece int, start long, length long, ids_crc32 long"), "pieces")
     # Each task has numbered its own pieces of each length. What comes before a task's is a sum over tasks, not over pieces.
     per_task = pieces.groupBy("part", "length").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -191,4 +191,4 @@ def pack(df: DataFrame, path: str, pattern: str, end_id: int = 0, size: int = 20
             yield pa.RecordBatch.from_arrays([*own, pa.array(at[:, 3] + rank - at[:, 1]), pa.array(at[:, 4])], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
     numbered = pieces.repartition(shuffle_partitions(spark), "part", "length").join(bases, ["part", "length"])
-    return numbered.mapInArrow(look_up, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return numbered.mapInArrow(lean(look_up), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

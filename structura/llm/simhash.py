@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from structura.llm.common import Scratch, byte_views, shuffle_partitions, texts
+from structura.llm.common import Scratch, byte_views, lean, shuffle_partitions, texts
 
 THRESHOLD = 3
 #: Anchors with more fingerprints than this are searched through sixteen-bit blocks, one of which two near ones share.
@@ -61,7 +61,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             fps = [fingerprint(bytes(v), words) for v in byte_views(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), _signed(fps)], names=["doc_id", "fp"])
 
-    return texts(df, id_col, text_col).mapInArrow(apply, "doc_id long, fp long")
+    return texts(df, id_col, text_col).mapInArrow(lean(apply), "doc_id long, fp long")
 
 
 def _syndromes(half: np.ndarray) -> np.ndarray:
@@ -171,8 +171,8 @@ def links(distinct: DataFrame, parts: int) -> DataFrame:
             for k in range(0, pairs.shape[1], 1 << 16):
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[0, k : k + (1 << 16)]), pa.array(pairs[1, k : k + (1 << 16)])], names=["src", "dst"])
 
-    arrays = distinct.select("fp").mapInArrow(replicate, "bucket int, anchors binary, fps binary")
-    return arrays.repartition(parts, "bucket").select("anchors", "fps").mapInArrow(compare, "src long, dst long").where("src <> dst").distinct()
+    arrays = distinct.select("fp").mapInArrow(lean(replicate), "bucket int, anchors binary, fps binary")
+    return arrays.repartition(parts, "bucket").select("anchors", "fps").mapInArrow(lean(compare), "src long, dst long").where("src <> dst").distinct()
 
 
 def components(edges: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFrame:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from structura.llm.common import Scratch, flat_bytes, shuffle_partitions
+from structura.llm.common import Scratch, flat_bytes, lean, shuffle_partitions
 
 LENGTH = 400
 #: A difference cover: every residue modulo V is a difference of two members of D.
@@ -226,12 +226,12 @@ class _Exchange:
 
     def returned(self, sent: DataFrame) -> DataFrame:
         """(key, near, names, flags): for each key arrays of positions that repeat by name, these names, and FULL and LOUD flags."""
-        found = sent.repartition(self.parts, "bucket").mapInArrow(_compared, "key long, near binary, names binary, flags binary")
+        found = sent.repartition(self.parts, "bucket").mapInArrow(lean(_compared), "key long, near binary, names binary, flags binary")
         return found.groupBy("key").agg(*[F.collect_list(c).alias(c) for c in ("near", "names", "flags")])
 
     def repeated(self, sent: DataFrame, column: str) -> DataFrame:
         """(key, column): for each key arrays of positions that repeat by both names."""
-        found = sent.repartition(self.parts, "bucket").mapInArrow(_both, f"key long, {column} binary")
+        found = sent.repartition(self.parts, "bucket").mapInArrow(lean(_both), f"key long, {column} binary")
         return found.groupBy("key").agg(F.collect_list(column).alias(column))
 
     def open_sender(self) -> tuple[Callable, Callable]:
@@ -266,7 +266,7 @@ class _Exchange:
 
     def opened(self, sent: DataFrame) -> DataFrame:
         """(key, opened, ranges): positions whose names are open, and the least and greatest distance there."""
-        found = sent.repartition(self.parts, "bucket").mapInArrow(_opened, "key long, opened binary, ranges binary")
+        found = sent.repartition(self.parts, "bucket").mapInArrow(lean(_opened), "key long, opened binary, ranges binary")
         return found.groupBy("key").agg(*[F.collect_list(c).alias(c) for c in ("opened", "ranges")])
 
 
@@ -475,22 +475,22 @@ def repeated_spans(
                 out.append(own.tobytes() if len(own) else None)
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("doc_id", "text", "carried")] + [pa.array(out, pa.binary())], names=["doc_id", "text", "carried", "spans"])
 
-    once = exchange.returned(docs.select("key", "text").mapInArrow(thin_out, exchange.DDL))
-    thinned = docs.join(once.select("key", "near"), "key", "left").withColumn("size", F.octet_length("text").cast("long")).mapInArrow(candidates, f"key long, doc_id long, text string, carried {kind}, starts binary, size long")
+    once = exchange.returned(docs.select("key", "text").mapInArrow(lean(thin_out), exchange.DDL))
+    thinned = docs.join(once.select("key", "near"), "key", "left").withColumn("size", F.octet_length("text").cast("long")).mapInArrow(lean(candidates), f"key long, doc_id long, text string, carried {kind}, starts binary, size long")
     thinned = scratch.save(thinned, "thinned")
     left = thinned.where("starts is not null")
-    sampled = scratch.save(exchange.returned(left.select("key", "text", "starts").mapInArrow(sample, exchange.DDL)), "sampled")
-    asked = sampled.join(left.select("key", "size"), "key").mapInArrow(ask, exchange.DDL)
-    plans = sampled.join(exchange.opened(asked), "key", "left").mapInArrow(plan, "key long, reach binary, settled binary")
+    sampled = scratch.save(exchange.returned(left.select("key", "text", "starts").mapInArrow(lean(sample), exchange.DDL)), "sampled")
+    asked = sampled.join(left.select("key", "size"), "key").mapInArrow(lean(ask), exchange.DDL)
+    plans = sampled.join(exchange.opened(asked), "key", "left").mapInArrow(lean(plan), "key long, reach binary, settled binary")
     plans = scratch.save(plans, "plans")
     scratch.drop("sampled")
     reached = left.select("key", "text").join(plans.where(F.octet_length("reach") > 0).select("key", "reach"), "key")
-    rest = scratch.save(exchange.repeated(reached.mapInArrow(remaining, exchange.DDL), "full"), "rest")
+    rest = scratch.save(exchange.repeated(reached.mapInArrow(lean(remaining), exchange.DDL), "full"), "rest")
     found = left.select("key", "doc_id", "text", "carried").join(plans.select("key", "settled").join(rest, "key", "full"), "key", "left").drop("key")
     other = thinned.where("starts is null").select("doc_id", "text", "carried", F.lit(None).cast("binary").alias("spans"))
     if finish is None:
-        return other.unionByName(found.mapInArrow(spans, f"doc_id long, text string, carried {kind}, spans binary"))
-    return other.mapInArrow(finish, schema).unionByName(found.mapInArrow(lambda batches: finish(spans(batches)), schema))
+        return other.unionByName(found.mapInArrow(lean(spans), f"doc_id long, text string, carried {kind}, spans binary"))
+    return other.mapInArrow(lean(finish), schema).unionByName(found.mapInArrow(lean(lambda batches: finish(spans(batches))), schema))
 
 
 def _unsettled(p: np.ndarray, flags: np.ndarray, size: int, length: int) -> tuple[np.ndarray, np.ndarray]:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from structura.llm.common import byte_views, crc_mod, texts
+from structura.llm.common import byte_views, crc_mod, lean, texts
 
 #: The bound of the training sample: so many rows of each class at most, by hash of the identifier, and of each row's text
 #: so many code points at most (longer rows aren't sampled). Scoring knows no such bound.
@@ -206,7 +206,7 @@ def toxicity(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
             scores = [score(bytes(v), m) if m else 0.0 for v in byte_views(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64())], names=["doc_id", "score"])
 
-    scored = texts(docs, id_col, text_col).mapInArrow(apply, "doc_id long, score double")
+    scored = texts(docs, id_col, text_col).mapInArrow(lean(apply), "doc_id long, score double")
     held = F.coalesce(crc_mod("doc_id", folds) == 0, F.lit(False))
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from structura.llm.common import byte_views, shuffle_partitions
+from structura.llm.common import byte_views, lean, shuffle_partitions
 
 #: Bytes of an archive in a task's range, and bytes read at a time.
 SPLIT, BLOCK = 8 << 20, 1 << 20
@@ -98,7 +98,7 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
             system.delete_file(own)
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
 
-    return int(ready.mapInArrow(write, "n long").agg(F.sum("n")).first()[0] or 0)
+    return int(ready.mapInArrow(lean(write), "n long").agg(F.sum("n")).first()[0] or 0)
 
 
 def members(read, size: int, start: int, end: int) -> Iterator[tuple[int, bytes]]:
@@ -207,4 +207,4 @@ def read_warc(spark: SparkSession, folder: str, want_payload: bool = True, split
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), _KINDS)], names=names)
 
-    return dealt.mapInArrow(read, _DDL)
+    return dealt.mapInArrow(lean(read), _DDL)
