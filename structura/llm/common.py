@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 #: White space of the word definition `[^\x20\x09-\x0D]+`; bytes.split() without arguments splits at the same bytes.
 BLANK = " \t\n\x0b\x0c\r"
 
+#: Where scratch tables lie in local files, no check sums beside them: each would cost a process to set its permissions.
+_PLAIN_FILES = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
+
 _left: list[tuple[SparkSession, str]] = []
 
 
@@ -80,7 +83,7 @@ class Scratch:
         before = self.spark.conf.get(key, None)
         self.spark.conf.set(key, "true")
         try:
-            df.write.option("compression", codec).parquet(path)
+            df.write.options(**_PLAIN_FILES, compression=codec).parquet(path)
         finally:
             self.spark.conf.unset(key) if before is None else self.spark.conf.set(key, before)
         return self.spark.read.schema(df.schema).parquet(path)

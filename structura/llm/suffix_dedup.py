@@ -225,14 +225,40 @@ class _Exchange:
         yield pa.RecordBatch.from_arrays([pa.array(bucket[firsts[:-1]].astype(np.int32)), *[pa.array(b, pa.binary()) for b in blobs]], names=self.NAMES)
 
     def returned(self, sent: DataFrame) -> DataFrame:
-        """(key, near, names, flags): for each key arrays of positions that repeat by name, these names, and FULL and LOUD flags."""
-        found = sent.repartition(self.parts, "bucket").mapInArrow(lean(_compared), "key long, near binary, names binary, flags binary")
-        return found.groupBy("key").agg(*[F.collect_list(c).alias(c) for c in ("near", "names", "flags")])
+        """(key, near, names, flags): for each key the positions that repeat by name, their names, and FULL and LOUD flags."""
+        return self._answered(sent, _compared, {"near": np.uint32, "names": np.uint64, "flags": np.uint8})
 
     def repeated(self, sent: DataFrame, column: str) -> DataFrame:
-        """(key, column): for each key arrays of positions that repeat by both names."""
-        found = sent.repartition(self.parts, "bucket").mapInArrow(lean(_both), f"key long, {column} binary")
-        return found.groupBy("key").agg(F.collect_list(column).alias(column))
+        """(key, column): for each key the positions that repeat by both names."""
+        return self._answered(sent, _both, {column: np.uint32})
+
+    def _answered(self, sent: DataFrame, compare: Callable, kinds: dict[str, type]) -> DataFrame:
+        """What compare makes of each bucket of names, as (keys, arrays), dealt out by key and put together: a row for each key."""
+        parts, names = self.parts, list(kinds)
+        fields = ", ".join(f"{c} binary" for c in names)
+
+        def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            key, arrays = compare(_received(batches))
+            bucket = (key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(parts)
+            order = np.argsort(bucket, kind="stable")
+            bucket, key = bucket[order], key[order]
+            if len(key):
+                cuts = np.concatenate(([0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)])).tolist()
+                blobs = [pa.array([c[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary()) for c in (key, *(x[order] for x in arrays))]
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts[:-1]].astype(np.int32)), *blobs], names=["bucket", "keys", *names])
+
+        def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: dict[str, list[np.ndarray]] = {c: [] for c in ("keys", *names)}
+            for batch in batches:
+                for c in held:
+                    held[c].append(np.frombuffer(flat_bytes(batch.column(c))[0].tobytes(), np.int64 if c == "keys" else kinds[c]))
+            if held["keys"]:
+                key = np.concatenate(held.pop("keys"))
+                order = np.argsort(key, kind="stable")
+                yield from _by_key(key[order], [np.concatenate(held.pop(c))[order] for c in names], names)
+
+        met = sent.repartition(parts, "bucket").mapInArrow(lean(meet), f"bucket int, keys binary, {fields}")
+        return met.repartition(parts, "bucket").mapInArrow(lean(gather), f"key long, {fields}")
 
     def open_sender(self) -> tuple[Callable, Callable]:
         """As sender, for (name, key, position, least and greatest distance of unsettled windows, flags)."""
@@ -266,8 +292,7 @@ class _Exchange:
 
     def opened(self, sent: DataFrame) -> DataFrame:
         """(key, opened, ranges): positions whose names are open, and the least and greatest distance there."""
-        found = sent.repartition(self.parts, "bucket").mapInArrow(lean(_opened), "key long, opened binary, ranges binary")
-        return found.groupBy("key").agg(*[F.collect_list(c).alias(c) for c in ("opened", "ranges")])
+        return self._answered(sent, _opened, {"opened": np.uint32, "ranges": np.uint16})
 
 
 def _repeats(name: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -298,8 +323,8 @@ def _by_key(key: np.ndarray, arrays: list[np.ndarray], names: list[str]) -> Iter
         yield pa.RecordBatch.from_arrays([pa.array([int(key[a]) for a, _ in part], pa.int64()), *[pa.array([c[a:b].tobytes() for a, b in part], pa.binary()) for c in arrays]], names=["key", *names])
 
 
-def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    name, second, key, position, known = _received(batches)
+def _compared(entries: tuple[np.ndarray, ...]) -> tuple[np.ndarray, list[np.ndarray]]:
+    name, second, key, position, known = entries
     near, full, loud = ((known & flag) > 0 for flag in (NEAR, FULL, LOUD))
     at = np.flatnonzero((known & TOLD) == 0)
     at = at[np.lexsort((second[at], name[at]))]
@@ -313,24 +338,19 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         times = np.add.reduceat((known[at] // COUNT).astype(np.int64), begins)
         loud[at] |= np.repeat(times > CROWD, np.diff(np.concatenate((begins, [len(at)]))))
     keep = np.flatnonzero(near)
-    keep = keep[np.lexsort((position[keep], key[keep]))]
-    yield from _by_key(key[keep], [position[keep], name[keep], (full[keep] * FULL + loud[keep] * LOUD).astype(np.uint8)], ["near", "names", "flags"])
+    return key[keep], [position[keep], name[keep], (full[keep] * FULL + loud[keep] * LOUD).astype(np.uint8)]
 
 
-def _both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in _compared(batches):
-        keys, near, flags = (batch.column(c).to_pylist() for c in ("key", "near", "flags"))
-        full = [np.frombuffer(p, np.uint32)[(np.frombuffer(f, np.uint8) & FULL) > 0].tobytes() for p, f in zip(near, flags)]
-        rows = [(k, p) for k, p in zip(keys, full) if p]
-        if rows:
-            k, p = zip(*rows)
-            yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(p, pa.binary())], names=["key", "full"])
+def _both(entries: tuple[np.ndarray, ...]) -> tuple[np.ndarray, list[np.ndarray]]:
+    key, (position, _, flags) = _compared(entries)
+    full = (flags & FULL) > 0
+    return key[full], [position[full]]
 
 
-def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    name, pair, key, position, known = _received(batches)
+def _opened(entries: tuple[np.ndarray, ...]) -> tuple[np.ndarray, list[np.ndarray]]:
+    name, pair, key, position, known = entries
     if not len(name):
-        return
+        return key, [position, np.zeros(0, np.uint16)]
     order = np.argsort(name, kind="stable")
     name, pair, key, position, known = (c[order] for c in (name, pair, key, position, known))
     begins = np.concatenate(([0], np.flatnonzero(name[1:] != name[:-1]) + 1))
@@ -339,19 +359,18 @@ def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     least = np.repeat(np.minimum.reduceat(pair & np.uint32(255), begins), sizes)
     most = np.repeat(np.maximum.reduceat(pair >> np.uint32(8), begins), sizes)
     keep = np.flatnonzero((least <= most) & (known == 0))
-    keep = keep[np.lexsort((position[keep], key[keep]))]
-    yield from _by_key(key[keep], [position[keep], (least + most * np.uint32(256)).astype(np.uint16)[keep]], ["opened", "ranges"])
+    return key[keep], [position[keep], (least + most * np.uint32(256)).astype(np.uint16)[keep]]
 
 
 def _positions(column: list) -> list[np.ndarray]:
-    return [np.sort(np.frombuffer(b"".join(x or ()), np.uint32).astype(np.int64)) for x in column]
+    return [np.sort(np.frombuffer(x or b"", np.uint32).astype(np.int64)) for x in column]
 
 
 def _samples(near: list, names: list, flags: list) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """For each row positions, names and flags, in the order of positions."""
     out = []
     for p, n, f in zip(near, names, flags):
-        p, n, f = (np.frombuffer(b"".join(x or ()), k) for x, k in ((p, np.uint32), (n, np.uint64), (f, np.uint8)))
+        p, n, f = (np.frombuffer(x or b"", k) for x, k in ((p, np.uint32), (n, np.uint64), (f, np.uint8)))
         order = np.argsort(p, kind="stable")
         out.append((p[order].astype(np.int64), n[order], f[order]))
     return out
@@ -448,7 +467,7 @@ def repeated_spans(
             rows = _samples(*(batch.column(c).to_pylist() for c in ("near", "names", "flags")))
             for (p, _, f), opened, ranges in zip(rows, *(batch.column(c).to_pylist() for c in ("opened", "ranges"))):
                 loud, full = p[(f & LOUD) > 0], p[(f & FULL) > 0]
-                q, r = np.frombuffer(b"".join(opened or ()), np.uint32).astype(np.int64), np.frombuffer(b"".join(ranges or ()), np.uint16).astype(np.int64)
+                q, r = np.frombuffer(opened or b"", np.uint32).astype(np.int64), np.frombuffer(ranges or b"", np.uint16).astype(np.int64)
                 begin, end = np.concatenate((loud - V + 1, q - (r >> 8))), np.concatenate((loud + 1, q - (r & 255) + 1))
                 reach.append(merged(np.maximum(begin, 0), np.maximum(end, 0)).tobytes())
                 settled.append(merged(full, full + length).tobytes())
