@@ -192,7 +192,7 @@ def escape_markdown(text: Name) -> Column:
 
 def parse_edge(text: Name) -> Column:
     """`a -> b` as a struct (origin, end); null if the text isn't one edge."""
-    two = F.transform(F.split(_c(text), "->"), F.trim)
+    two = F.transform(F.split(_c(text), "->"), lambda x: F.trim(x))
     good = (F.size(two) == 2) & F.forall(two, lambda x: x != "")
     return F.when(good, F.struct(F.try_element_at(two, F.lit(1)).alias("origin"), F.try_element_at(two, F.lit(2)).alias("end")))
 

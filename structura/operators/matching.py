@@ -29,7 +29,11 @@ class Config:
 
 
 _SIDE = ["canonical_id", "kind", "module", "qualname", "name", "signature_key", "bag", "docstring"]
-_RANK = [F.desc("confidence"), F.desc("mod"), "distance", "target_id"]
+
+
+def _rank() -> list:
+    return [F.desc("confidence"), F.desc("mod"), "distance", "target_id"]
+
 SCHEMA = "project string, source_id string, target_id string, status string, confidence double, stage string"
 
 
@@ -78,7 +82,8 @@ def fuzzy_candidates(sources: DataFrame, targets: DataFrame, seeds: DataFrame, c
     s, t = _sides(sources, targets)
     named = s.join(t, (F.col("s_kind") == F.col("t_kind")) & (F.col("s_name") == F.col("t_name"))).select("project", F.col("s_canonical_id").alias("source_id"), F.col("t_canonical_id").alias("target_id"))
     ids = named.unionByName(seeds.select("project", "source_id", "target_id")).distinct()
-    pairs = _features(ids.join(s, F.col("source_id") == F.col("s_canonical_id")).join(t, (F.col("target_id") == F.col("t_canonical_id")) & (ids["project"] == t["project"])).drop(t["project"]))
+    s, t = s.withColumn("source_id", F.col("s_canonical_id")), t.withColumn("target_id", F.col("t_canonical_id"))
+    pairs = _features(ids.join(s, "source_id").join(t, ["project", "target_id"]))
     pairs = _capped(pairs, cap)
     s_class, t_class = C.class_of("s_qualname"), C.class_of("t_qualname")
     method = F.col("s_kind") == "method"
@@ -102,7 +107,7 @@ def candidates(sources: DataFrame, targets: DataFrame, config: Config = Config()
     second = structural_candidates(sources, targets, config.stage2_cap)
     if done is not None:
         second = second.join(done.select("project", "source_id").distinct(), ["project", "source_id"], "left_anti")
-    top = selection.top_k(second, ["project", "source_id"], _RANK, max(config.max_fuzzy, config.top_n, 2))
+    top = selection.top_k(second, ["project", "source_id"], _rank(), max(config.max_fuzzy, config.top_n, 2))
     per = second.groupBy("project", "source_id").agg(F.count("*").alias("n")).join(top.groupBy("project", "source_id").agg(F.max(F.when(F.col("rank") == 1, F.col("confidence"))).alias("best"), F.max(F.when(F.col("rank") == 2, F.col("confidence"))).alias("next")), ["project", "source_id"])
     everyone = sources.select(F.col("canonical_id").alias("source_id")).crossJoin(projects)  # one reference for each project: that is what is asked for
     if done is not None:
@@ -117,7 +122,7 @@ def candidates(sources: DataFrame, targets: DataFrame, config: Config = Config()
     columns = ["project", "source_id", "target_id", "confidence", "mod", "distance", C.name_similarity("s_name", "t_name").alias("name_score")]
     third = third.select(*columns, F.lit("fuzzy").alias("stage"))
     other = second.join(third.select("project", "source_id").distinct(), ["project", "source_id"], "left_anti").select(*columns, F.lit("structural").alias("stage"))
-    return selection.top_k(other.unionByName(third), ["project", "source_id"], _RANK, max(config.top_n, 2))
+    return selection.top_k(other.unionByName(third), ["project", "source_id"], _rank(), max(config.top_n, 2))
 
 
 def match(sources: DataFrame, targets: DataFrame, config: Config = Config(), mapping: DataFrame | None = None) -> DataFrame:
