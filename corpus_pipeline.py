@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from structura.llm import exact_dedup, packing, simhash, suffix_dedup, toxicity
-from structura.llm.common import shared_dir, small_batches
+from structura.llm.common import fewer_files, shared_dir, small_batches
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -23,19 +23,19 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 8: documents that score as toxic go."""
     small_batches(spark)
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.drop_toxic(docs.select(*COLUMNS), model)
+    return fewer_files(toxicity.drop_toxic(docs.select(*COLUMNS), model))
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 4: one document of each group of equal texts stays."""
     small_batches(spark)
-    return exact_dedup.exact_dedup(docs.select(*COLUMNS))
+    return fewer_files(exact_dedup.exact_dedup(docs.select(*COLUMNS)))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 5, on shingles of five words: one document of each component stays, that with the smallest identifier."""
     small_batches(spark)
-    return simhash.near_dedup(docs.select(*COLUMNS), words=5)
+    return fewer_files(simhash.near_dedup(docs.select(*COLUMNS), words=5))
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,13 +59,13 @@ def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     carried = docs.select("doc_id", "text", F.struct(*rest).alias("rest"))
     kept = suffix_dedup.repeated_spans(carried, carry="rest", finish=keep, schema=f"doc_id long, text string, rest {carried.schema['rest'].dataType.simpleString()}")
     values = {"doc_id": F.col("doc_id").cast(fields["doc_id"].dataType), "text": F.col("text"), **{c: F.col(f"rest.{c}") for c in rest}, "n_chars": F.length("text").cast(fields["n_chars"].dataType)}
-    return kept.select(*[values[c].alias(c) for c in COLUMNS])
+    return fewer_files(kept.select(*[values[c].alias(c) for c in COLUMNS]))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 6: pieces of at most 2048 tokens in as few sequences as it can."""
     small_batches(spark)
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    return fewer_files(packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN))
 
 
 STAGES = [

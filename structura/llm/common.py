@@ -66,6 +66,11 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def fewer_files(df: DataFrame, waves: int = 4, least: int = 64) -> DataFrame:
+    """df in at most so many waves of tasks over all cores: thousands of small files cost more than the rows in them."""
+    return df.coalesce(max(least, waves * df.sparkSession.sparkContext.defaultParallelism))
+
+
 class Scratch:
     """Tables written to the shared folder to cut lineage; they outlive executors and go when the session ends or on drop()."""
 
@@ -76,8 +81,12 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def save(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-        """Write a table and read it again; the shuffle files that it took are removed once it is there."""
+    def save(self, df: DataFrame, name: str, codec: str = "zstd", few: bool = False) -> DataFrame:
+        """Write a table and read it again; the shuffle files that it took are removed once it is there.
+
+        It has as many files as few waves of tasks write at most; small tables (few) have fewer.
+        """
+        df = fewer_files(df, 2 if few else 4, 12 if few else 64)
         self.at[name] = path = f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
         key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
         before = self.spark.conf.get(key, None)
