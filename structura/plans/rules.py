@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from structura.functions import columns as C
 from structura.operators import edges, graph, module_graph
+from structura.plans.scratch import Rounds
 from structura.sources import python_source as P
 
 RESULT = ["project", "rule_id", "rule_type", "source_id", "target_id", "status", "severity", "reason", "detail"]
@@ -98,6 +99,17 @@ class Context:
         self.modules = target.where("error is null").select("project", "module")
         self.reference_modules = source.where("error is null").select("project", "module")
         self.projects = target.select("project").distinct()
+        self.rounds = Rounds(self.spark, "rules")
+        self._made: dict[tuple, DataFrame] = {}
+
+    def once(self, key: tuple, make: Callable[[], DataFrame]) -> DataFrame:
+        """What several rules ask of the same facts, written once."""
+        if key not in self._made:
+            self._made[key] = self.rounds.keep(make())
+        return self._made[key]
+
+    def module_edges(self, ignore_type_checking: bool) -> DataFrame:
+        return self.once(("edges", ignore_type_checking), lambda: module_graph.module_edges(self.imports, self.modules, ignore_type_checking))
 
     def rules(self, rules: Sequence[Rule]) -> DataFrame:
         return self.spark.createDataFrame([(r.rule_id, r.rule_type, r.source_id, r.severity, json.dumps(r.params)) for r in rules], "rule_id string, rule_type string, source_id string, severity string, params string")
@@ -113,6 +125,9 @@ class Context:
 
     def bases(self) -> DataFrame:
         """(project, origin, end): direct bases of classes, by canonical identifier, where a project's class can be told."""
+        return self.once(("bases",), self._bases)
+
+    def _bases(self) -> DataFrame:
         c = self.entities.where("kind = 'class'")
         spelled = c.select("project", F.col("canonical_id").alias("origin"), "module", F.explode("bases").alias("base")).withColumn("base", F.regexp_replace("base", r"\[.*$", ""))
         tried = spelled.select("project", "origin", F.explode(F.array(F.col("base"), F.when(F.col("module") != "", F.concat_ws(".", "module", "base")).otherwise(F.col("base")))).alias("dotted")).distinct()
@@ -121,10 +136,13 @@ class Context:
 
     def ancestors(self) -> DataFrame:
         """(project, start, node): all ancestors of every class."""
-        return graph.reachable(self.bases(), by=["project"]).where("start <> node")
+        return self.once(("ancestors",), lambda: graph.reachable(self.bases(), by=["project"]).where("start <> node"))
 
     def methods(self) -> DataFrame:
         """(project, owner_id, and the method's columns): the methods that a class itself declares."""
+        return self.once(("methods",), self._methods)
+
+    def _methods(self) -> DataFrame:
         m = self.entities.where("kind = 'method'").withColumn("owner", F.regexp_extract("qualname", r"^(.*)\.[^.]*$", 1))
         c = self.entities.where("kind = 'class'").select("project", "module", F.col("qualname").alias("owner"), F.col("canonical_id").alias("owner_id"))
         return m.join(c, ["project", "module", "owner"])
@@ -132,8 +150,9 @@ class Context:
     def offered(self, declared_only: bool = False) -> DataFrame:
         """methods(), and those of ancestors whose names a class doesn't declare itself."""
         own = self.methods().withColumn("inherited", F.lit(False))
-        if declared_only:
-            return own
+        return own if declared_only else self.once(("offered",), lambda: self._offered(own))
+
+    def _offered(self, own: DataFrame) -> DataFrame:
         up = self.ancestors().select("project", F.col("start").alias("heir"), F.col("node").alias("owner_id")).join(own, ["project", "owner_id"])
         up = up.join(own.select("project", F.col("owner_id").alias("heir"), "name").distinct(), ["project", "heir", "name"], "left_anti")
         return own.unionByName(up.drop("owner_id").withColumnRenamed("heir", "owner_id").withColumn("inherited", F.lit(True)).select(*own.columns))
@@ -178,7 +197,7 @@ def import_policy(ctx: Context, rules: Sequence[Rule]) -> DataFrame:
 
 def module_cycles(ctx: Context, rules: Sequence[Rule]) -> DataFrame:
     def judge(r: Rule) -> DataFrame:
-        own = module_graph.module_edges(ctx.imports, ctx.modules, r.params["ignore_type_checking"])
+        own = ctx.module_edges(r.params["ignore_type_checking"])
         cycles = graph.cycle_paths(own, graph.strongly_connected(own, ["project"]), ["project"])
         if cycles is None:
             cycles = own.select("project", F.array("origin").alias("path")).where("false")
@@ -189,7 +208,7 @@ def module_cycles(ctx: Context, rules: Sequence[Rule]) -> DataFrame:
 
 def module_layers(ctx: Context, rules: Sequence[Rule]) -> DataFrame:
     def judge(r: Rule) -> DataFrame:
-        own = module_graph.module_edges(ctx.imports, ctx.modules, r.params["ignore_type_checking"])
+        own = ctx.module_edges(r.params["ignore_type_checking"])
         bad = graph.layer_violations(own, r.params["layers"], r.params["closed"], by=["project"])
         return _by_hits(ctx.of_projects([r]), bad, ["project"], "layer_violation", F.concat_ws(": ", "kind", F.array_join("path", " -> ")))
 
@@ -202,7 +221,7 @@ def architecture_static(ctx: Context, rules: Sequence[Rule]) -> DataFrame:
     def judge(r: Rule) -> DataFrame:
         p = r.params
         model = module_graph.module_edges(ctx.reference_imports, ctx.reference_modules, p["ignore_type_checking"]).select("origin", "end")
-        own = module_graph.module_edges(ctx.imports, ctx.modules, p["ignore_type_checking"])
+        own = ctx.module_edges(p["ignore_type_checking"])
         known = ctx.projects.crossJoin(F.broadcast(ctx.reference_modules.select("module").distinct()))
         pairs = lambda xs: [tuple(s.strip() for s in x.split("->")) for x in xs]
         diff = edges.compare_edges(model, own, p["policy"], known, pairs(p["allow"]), pairs(p["forbid"]), by=["project"])
