@@ -92,14 +92,14 @@ class Context:
 
     def __init__(self, facts: DataFrame, matches: DataFrame):
         self.spark: SparkSession = facts.sparkSession
-        self.facts, self.matches = facts, matches
+        self.rounds = Rounds(self.spark, "rules")
+        self.facts, self.matches = facts, self.rounds.keep(matches)
         target, source = facts.where("role = 'target'"), facts.where("role = 'source'")
         self.entities, self.reference = P.entities(target), P.entities(source)
         self.imports, self.reference_imports = P.import_edges(target), P.import_edges(source)
         self.modules = target.where("error is null").select("project", "module")
         self.reference_modules = source.where("error is null").select("project", "module")
         self.projects = target.select("project").distinct()
-        self.rounds = Rounds(self.spark, "rules")
         self._made: dict[tuple, DataFrame] = {}
 
     def once(self, key: tuple, make: Callable[[], DataFrame]) -> DataFrame:
@@ -458,11 +458,12 @@ def evaluate(facts: DataFrame, matches: DataFrame, rules: Sequence[Rule], fail_o
     good, bad = compile_rules(rules)
     parts: list[DataFrame] = []
     for kind in sorted({r.rule_type for r in good}):
-        parts.append(EVALUATORS[kind](ctx, [r for r in good if r.rule_type == kind]).select(*RESULT))
+        # Written one kind at a time: the union of all would be one plan of hundreds of joins.
+        parts.append(ctx.rounds.keep(EVALUATORS[kind](ctx, [r for r in good if r.rule_type == kind]).select(*RESULT)))
     local = [r for r in good if r.rule_type not in PROJECT_WIDE]
     if local:
-        open_ = ctx.projects.crossJoin(F.broadcast(ctx.rules(local))).join(matches.where("status = 'MATCHED'").select("project", "source_id"), ["project", "source_id"], "left_anti")
-        status = matches.select("project", "source_id", "target_id", F.col("status").alias("match_status"))
+        open_ = ctx.projects.crossJoin(F.broadcast(ctx.rules(local))).join(ctx.matches.where("status = 'MATCHED'").select("project", "source_id"), ["project", "source_id"], "left_anti")
+        status = ctx.matches.select("project", "source_id", "target_id", F.col("status").alias("match_status"))
         rows = open_.join(status, ["project", "source_id"], "left")
         parts.append(rows.select("project", "rule_id", "rule_type", "source_id", "target_id", F.lit("FAILED" if fail_on_unmatched else "SKIPPED").alias("status"), "severity", F.lit("required_target_missing" if fail_on_unmatched else "match_status").alias("reason"), F.col("match_status").alias("detail")))
     if bad:
