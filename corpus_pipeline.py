@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from structura.llm import exact_dedup, packing, simhash, suffix_dedup, toxicity
+from structura.llm import exact_dedup, packing, similar, suffix_dedup, toxicity
 from structura.llm.common import fewer_files, shared_dir, small_batches
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -33,9 +33,9 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 5, on shingles of five words: one document of each component stays, that with the smallest identifier."""
+    """Likeness of 0.8 or more of sets of five-word shingles: of each component the document with the smallest identifier stays."""
     small_batches(spark)
-    return fewer_files(simhash.near_dedup(docs.select(*COLUMNS), words=5))
+    return fewer_files(similar.similar_dedup(docs.select(*COLUMNS), words=5))
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

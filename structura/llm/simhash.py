@@ -12,7 +12,7 @@ Components come from rounds of star contraction over the links.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -222,17 +222,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return fps.join(found, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
-    """The rows of df less all but one of each component: the one with the smallest identifier stays.
-
-    Decisions are small rows (identifier, fingerprint) and meet the texts on that pair, which no group of copies makes hot.
-    Rows that repeat an identifier and a fingerprint count as copies: one stays.
-    """
+def keep_first(df: DataFrame, fps: DataFrame, found: DataFrame, tag: Callable[[bytes], int], scratch: Scratch, id_col: str, text_col: str) -> DataFrame:
+    """The rows of df that come first in their component: fps (doc_id, fp) has what tag gives for each text, found (fp, label) the components."""
     from pyspark.sql import Window
 
-    scratch = Scratch(df.sparkSession, "simhash")
-    fps = scratch.save(fingerprints(df, id_col, text_col, words), "fps")
-    found = classes(fps, scratch)
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "fp")
     grouped = fps.join(found, "fp")
     keeper = grouped.groupBy("label").agg(F.min(order).alias("first"))
@@ -241,9 +234,21 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     def apply(text):  # the fingerprint again, beside the whole row
         import pandas as pd
 
-        return pd.Series(np.array([fingerprint((t or "").encode(), words) for t in text], dtype=np.uint64).view(np.int64))
+        return pd.Series(np.array([tag((t or "").encode()) for t in text], dtype=np.uint64).view(np.int64))
 
     tagged = df.withColumns({"_fp": F.pandas_udf(apply, "long")(F.col(text_col)), "_id": F.col(id_col).cast("long")})
     left = tagged.join(drop.withColumn("_drop", F.lit(True)), (tagged["_id"].eqNullSafe(drop["_id"])) & (tagged["_fp"] == drop["_fp"]), "left").where("_drop is null").select(tagged["*"])
     first = Window.partitionBy("_id", "_fp").orderBy(F.lit(1))
     return left.withColumn("_n", F.row_number().over(first)).where("_n = 1").select(*df.columns)
+
+
+def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
+    """The rows of df less all but one of each component: the one with the smallest identifier stays.
+
+    Decisions are small rows (identifier, fingerprint) and meet the texts on that pair, which no group of copies makes hot.
+    Rows that repeat an identifier and a fingerprint count as copies: one stays.
+    """
+    scratch = Scratch(df.sparkSession, "simhash")
+    fps = scratch.save(fingerprints(df, id_col, text_col, words), "fps")
+    found = classes(fps, scratch)
+    return keep_first(df, fps, found, lambda t: fingerprint(t, words), scratch, id_col, text_col)
