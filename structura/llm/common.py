@@ -56,6 +56,11 @@ def lean(stage: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator
     return run
 
 
+def drawn_part() -> int:
+    """A number for the rows of one call of an Arrow stage. A task's own number won't do: after coalesce() it runs several partitions."""
+    return uuid.uuid4().int >> 65
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from structura.llm.bpe import encode
-from structura.llm.common import Scratch, lean, shuffle_partitions, texts
+from structura.llm.common import Scratch, drawn_part, lean, shuffle_partitions, texts
 
 #: Lengths in triples are enumerated in steps, so that a long sequence has a bounded number of patterns.
 PATTERNS = 400_000
@@ -152,10 +152,8 @@ def pack(df: DataFrame, path: str, pattern: str, end_id: int = 0, size: int = 20
     scratch = Scratch(spark, "packing")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        part, seen = TaskContext.get().partitionId(), np.zeros(size + 1, np.int64)
-        kinds = [("part", pa.int32()), ("rank", pa.int64()), ("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]
+        part, seen = drawn_part(), np.zeros(size + 1, np.int64)
+        kinds = [("part", pa.int64()), ("rank", pa.int64()), ("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]
         for batch in batches:
             out = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
@@ -166,8 +164,8 @@ def pack(df: DataFrame, path: str, pattern: str, end_id: int = 0, size: int = 20
             columns = list(zip(*out)) if out else [[]] * len(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, kinds)], names=[n for n, _ in kinds])
 
-    pieces = scratch.save(texts(df, id_col, text_col).mapInArrow(lean(cut), "part int, rank long, doc_id long, piece int, start long, length long, ids_crc32 long"), "pieces")
-    # Each task has numbered its own pieces of each length. What comes before a task's is a sum over tasks, not over pieces.
+    pieces = scratch.save(texts(df, id_col, text_col).mapInArrow(lean(cut), "part long, rank long, doc_id long, piece int, start long, length long, ids_crc32 long"), "pieces")
+    # Each partition has numbered its own pieces of each length. What comes before a partition's is a sum over partitions, not over pieces.
     per_task = pieces.groupBy("part", "length").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = per_task.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))

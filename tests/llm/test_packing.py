@@ -59,3 +59,9 @@ def test_split():
 
 def test_empty(empty):
     assert pack(empty, JSON, P.PATTERN).collect() == []
+
+
+def test_more_partitions_than_files(spark):
+    """Scratch tables have 64 files here at most: several partitions run in one task."""
+    rows = [(k, "a b " * (k % 7)) for k in range(800)]
+    check(spark.createDataFrame(rows, "doc_id long, text string").repartition(200), rows, 64)
