@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from structura.llm.common import BLANK, Scratch, byte_views, lean, shuffle_partitions
+from structura.llm.common import BLANK, Scratch, byte_views, drawn_part, lean, shuffle_partitions
 
 _BLANK = BLANK.encode()
 #: Characters of the normalised text in the sort key. Ties go on to the digest.
@@ -51,7 +51,7 @@ _GROUPS = T.StructType(
         T.StructField("group_size", T.LongType()),
         T.StructField("head", T.BooleanType()),
         T.StructField("edge", T.BooleanType()),
-        T.StructField("part", T.IntegerType()),
+        T.StructField("part", T.LongType()),
     ]
 )
 
@@ -74,11 +74,9 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, l
 
 
 def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    from pyspark import TaskContext
-
-    part = TaskContext.get().partitionId()
+    part = drawn_part()
     schema = pa.schema(
-        [("doc_id", pa.int64()), ("text_sha256", pa.string()), ("chars", pa.int64()), ("keep_id", pa.int64()), ("keep_chars", pa.int64()), ("group_size", pa.int64()), ("head", pa.bool_()), ("edge", pa.bool_()), ("part", pa.int32())]
+        [("doc_id", pa.int64()), ("text_sha256", pa.string()), ("chars", pa.int64()), ("keep_id", pa.int64()), ("keep_chars", pa.int64()), ("group_size", pa.int64()), ("head", pa.bool_()), ("edge", pa.bool_()), ("part", pa.int64())]
     )
     ids, chars, sha, first = [], [], None, True  # the open run: slim values only
 
@@ -141,12 +139,10 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     scratch = Scratch(spark, "exact")
     payload = [c for c in df.columns if c not in (id_col, text_col)]
     rows = _sorted(_keyed(df, id_col, text_col, payload), shuffle_partitions(spark)).drop("_prefix")
-    schema = T.StructType([*rows.schema.fields, T.StructField("edge", T.BooleanType()), T.StructField("part", T.IntegerType())])
+    schema = T.StructType([*rows.schema.fields, T.StructField("edge", T.BooleanType()), T.StructField("part", T.LongType())])
 
     def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        part, first, held = TaskContext.get().partitionId(), True, None
+        part, first, held = drawn_part(), True, None
         for batch, starts, _ in _runs(batches):
             if not starts:
                 continue
@@ -164,7 +160,8 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
             yield _flagged(held, True, part)
 
     found = scratch.save(rows.mapInArrow(lean(heads), schema), "heads")
-    seams = found.where("edge").groupBy(F.col("_sha").alias("edge_sha")).agg(F.min("part").alias("edge_part"))
+    rank = F.struct(-F.col("_chars"), F.col("_id").isNull(), F.col("_id"), F.col("part").alias("p"))
+    seams = found.where("edge").groupBy(F.col("_sha").alias("edge_sha")).agg(F.min(rank).getField("p").alias("edge_part"))
     kept = found.join(F.broadcast(seams), F.col("edge") & (F.col("_sha") == F.col("edge_sha")), "left").where("edge_sha is null or part = edge_part")
     values = {id_col: F.col("_id").cast(df.schema[id_col].dataType), text_col: F.when(~F.col("_null"), F.col("_text"))} | {c: F.col(f"_p{k}") for k, c in enumerate(payload)}
     return kept.select(*[values[c].alias(c) for c in df.columns])
@@ -173,5 +170,5 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 def _flagged(batch: pa.RecordBatch, edge: bool, part: int) -> pa.RecordBatch:
     n = batch.num_rows
     return pa.RecordBatch.from_arrays(
-        [*batch.columns, pa.array([edge] * n, pa.bool_()), pa.array([part] * n, pa.int32())], names=[*batch.schema.names, "edge", "part"]
+        [*batch.columns, pa.array([edge] * n, pa.bool_()), pa.array([part] * n, pa.int64())], names=[*batch.schema.names, "edge", "part"]
     )

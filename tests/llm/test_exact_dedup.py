@@ -48,3 +48,16 @@ def test_dedup_keeps_columns(odd, odd_rows):
 
 def test_empty(empty):
     assert exact_groups(empty).collect() == [] and exact_dedup(empty).collect() == []
+
+
+def test_hot_group_over_more_partitions_than_files(spark):
+    """Scratch tables have 64 files here at most: several range partitions run in one task."""
+    rows = [(k, "same text" + " " * (k % 3)) for k in range(3000)] + [(5000 + k, f"other {k}") for k in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        assert plain(exact_groups(df)) == expected(rows)
+        assert sorted(r.doc_id for r in exact_dedup(df).collect()) == sorted({r[1] for r in expected(rows)})
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
