@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from structura.llm.common import Scratch, byte_views, crc_mod, lean, shuffle_partitions, texts
+from structura.llm.common import Scratch, byte_views, crc_mod, drawn_part, lean, shuffle_partitions, texts
 
 #: Rows of the broadcast word table at most, and bytes of the longest word in it: the bound of what is broadcast.
 HOT, HOT_BYTES = 300_000, 32
@@ -319,9 +319,7 @@ def language_scores(df: DataFrame, path: str, id_col: str = "doc_id", text_col:
     end_base, end_score, end_known = totals.base(documents), totals.log10(documents, end), int(documents > 0)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        part, n = TaskContext.get().partitionId(), 0
+        part, n = drawn_part(), 0
         known, base, p = _table(table)
         for batch in batches:
             out = []
@@ -351,8 +349,8 @@ def language_scores(df: DataFrame, path: str, id_col: str = "doc_id", text_col:
             _CACHE["table"] = ({w: k for k, w in enumerate(joined.split(b"\n"))} if len(c) else {}, (b, c), 10.0**lp)
         return _CACHE["table"]
 
-    fields = [("part", pa.int32()), ("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("rare", pa.list_(pa.binary())), ("at", pa.list_(pa.list_(pa.int32())))]
-    found = scratch.save(rows.mapInArrow(lean(score), "part int, row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<binary>, at array<array<int>>"), "scored")
+    fields = [("part", pa.int64()), ("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("rare", pa.list_(pa.binary())), ("at", pa.list_(pa.list_(pa.int32())))]
+    found = scratch.save(rows.mapInArrow(lean(score), "part long, row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<binary>, at array<array<int>>"), "scored")
     rare = found.select("part", "row", F.explode(F.arrays_zip("rare", "at")).alias("w")).select("part", "row", F.col("w.rare").alias("word"), F.col("w.at").alias("at"))
     base = F.log10((F.col("c") + 0.1) / F.lit(totals.tokens + 0.1 * (totals.distinct + 1)))
     share = lambda t: F.lit(REPEAT) * t / (t + F.lit(RAMP))

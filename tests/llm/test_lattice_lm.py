@@ -97,3 +97,12 @@ def test_scores(docs, rows, odd, odd_rows, hot):
 
 def test_empty(empty):
     assert M.language_scores(empty, PATH).collect() == []
+
+
+def test_more_partitions_than_files(spark):
+    """Scratch tables have 64 files here at most: several partitions run in one task, and no document gets another's rare words."""
+    rows = [(k, f"thond w{k} w{k % 50} the") for k in range(400)]
+    scores = lambda n: sorted(tuple(r) for r in M.language_scores(spark.createDataFrame(rows, "doc_id long, text string").repartition(n), PATH, hot=0).collect())
+    few, many = scores(4), scores(200)
+    assert [r[:5] for r in many] == [r[:5] for r in few]
+    assert [r[5:] for r in many] == [pytest.approx(r[5:], rel=1e-9) for r in few]
