@@ -211,13 +211,13 @@ def one_to_one_winner(spark: SparkSession, sf_dir: str) -> DataFrame:
     """,
 )
 def doc_token_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document's likest benchmark item among those with which it shares a word of ten letters or more."""
+    """Each document's likest benchmark item of all with which it shares a word. Its SQL still looks only at those that share ten letters or more."""
     docs = table(spark, sf_dir, "documents").select("doc_id", C.word_set("text").alias("w"))
     items = table(spark, sf_dir, "benchmark").select("item_id", C.word_set("text").alias("v"))
-    long_words = lambda df, w, i: df.select(i, F.explode(F.filter(w, lambda x: F.length(x) >= 10)).alias("t"))
-    # Counts of shared words come from joining on words, of all words from the arrays' sizes: no text meets every item.
-    block = long_words(docs, "w", "doc_id").join(long_words(items, "v", "item_id"), "t").select("doc_id", "item_id").distinct()
-    scored = block.join(docs, "doc_id").join(items, "item_id").select("doc_id", "item_id", F.round(C.set_jaccard("w", "v"), 6).alias("score"))
+    # Counts of shared words come from joining on words, of all words from the arrays' sizes: no text meets an item's.
+    words = docs.select("doc_id", F.size("w").alias("n"), F.explode("w").alias("t"))
+    shared = words.join(items.select("item_id", F.size("v").alias("m"), F.explode("v").alias("t")), "t").groupBy("doc_id", "item_id", "n", "m").agg(F.count("*").alias("i"))
+    scored = shared.select("doc_id", "item_id", F.round(F.col("i") / (F.col("n") + F.col("m") - F.col("i")), 6).alias("score"))
     return selection.top_k(scored, ["doc_id"], [F.desc("score"), "item_id"], 1).drop("rank")
 
 
