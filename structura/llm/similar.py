@@ -21,6 +21,7 @@ from structura.llm.simhash import components, keep_first
 
 LEAST = 0.8
 BANDS, ROWS = 64, 6
+SLOTS = 1 << 22
 _RNG = np.random.default_rng(42)
 _TIMES = _RNG.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
 _PLUS = _RNG.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint64).astype(np.uint32)
@@ -158,12 +159,23 @@ def classes(df: DataFrame, fps: DataFrame, scratch: Scratch, id_col: str, text_c
     distinct = scratch.save(fps.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys")), "distinct")
     filled = distinct.where(F.col("fp") != F.lit(_signed(name(shingle_set(b"")))))
     groups = components(candidates(filled, parts), scratch)
+    distinct = scratch.save(distinct.select("fp", "rep"), "names")
+    scratch.drop("distinct")  # the keys are done
     members = scratch.save(distinct.join(groups, distinct["fp"] == groups["node"]).select(F.col("fp").alias("_fp"), "rep", "label"), "members", few=True)
 
+    # Which of SLOTS slots have a name of a set in a group: most other sets stay where they are, those left go in the join.
+    slot = F.col("_fp").bitwiseAND(SLOTS - 1)
+    used = np.zeros(SLOTS // 64, np.uint64)
+    for r in members.groupBy(F.shiftright(slot, 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(_fp & 63 as int))")).alias("bits")).collect():
+        used[r.word] = r.bits & 0xFFFFFFFFFFFFFFFF
+    shared = df.sparkSession.sparkContext.broadcast(used.tobytes())
+
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filled = np.unpackbits(np.frombuffer(shared.value, np.uint8), bitorder="little").view(bool)
         for batch in batches:
-            own = [shingle_set(bytes(v), words) for v in byte_views(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([_signed(name(s)) for s in own], pa.int64()), pa.array([s.tobytes() for s in own], pa.binary())], names=["doc_id", "fp", "shingles"])
+            own = [(i, _signed(name(s)), s.tobytes()) for i, v in zip(batch.column("doc_id").to_pylist(), byte_views(batch.column("text"))) for s in [shingle_set(bytes(v), words)]]
+            i, fp, s = zip(*[r for r in own if filled[r[1] & (SLOTS - 1)]]) if any(filled[r[1] & (SLOTS - 1)] for r in own) else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(fp, pa.int64()), pa.array(s, pa.binary())], names=["doc_id", "fp", "shingles"])
 
     # One text of each set in a group, found by the pair of identifier and name, which no group of copies makes hot.
     tagged = texts(df, id_col, text_col).mapInArrow(lean(sets), "doc_id long, fp long, shingles binary")
@@ -191,4 +203,6 @@ def similar_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     fps = scratch.save(texts(df, id_col, text_col).mapInArrow(lean(apply), "doc_id long, fp long, keys binary"), "fps")
     found = classes(df, fps, scratch, id_col, text_col, words)
-    return keep_first(df, fps.select("doc_id", "fp"), found, lambda t: name(shingle_set(t, words)), scratch, id_col, text_col)
+    own = scratch.save(fps.select("doc_id", "fp"), "own")
+    scratch.drop("fps")
+    return keep_first(df, own, found, lambda t: name(shingle_set(t, words)), scratch, id_col, text_col)
