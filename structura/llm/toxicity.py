@@ -1,11 +1,12 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained on labelled rows: one on ordinary text, one on toxic text. A toxic document is
-ordinary in most of its words, so the toxic dictionary is trained on the spans of toxic documents whose byte n-grams are
-many times as frequent there as in ordinary documents, and follows the ordinary dictionary: what is ordinary then compresses
-alike with either, and the difference of the two lengths of a window is what the toxic spans save. A document's features
-are the largest difference and the sum of those beyond a threshold; a logistic curve, fitted on labelled rows that neither
-dictionary saw, makes them a score. Labels, language, source and identifier are no inputs of a score.
+Zstandard trains two dictionaries on labelled rows: one on the windows of ordinary texts, one on those spans of toxic texts
+that a likelihood ratio of byte n-grams (of several lengths) favours, each as often as it occurs: a toxic document is
+ordinary in most of its words, and a dictionary of whole toxic texts would hold those. When windows are compressed, the
+toxic dictionary has the ordinary one before it, so what is ordinary compresses alike with either, and the difference of
+the two lengths is what the toxic spans save. A document's features are its largest difference, the sum of those beyond a
+threshold and its number of windows; a logistic curve, fitted on labelled rows that neither dictionary saw, makes them a
+score. Labels, language, source and identifier are no inputs of a score.
 """
 
 from __future__ import annotations
@@ -27,12 +28,12 @@ from structura.llm.common import byte_views, crc_mod, lean, texts
 #: The bound of the training sample: so many rows of each class at most, by hash of the identifier, and of each row's text
 #: so many code points at most (longer rows aren't sampled). Scoring knows no such bound.
 SAMPLE_TOXIC, SAMPLE_ORDINARY, SAMPLE_CHARS = 2000, 4000, 16_384
-#: Words in a window, bytes in an n-gram, the shortest match that counts, bytes of the ordinary dictionary.
-WINDOW, GRAM, MATCH, ORDINARY_BYTES, TOXIC_BYTES = 8, 5, 6, 8192, 4096
-#: An n-gram is toxic if so large a share of toxic documents has it, and so many times the share of ordinary ones.
-SHARE, TIMES = 0.004, 40
-#: A word with so large a share of toxic n-grams counts as a whole; of others, runs of them.
-WHOLE = 0.6
+#: Words in a window, the shortest match that counts, bytes of the two dictionaries.
+WINDOW, MATCH, ORDINARY_BYTES, TOXIC_BYTES = 8, 6, 8192, 2048
+#: Lengths of n-grams. One is toxic if so large a share of toxic documents has it, and so many times the share of ordinary ones.
+GRAMS, SHARE, TIMES = (5, 6, 7, 8), 0.006, 20
+#: Spans in a sample that zstandard trains on, and how often one span is repeated in samples at most.
+SPANS, REPEATS = 16, 200
 #: No text's words contain it: they are split at white space and control characters are rare.
 SEPARATOR = b"\x00"
 #: Differences from this on add to a document's sum.
@@ -43,7 +44,7 @@ GAIN = 2
 class Model:
     toxic: bytes
     ordinary: bytes
-    weights: tuple[float, float, float]
+    weights: tuple[float, float, float, float]
 
 
 def _normal(text: bytes) -> bytes:
@@ -56,15 +57,20 @@ def _windows(text: bytes, width: int = WINDOW) -> list[bytes]:
 
 
 def _grams(text: bytes) -> set[bytes]:
-    """N-grams without a blank inside: spans stay within words."""
-    return {g for g in (text[k : k + GRAM] for k in range(len(text) - GRAM + 1)) if b" " not in g[1:-1]}
+    """N-grams of each word between two blanks: spans stay within words."""
+    out: set[bytes] = set()
+    for word in set(text.split()):
+        word = b" " + word + b" "
+        for n in GRAMS:
+            out.update(word[k : k + n] for k in range(len(word) - n + 1))
+    return out
 
 
-def _trained(samples: list[bytes], size: int, fallback: bytes) -> bytes:
+def _trained(samples: list[bytes], size: int, fallback: bytes, segment: int = 48) -> bytes:
     import zstandard as z
 
     try:
-        return z.train_dictionary(size, samples, k=48, d=6).as_bytes()
+        return z.train_dictionary(size, samples, k=segment, d=6).as_bytes()
     except z.ZstdError:  # too few or too short samples to train on
         return fallback[-size:]
 
@@ -83,28 +89,31 @@ def _apart(group: list[bytes]) -> list[bytes]:
 
 
 def toxic_spans(toxic: list[bytes], ordinary: list[bytes]) -> Counter:
+    """Maximal runs of toxic n-grams in the words of toxic texts, and how often each occurs."""
     in_toxic, in_ordinary = Counter(g for t in toxic for g in _grams(t)), Counter(g for t in ordinary for g in _grams(t))
-    least = max(2, SHARE * len(toxic))
-    marked = {g for g, n in in_toxic.items() if n >= least and n / len(toxic) >= TIMES * (in_ordinary[g] + 0.25) / len(ordinary)}
+    least = max(3, SHARE * len(toxic))
+    marked = {g for g, n in in_toxic.items() if n >= least and n / len(toxic) >= TIMES * (in_ordinary[g] + 0.5) / len(ordinary)}
     spans: Counter = Counter()
-    for text in toxic:
-        for word in text.split():
-            word = b" " + word + b" "
-            hit = [word[k : k + GRAM] in marked for k in range(len(word) - GRAM + 1)]
-            if hit and sum(hit) >= WHOLE * len(hit):
-                spans[word] += 1
-                continue
-            k = 0
-            while k < len(hit):
-                first = k
-                while k < len(hit) and hit[k]:
-                    k += 1
-                if k - first >= MATCH - GRAM + 1:
-                    spans[word[first : k + GRAM - 1]] += 1
-                k += 1
+    for word, times in Counter(w for t in toxic for w in t.split()).items():
+        word = b" " + word + b" "
+        covered = np.zeros(len(word) + 2, np.int8)
+        for n in GRAMS:
+            for k in range(len(word) - n + 1):
+                if word[k : k + n] in marked:
+                    covered[k + 1 : k + n + 1] = 1
+        edges = np.flatnonzero(np.diff(covered)).tolist()
+        for begin, end in zip(edges[::2], edges[1::2]):
+            spans[word[begin:end]] += times
     return spans
 
 
+def _span_samples(spans: Counter) -> list[bytes]:
+    """What zstandard trains the toxic dictionary on: the spans in a fixed shuffled order, some in each sample."""
+    each = [s for s, n in sorted(spans.items()) for _ in range(min(n, REPEATS))]
+    order = np.random.default_rng(42).permutation(len(each)).tolist()
+    return [SEPARATOR.join(each[i] for i in order[k : k + SPANS]) for k in range(0, len(order), SPANS)]
+
+
 def _compressor(content: bytes):
     import zstandard as z
 
@@ -121,14 +130,15 @@ def _compressors(toxic: bytes, ordinary: bytes):
     return _compressor(toxic), _compressor(ordinary)
 
 
-def features(text: bytes, toxic: bytes, ordinary: bytes) -> tuple[float, float]:
+def features(text: bytes, toxic: bytes, ordinary: bytes) -> tuple[float, float, float]:
     with_toxic, with_ordinary = _compressors(toxic, ordinary)
     top = total = 0
-    for w in _windows(text):
+    windows = _windows(text)
+    for w in windows:
         gain = len(with_ordinary.compress(w)) - len(with_toxic.compress(w))
         top = max(top, gain)
         total += gain if gain >= GAIN else 0
-    return float(top), float(np.log1p(total))
+    return float(top), float(np.log1p(total)), float(np.log1p(len(windows)))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -155,7 +165,7 @@ def train(toxic: list[str], ordinary: list[str]) -> Model | None:
     common = _trained(windows[:: max(1, len(windows) // 50_000)], ORDINARY_BYTES, b"".join(windows))
     # Separators keep matches from running over two spans. Padding keeps the distances of ordinary matches equal.
     listed = SEPARATOR.join(s for s, _ in sorted(spans.items(), key=lambda x: (x[1], x[0])))
-    own = listed if len(listed) <= TOXIC_BYTES else _trained([s for s, n in sorted(spans.items()) for _ in range(n)], TOXIC_BYTES, listed)
+    own = _trained(_span_samples(spans), TOXIC_BYTES, listed, 64)
     common, own = common + SEPARATOR * len(own), common + own
     x = np.array([(1.0, *features(t, own, common)) for group in held for t in group])
     y = np.array([1.0] * len(held[0]) + [0.0] * len(held[1]))
@@ -163,23 +173,25 @@ def train(toxic: list[str], ordinary: list[str]) -> Model | None:
 
 
 def score(text: bytes, model: Model) -> float:
-    top, total = features(text, model.toxic, model.ordinary)
-    a, b, c = model.weights
-    return float(1 / (1 + np.exp(-np.clip(a + b * top + c * total, -30, 30))))
+    z = float(np.dot(model.weights, (1.0, *features(text, model.toxic, model.ordinary))))
+    return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 5) -> Model | None:
     """Train on a bounded sample of the labelled rows whose crc32 of the identifier as text isn't 0 modulo folds.
 
-    Null labels, identifiers and texts aren't sampled; a repeated identifier counts once.
+    Null labels, identifiers and texts aren't sampled; a repeated identifier counts once, with its least text.
     """
     known = labels.where((crc_mod(id_col, folds) != 0) & F.col(label_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label"))
     rows = texts(docs.where(F.col(text_col).isNotNull()), id_col, text_col).where(F.length("text") <= SAMPLE_CHARS)
-    picked: dict[int, list[str]] = {}
+    ids = None
     for label, most in ((1, SAMPLE_TOXIC), (0, SAMPLE_ORDINARY)):
-        ids = known.where(F.col("label") == label).groupBy("doc_id").agg(F.first("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).select("doc_id")
-        found = rows.join(F.broadcast(ids), "doc_id")  # at most `most` identifiers
-        picked[label] = [r.text for r in found.dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).collect()]
+        own = known.where(F.col("label") == label).groupBy("doc_id", "label").agg(F.count("*")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).select("doc_id", "label")
+        ids = own if ids is None else ids.unionByName(own)
+    found = rows.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))  # so many identifiers at most
+    picked: dict[int, list[str]] = {0: [], 1: []}
+    for r in sorted(found.withColumn("h", F.xxhash64("doc_id")).collect(), key=lambda r: (r.h, r.doc_id)):
+        picked[r.label].append(r.text)
     return train(picked[1], picked[0])
 
 
