@@ -175,21 +175,22 @@ def links(distinct: DataFrame, parts: int) -> DataFrame:
     return arrays.repartition(parts, "bucket").select("anchors", "fps").mapInArrow(lean(compare), "src long, dst long").where("src <> dst").distinct()
 
 
-def components(edges: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, label): the component of every node that has an edge, labelled by its smallest node.
 
     Each round sends every larger neighbour to the smallest (large star), then every smaller one (small star), until the
-    edges are stars. Joins are on nodes, minima are combined before they move, and only counts come to the driver.
+    edges are stars, however many rounds that takes (their number grows with the logarithm of the edges). Joins are on nodes,
+    minima are combined before they move, and only counts come to the driver.
     """
-    now, seen, k = scratch.save(edges.select("src", "dst"), "edges0", few=True), None, 0
-    while k < rounds:
+    now, seen, k = scratch.save(edges.select("src", "dst"), "edges0"), None, 0
+    while True:
         both = now.unionByName(now.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
         least = both.groupBy("src").agg(F.least(F.col("src"), F.min("dst")).alias("m"))
         large = both.join(least, "src").where("dst > src").select(F.col("dst").alias("src"), F.col("m").alias("dst")).where("src <> dst").distinct()
         least = large.groupBy("src").agg(F.min("dst").alias("m"))
         small = large.join(least, "src").select(F.col("dst").alias("a"), F.col("src").alias("b"), "m")
         star = small.select(F.explode(F.array(F.struct(F.col("a").alias("src"), F.col("m").alias("dst")), F.struct(F.col("b").alias("src"), F.col("m").alias("dst")))).alias("e")).select("e.*").where("src <> dst").distinct()
-        after = scratch.save(star, f"edges{k + 1}", few=True)
+        after = scratch.save(star, f"edges{k + 1}")
         state = after.agg(F.count("*"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first()
         if k:
             scratch.drop(f"edges{k}")
