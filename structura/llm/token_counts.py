@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from structura.llm.bpe import encode
-from structura.llm.common import lean, texts
+from structura.llm.common import Scratch, lean, texts
 
 #: Lengths are summed in buckets of so many first, so that no window runs over all of them.
 BUCKET = 1024
@@ -40,7 +40,8 @@ def length_histogram(df: DataFrame, path: str, pattern: str, id_col: str = "doc_
             names=["n_tokens", "n_docs", "first_doc"],
         )
 
-    partial = texts(df, id_col, text_col).mapInArrow(lean(count), "n_tokens long, n_docs long, first_doc long")
+    # A row for each task and length, saved: suffix sums read the histogram twice, and it must not encode all texts twice.
+    partial = Scratch(df.sparkSession, "lengths").save(texts(df, id_col, text_col).mapInArrow(lean(count), "n_tokens long, n_docs long, first_doc long"), "partial")
     return partial.groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs"), F.min("first_doc").alias("first_doc"))
 
 
