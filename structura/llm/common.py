@@ -17,6 +17,9 @@ BLANK = " \t\n\x0b\x0c\r"
 #: Where scratch tables lie in local files, no check sums beside them: each would cost a process to set its permissions.
 _PLAIN_FILES = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
 
+#: Bytes of an Arrow batch beyond which no more rows join it.
+BATCH_BYTES = 8 << 20
+
 _left: list[tuple[SparkSession, str]] = []
 
 
@@ -26,6 +29,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not base:
         base = getattr(spark.sparkContext, "_structura_dir", None)
         if not base:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             base = tempfile.mkdtemp(prefix="structura-")
             spark.sparkContext._structura_dir = base
     return base.rstrip("/")
@@ -34,6 +39,7 @@ def shared_dir(spark: SparkSession) -> str:
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Send Python workers so many rows at a time: texts are long, and default batches of 10,000 fill an executor's memory."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def lean(stage: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
@@ -71,9 +77,13 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def fewer_files(df: DataFrame, waves: int = 4, least: int = 64) -> DataFrame:
-    """df in at most so many waves of tasks over all cores: thousands of small files cost more than the rows in them."""
-    return df.coalesce(max(least, waves * df.sparkSession.sparkContext.defaultParallelism))
+def fewer_files(df: DataFrame) -> DataFrame:
+    """df in at most so many waves of tasks over all cores: thousands of small files cost more than the rows in them.
+
+    Two waves on few cores, up to eight on many, where a task that is lost should be a small part of the whole.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.coalesce(max(12, cores * min(8, max(2, cores // 16))))
 
 
 class Scratch:
@@ -86,12 +96,12 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def save(self, df: DataFrame, name: str, codec: str = "zstd", few: bool = False) -> DataFrame:
+    def save(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
         """Write a table and read it again; the shuffle files that it took are removed once it is there.
 
-        It has as many files as few waves of tasks write at most; small tables (few) have fewer.
+        It has as many files as few waves of tasks write at most.
         """
-        df = fewer_files(df, 2 if few else 4, 12 if few else 64)
+        df = fewer_files(df)
         self.at[name] = path = f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
         key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
         before = self.spark.conf.get(key, None)

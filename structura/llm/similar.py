@@ -161,7 +161,7 @@ def classes(df: DataFrame, fps: DataFrame, scratch: Scratch, id_col: str, text_c
     groups = components(candidates(filled, parts), scratch)
     distinct = scratch.save(distinct.select("fp", "rep"), "names")
     scratch.drop("distinct")  # the keys are done
-    members = scratch.save(distinct.join(groups, distinct["fp"] == groups["node"]).select(F.col("fp").alias("_fp"), "rep", "label"), "members", few=True)
+    members = scratch.save(distinct.join(groups, distinct["fp"] == groups["node"]).select(F.col("fp").alias("_fp"), "rep", "label"), "members")
 
     # Which of SLOTS slots have a name of a set in a group: most other sets stay where they are, those left go in the join.
     slot = F.col("_fp").bitwiseAND(SLOTS - 1)
@@ -180,7 +180,7 @@ def classes(df: DataFrame, fps: DataFrame, scratch: Scratch, id_col: str, text_c
     # One text of each set in a group, found by the pair of identifier and name, which no group of copies makes hot.
     tagged = texts(df, id_col, text_col).mapInArrow(lean(sets), "doc_id long, fp long, shingles binary")
     grouped = tagged.join(members, (tagged["fp"] == members["_fp"]) & tagged["doc_id"].eqNullSafe(members["rep"])).select("label", "fp", "shingles")
-    confirmed = scratch.save(grouped.repartition(parts, "label").sortWithinPartitions("label").mapInArrow(lean(_confirm), "fp long, label long"), "confirmed", few=True)
+    confirmed = scratch.save(grouped.repartition(parts, "label").sortWithinPartitions("label").mapInArrow(lean(_confirm), "fp long, label long"), "confirmed")
     return distinct.select("fp").join(confirmed.withColumnRenamed("fp", "_fp"), F.col("fp") == F.col("_fp"), "left").select("fp", F.coalesce("label", "fp").alias("label"))
 
 
