@@ -26,27 +26,32 @@ THRESHOLD = 3
 CROWDED = 4096
 
 
-def fingerprint(text: bytes, words: int = 3) -> int:
-    """A text's fingerprint: bit b is 1 if it is set in over half the XXH64 hashes (seed 42) of its shingles."""
+def shingle_hashes(text: bytes, words: int = 3) -> np.ndarray:
+    """XXH64 hashes (seed 42) of a text's shingles, repeats included; a shorter text is one shingle, one without words none."""
     import xxhash
 
     parts = text.lower().split()
     if not parts:
-        return 0
+        return np.zeros(0, "<u8")
     line = b" ".join(parts)
     ends = np.cumsum([len(p) + 1 for p in parts]) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
-    if len(parts) > words:
-        starts, ends = starts[: len(parts) - words + 1], ends[words - 1 :]
-    else:
-        starts, ends = starts[:1], ends[-1:]
+    n = min(words, len(parts))
     h = xxhash.xxh64_intdigest
-    hashes = np.array([h(line[a:b], 42) for a, b in zip(starts.tolist(), ends.tolist())], dtype="<u8")
+    return np.array([h(line[a:b], 42) for a, b in zip(starts[: len(parts) - n + 1].tolist(), ends[n - 1 :].tolist())], dtype="<u8")
+
+
+def majority(hashes: np.ndarray) -> int:
+    """Bit b is 1 if it is set in over half the hashes."""
     counts = np.zeros(64, dtype=np.int64)
     for k in range(0, len(hashes), 1 << 14):  # a megabyte of bits at a time, however long the text
         counts += np.unpackbits(hashes[k : k + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    bits = counts * 2 > len(hashes)
-    return int(np.packbits(bits, bitorder="little").view("<u8")[0])
+    return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")[0])
+
+
+def fingerprint(text: bytes, words: int = 3) -> int:
+    """A text's fingerprint: the majority of its shingles' hashes; zero for a text without words."""
+    return majority(shingle_hashes(text, words))
 
 
 def _signed(values: list[int]) -> pa.Array:

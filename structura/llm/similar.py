@@ -1,10 +1,12 @@
 """Near-duplicates by Jaccard: texts whose sets of word shingles have a likeness of LEAST or more are linked.
 
-A set of minima of BANDS x ROWS hashes gives BANDS keys of ROWS minima each. Two sets of likeness 0.8 share none of the keys
-with a probability of (1 - 0.8 ** ROWS) ** BANDS = 4e-9, so what the keys leave out is nothing that a corpus would show.
-Texts that share a key, directly or through others, form a candidate group. Every link lies within one group, whose sets
-meet in one task, once, and are compared exactly: a search from set to set, as in simhash, so that a group of near copies
-takes a comparison each. A group is as large as its texts are many: its sets have to fit into a task.
+Candidates come from two coverings. SimHash fingerprints of the shingles meet at their anchors (simhash.links: all pairs
+within its threshold). As sets of likeness 0.8 differ in 4 to 16 bits, more than anchors can cover, a set also has the
+minima of BANDS x ROWS hashes as BANDS keys of ROWS minima each: two sets of likeness 0.8 share none of them with a
+probability of (1 - 0.8 ** ROWS) ** BANDS = 4e-9, so what the keys leave out is nothing that a corpus would show.
+Texts that share a key or are linked, directly or through others, form a candidate group. Every link lies within one group,
+whose sets meet in one task, once, and are compared exactly: a search from set to set, as in simhash, so that a group of
+near copies takes a comparison each. A group is as large as its texts are many: its sets have to fit into a task.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from structura.llm.common import Scratch, byte_views, lean, shuffle_partitions, texts
-from structura.llm.simhash import components, keep_first
+from structura.llm.simhash import components, keep_first, links, majority, shingle_hashes
 
 LEAST = 0.8
 BANDS, ROWS = 64, 6
@@ -29,18 +31,8 @@ _MIX = _RNG.integers(0, 1 << 63, (BANDS, ROWS), dtype=np.uint64) * np.uint64(2)
 
 
 def shingle_set(text: bytes, words: int = 5) -> np.ndarray:
-    """The distinct XXH64 hashes (seed 42) of a text's shingles, ascending; a shorter text is one shingle, one without words none."""
-    import xxhash
-
-    parts = text.lower().split()
-    if not parts:
-        return np.zeros(0, np.uint64)
-    line = b" ".join(parts)
-    ends = np.cumsum([len(p) + 1 for p in parts]) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))
-    n = min(words, len(parts))
-    h = xxhash.xxh64_intdigest
-    return np.unique(np.array([h(line[a:b], 42) for a, b in zip(starts[: len(parts) - n + 1].tolist(), ends[n - 1 :].tolist())], dtype=np.uint64))
+    """The distinct hashes of a text's shingles, ascending."""
+    return np.unique(shingle_hashes(text, words))
 
 
 def name(shingles: np.ndarray) -> int:
@@ -99,6 +91,15 @@ def candidates(distinct: DataFrame, parts: int) -> DataFrame:
     return arrays.repartition(parts, "bucket").select("keys", "fps").mapInArrow(lean(star), "src long, dst long").distinct()
 
 
+def anchored(distinct: DataFrame, parts: int, scratch: Scratch) -> DataFrame:
+    """(src, dst): links between sets (columns fp, sim) whose fingerprints are equal or within simhash's threshold."""
+    heads = scratch.save(distinct.groupBy("sim").agg(F.min("fp").alias("head")), "heads")
+    star = distinct.select("sim", "fp").join(heads, "sim").where("fp <> head").select(F.col("head").alias("src"), F.col("fp").alias("dst"))
+    found = links(heads.select(F.col("sim").alias("fp")), parts)
+    end = lambda c: heads.select(F.col("sim").alias(c), F.col("head").alias(f"{c}_head"))
+    return star.unionByName(found.join(end("src"), "src").join(end("dst"), "dst").select(F.col("src_head").alias("src"), F.col("dst_head").alias("dst")))
+
+
 def connect(sets: list[np.ndarray], least: float = LEAST) -> np.ndarray:
     """The number of each set's component, where sets of that likeness or more are linked. Sets aren't empty."""
     label = np.full(len(sets), -1)
@@ -154,11 +155,11 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def classes(df: DataFrame, fps: DataFrame, scratch: Scratch, id_col: str, text_col: str, words: int) -> DataFrame:
-    """(fp, label): for every set of fps (doc_id, fp, keys), the component of sets that links connect."""
+    """(fp, label): for every set of fps (doc_id, fp, keys, sim), the component of sets that links connect."""
     parts = shuffle_partitions(df.sparkSession)
-    distinct = scratch.save(fps.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys")), "distinct")
+    distinct = scratch.save(fps.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"), F.min("sim").alias("sim")), "distinct")
     filled = distinct.where(F.col("fp") != F.lit(_signed(name(shingle_set(b"")))))
-    groups = components(candidates(filled, parts), scratch)
+    groups = components(candidates(filled, parts).unionByName(anchored(filled, parts, scratch)), scratch)
     distinct = scratch.save(distinct.select("fp", "rep"), "names")
     scratch.drop("distinct")  # the keys are done
     members = scratch.save(distinct.join(groups, distinct["fp"] == groups["node"]).select(F.col("fp").alias("_fp"), "rep", "label"), "members")
@@ -198,10 +199,14 @@ def similar_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = [shingle_set(bytes(v), words) for v in byte_views(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([_signed(name(s)) for s in own], pa.int64()), pa.array([keys(s).tobytes() for s in own], pa.binary())], names=["doc_id", "fp", "keys"])
-
-    fps = scratch.save(texts(df, id_col, text_col).mapInArrow(lean(apply), "doc_id long, fp long, keys binary"), "fps")
+            hashes = [shingle_hashes(bytes(v), words) for v in byte_views(batch.column("text"))]
+            own = [np.unique(h) for h in hashes]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array([_signed(name(s)) for s in own], pa.int64()), pa.array([keys(s).tobytes() for s in own], pa.binary()), pa.array([_signed(majority(h)) for h in hashes], pa.int64())],
+                names=["doc_id", "fp", "keys", "sim"],
+            )
+
+    fps = scratch.save(texts(df, id_col, text_col).mapInArrow(lean(apply), "doc_id long, fp long, keys binary, sim long"), "fps")
     found = classes(df, fps, scratch, id_col, text_col, words)
     own = scratch.save(fps.select("doc_id", "fp"), "own")
     scratch.drop("fps")
