@@ -80,10 +80,11 @@ def remove(spark: SparkSession, path: str) -> None:
 def fewer_files(df: DataFrame) -> DataFrame:
     """df in at most so many waves of tasks over all cores: thousands of small files cost more than the rows in them.
 
-    Two waves on few cores, up to eight on many, where a task that is lost should be a small part of the whole.
+    One wave on few cores, up to eight on many, where a task that is lost should be a small part of the whole. For every file
+    in a local folder, an executor starts a process that sets its permissions.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.coalesce(max(12, cores * min(8, max(2, cores // 16))))
+    return df.coalesce(cores * min(8, max(1, cores // 16)))
 
 
 class Scratch:
