@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from structura.llm import exact_dedup, packing, similar, suffix_dedup, toxicity
 from structura.llm.common import fewer_files, shared_dir, small_batches
 
+#: Bytes of a passage that repeats: what 50 words take at least.
+PASSAGE = 256
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -33,7 +35,7 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Likeness of 0.8 or more of sets of five-word shingles: of each component the document with the smallest identifier stays."""
+    """Operator 5, widened to a likeness of 0.8 or more of sets of five-word shingles: of each component the document with the smallest identifier stays."""
     small_batches(spark)
     return fewer_files(similar.similar_dedup(docs.select(*COLUMNS), words=5))
 
@@ -57,7 +59,7 @@ def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
     # Other columns ride along with the text.
     carried = docs.select("doc_id", "text", F.struct(*rest).alias("rest"))
-    kept = suffix_dedup.repeated_spans(carried, carry="rest", finish=keep, schema=f"doc_id long, text string, rest {carried.schema['rest'].dataType.simpleString()}")
+    kept = suffix_dedup.repeated_spans(carried, length=PASSAGE, carry="rest", finish=keep, schema=f"doc_id long, text string, rest {carried.schema['rest'].dataType.simpleString()}")
     values = {"doc_id": F.col("doc_id").cast(fields["doc_id"].dataType), "text": F.col("text"), **{c: F.col(f"rest.{c}") for c in rest}, "n_chars": F.length("text").cast(fields["n_chars"].dataType)}
     return fewer_files(kept.select(*[values[c].alias(c) for c in COLUMNS]))
 
