@@ -12,7 +12,7 @@ of no matter, so prefixes are named to that depth only:
 3. Remaining suffixes. A window that starts between samples can only repeat if a sampled suffix that it reaches was kept.
    Windows that start so far before an open sample are named in full, sorted, and compared with their neighbours.
 
-Before that, windows are thinned out exactly: each has a minimizer, the least hash of the GRAM-byte strings in it, which
+Before that, windows are thinned out exactly: each has a minimizer, the least hash of its strings of GRAM bytes, which
 equal windows share; a window whose minimizer occurs once is dropped, and so most of a corpus never gets to the sort.
 
 A name is a pair of polynomial hashes of 64 and 32 bits, of which equal strings have equal ones; a false match takes a
@@ -34,9 +34,10 @@ from pyspark.sql import functions as F
 from structura.llm.common import Scratch, flat_bytes, lean, shuffle_partitions
 
 LENGTH = 400
+#: Bytes of the strings whose least hash stands for a window, half a window at most.
+GRAM = 200
 #: A difference cover: every residue modulo V is a difference of two members of D.
 V, D = 133, (0, 1, 3, 12, 20, 34, 38, 81, 88, 94, 104, 109)
-GRAM = 200
 #: Bytes that are hashed at a time, and entries that a task gathers before it sends them.
 STRETCH, HELD = 1 << 19, 1 << 19
 #: Names that occur more often than this are open without asking: no task is asked about a name more often.
@@ -408,7 +409,8 @@ def repeated_spans(
     exchange = _Exchange(parts)
     docs = _keyed(df, id_col, text_col, carry, scratch)
     kind = docs.schema["carried"].dataType.simpleString()
-    width, prefix = length - GRAM + 1, length - V + 1
+    gram = min(GRAM, length // 2)
+    width, prefix = length - gram + 1, length - V + 1
 
     def thin_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         add, flush = exchange.sender()
@@ -417,7 +419,7 @@ def repeated_spans(
             keys = batch.column("key").to_numpy()
             for group in stretches(bounds, length):
                 own, value, position, valid = _gathered(flat, group, length)
-                at, h = minimizers(own, valid, length)
+                at, h = minimizers(own, valid, length, gram)
                 # Windows of neighbouring stretches may choose the same one; it must not count as its own repetition.
                 place = np.unique(value[at].astype(np.int64) * (1 << 40) + position[at], return_index=True)[1]
                 at, h = at[place], h[place]
