@@ -38,10 +38,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     "SELECT coalesce(o_orderstatus, '') AS status, coalesce(o_orderpriority, '') AS severity, count(*) AS n FROM orders GROUP BY 1, 2",
 )
 def status_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders")
-    return orders.groupBy(
-        F.coalesce("o_orderstatus", F.lit("")).alias("status"), F.coalesce("o_orderpriority", F.lit("")).alias("severity")
-    ).agg(F.count("*").alias("n"))
+    return summary.count_by(table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("severity")), "status", "severity")
 
 
 # ---- summaries of results
@@ -108,10 +105,9 @@ def failing_targets_per_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary.failing_targets(table(spark, sf_dir, "events").where("value > 5"), "event_type", "user_id")
 
 
-@query("timings_summary", "SELECT count(*) AS n, round(max(value), 6) AS longest, round(min(value), 6) AS shortest FROM events WHERE value IS NOT NULL HAVING count(*) > 0")
+@query("timings_summary", "SELECT count(*) AS n, round(CAST(sum(CAST(value AS DECIMAL(18, 2))) AS DOUBLE), 3) AS total, round(max(value), 6) AS longest, round(avg(value), 5) AS mean FROM events WHERE value IS NOT NULL HAVING count(*) > 0")
 def timings_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "events")
-    return summary.timings(rows, "value").join(rows.agg(F.round(F.min("value"), 6).alias("shortest"))).select("n", "longest", "shortest")
+    return summary.timings(table(spark, sf_dir, "events"), "value").select("n", F.round("total", 3).alias("total"), "longest", F.round("mean", 5).alias("mean"))
 
 
 @query(

@@ -5,6 +5,7 @@ Names follow what they compute: a dotted name is a module path like `pkg.sub.mod
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -201,6 +202,82 @@ def format_edge(origin: Name, end: Name) -> Column:
     return F.concat_ws(" -> ", _c(origin), _c(end))
 
 
+def result_id(*fields: Name) -> Column:
+    """Sixteen digits of a hash of the fields, joined by bars; nulls are empty."""
+    return F.substring(F.sha1(F.concat_ws("|", *[F.coalesce(_c(f).cast("string"), F.lit("")) for f in fields])), 1, 16)
+
+
+def mangled(owner: Name, attribute: Name) -> Column:
+    """What an attribute is called inside a class: `__x` of `_Own` is `_Own__x`, other names stay."""
+    private = F.startswith(_c(attribute), F.lit("__")) & ~F.endswith(_c(attribute), F.lit("__"))
+    bare = F.regexp_replace(_c(owner), r"^_+", "")
+    return F.when(private & (bare != ""), F.concat(F.lit("_"), bare, _c(attribute))).otherwise(_c(attribute))
+
+
+def utc_text(ts: Name) -> Column:
+    """A time as ISO 8601 in UTC, to the second, ending in Z. The session's time zone has to be UTC."""
+    return F.date_format(_c(ts), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def fill_template(template: str, values: dict[str, Name]) -> Column:
+    """A message template with {names} filled in; a null or unknown name gives ?."""
+    pieces, at = [], 0
+    for m in re.finditer(r"\{(\w+)\}", template):
+        pieces += [F.lit(template[at : m.start()]), F.coalesce(_c(values[m.group(1)]).cast("string"), F.lit("?")) if m.group(1) in values else F.lit("?")]
+        at = m.end()
+    return F.concat(*pieces, F.lit(template[at:]))
+
+
+def under_package(module: Name, package: str) -> Column:
+    """A module's name below a package: '' for the package itself, null for modules outside it."""
+    m = _c(module)
+    return F.when(m == package, F.lit("")).when(F.startswith(m, F.lit(f"{package}.")), F.substr(m, F.lit(len(package) + 2)))
+
+
+def by_suffix(module: Name, suffix: Name) -> Column:
+    """What precedes a dotted suffix in a module's name: '' if they are equal, null if the name doesn't end in it."""
+    m, s = _c(module), _c(suffix)
+    return F.when(m == s, F.lit("")).when((s != "") & F.endswith(m, F.concat(F.lit("."), s)), F.substr(m, F.lit(1), F.length(m) - F.length(s) - 1))
+
+
+# ---- predicates on names, rules and facts
+
+
+def name_matches(name: Name, mode: str, own: Name | None = None, names: Sequence[str] = (), pattern: str | None = None) -> Column:
+    """any; exact: the reference's own name; alias: that or one of names; names: one of names; regex: the whole name."""
+    n = _c(name)
+    if mode == "any":
+        return n.isNotNull()
+    if mode == "regex":
+        if pattern is None:
+            raise ValueError("name_match='regex' needs a pattern")
+        return F.rlike(n, F.lit(f"^(?:{pattern})$"))
+    listed = n.isin(list(names)) if names else F.lit(False)
+    if mode == "names":
+        return listed
+    if own is None or mode not in ("exact", "alias"):
+        raise ValueError(f"unknown name_match {mode!r}, or no name of the reference's to compare")
+    return (n == _c(own)) if mode == "exact" else (n == _c(own)) | listed
+
+
+def is_problem(status: Name) -> Column:
+    """Whether a result is neither fine nor skipped; a null status is a problem."""
+    return F.coalesce(~_c(status).isin("OK", "SKIPPED"), F.lit(True))
+
+
+def rule_matches(rule_id: Name, wanted: Sequence[str]) -> Column:
+    """Whether a rule's identifier `marker@entity` starts with one of the wanted texts, or has one as its marker."""
+    out = F.lit(False)
+    for w in wanted:
+        out = out | F.startswith(_c(rule_id), F.lit(w)) | (F.substring_index(_c(rule_id), "@", 1) == w)
+    return out
+
+
+def signature_fits(fact: Name, signature: Name) -> Column:
+    """Whether every key that a catalogue entry declares (a map) has the same value in a fact (a map)."""
+    return F.forall(F.map_keys(_c(signature)), lambda k: F.coalesce(F.try_element_at(_c(fact), k) == F.try_element_at(_c(signature), k), F.lit(False)))
+
+
 # ---- order
 
 

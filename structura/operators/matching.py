@@ -125,15 +125,31 @@ def candidates(sources: DataFrame, targets: DataFrame, config: Config = Config()
     return selection.top_k(other.unionByName(third), ["project", "source_id"], _rank(), max(config.top_n, 2))
 
 
-def match(sources: DataFrame, targets: DataFrame, config: Config = Config(), mapping: DataFrame | None = None) -> DataFrame:
-    """A row for each project and source: (project, source_id, target_id, status, confidence, stage)."""
-    exact = exact_pairs(sources, targets)
+def required_names(pairs: DataFrame, sources: DataFrame, targets: DataFrame) -> DataFrame:
+    """Of pairs (project, source_id, target_id) those whose qualified names agree: for rules that a renamed entity can't meet."""
+    s = sources.select(F.col("canonical_id").alias("source_id"), F.col("qualname").alias("_s"))
+    t = targets.select("project", F.col("canonical_id").alias("target_id"), F.col("qualname").alias("_t"))
+    return pairs.join(s, "source_id").join(t, ["project", "target_id"]).where("_s = _t").select(*pairs.columns)
+
+
+def match(sources: DataFrame, targets: DataFrame, config: Config = Config(), mapping: DataFrame | None = None, explicit: DataFrame | None = None, same_names: bool = False) -> DataFrame:
+    """A row for each project and source: (project, source_id, target_id, status, confidence, stage).
+
+    explicit names targets of some sources, which go before all stages; with same_names only equal qualified names are candidates.
+    """
+    exact = exact_pairs(sources, targets).withColumn("stage", F.lit("exact"))
+    if explicit is not None:
+        named = explicit_pairs(sources, targets, explicit).withColumn("stage", F.lit("explicit"))
+        exact = named.unionByName(exact.join(named, ["project", "source_id"], "left_anti").join(named, ["project", "target_id"], "left_anti"))
     found = candidates(sources, targets, config, exact)
+    if same_names:
+        found = required_names(found, sources, targets)
+        found = selection.top_k(found.drop("rank"), ["project", "source_id"], _rank(), max(config.top_n, 2))
     best, then = F.max(F.when(F.col("rank") == 1, F.col("confidence"))), F.max(F.when(F.col("rank") == 2, F.col("confidence")))
     scored = found.groupBy("project", "source_id").agg(F.max(F.when(F.col("rank") == 1, F.col("target_id"))).alias("target_id"), best.alias("confidence"), then.alias("second"), F.first("stage").alias("stage"))
     status = selection.match_status(F.col("confidence"), F.col("second"), config.threshold, config.delta, config.min_candidate)
     scored = scored.select("project", "source_id", "target_id", status.alias("status"), "confidence", "stage")
-    sure = exact.select("project", "source_id", "target_id", F.lit("MATCHED").alias("status"), F.lit(1.0).alias("confidence"), F.lit("exact").alias("stage"))
+    sure = exact.select("project", "source_id", "target_id", F.lit("MATCHED").alias("status"), F.lit(1.0).alias("confidence"), "stage")
     everyone = sources.select(F.col("canonical_id").alias("source_id")).crossJoin(targets.select("project").distinct())
     rows = everyone.join(sure.unionByName(scored), ["project", "source_id"], "left").select("project", "source_id", "target_id", F.coalesce("status", F.lit("UNMATCHED")).alias("status"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"), "stage")
     return settle(rows, found, sources, targets, config, mapping)

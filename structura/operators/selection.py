@@ -73,3 +73,23 @@ def in_turn_once(rows: DataFrame, group: str, order: Order, identity: str, limit
 def page(rows: DataFrame, order: Order, offset: int = 0, limit: int = 50, most: int = 500) -> DataFrame:
     """One page in order; offset and limit are clamped."""
     return rows.orderBy(*order).offset(max(0, offset)).limit(max(1, min(limit, most)))
+
+
+#: Total orders in which entities, matches, results, targets and evidence are listed.
+ORDERS = {
+    "entities": ("role", "root", "module", "lineno", "qualname", "kind", "canonical_id"),
+    "matches": ("source_id", "target_id", "status"),
+    "results": ("target", "rule_id", "source_id", "target_id", "status", "message"),
+    "targets": ("target",),
+    "evidence": ("target", "kind", "module", "lineno", "evidence_id"),
+}
+
+
+def in_order(rows: DataFrame, kind: str) -> DataFrame:
+    """Rows in their kind's total order, by those of its columns that there are; nulls first."""
+    return rows.orderBy(*[F.asc_nulls_first(c) for c in ORDERS[kind] if c in rows.columns])
+
+
+def first_in_order(rows: DataFrame, order: Order, limit: int) -> DataFrame:
+    """The first rows of a total order, as of the mutants that a run tries: a top-k, no global sort."""
+    return rows.orderBy(*order).limit(limit)

@@ -108,3 +108,69 @@ def case_coverage(expected: DataFrame, executed: DataFrame, by: Sequence[str] =
     hit = executed.select(*by, "line").distinct().withColumn("hit", F.lit(1))
     n = expected.select(*by, "line").distinct().join(hit, [*by, "line"], "left").groupBy(*by).agg(F.count("*").alias("lines"), F.coalesce(F.sum("hit"), F.lit(0)).alias("run"))
     return n.withColumn("ratio", F.col("run") / F.col("lines"))
+
+
+#: Statuses of a project without a reference, first match first.
+GLOBAL_STATUSES = ("not_applied", "violated", "unverified", "ok")
+VERDICTS = ("passed", "failed", "not_judged")
+
+
+def count_where(rows: DataFrame, condition: Column, by: Sequence[str] = ()) -> DataFrame:
+    """(by, n): rows for which a condition holds; a null doesn't."""
+    return rows.groupBy(*by).agg(F.count_if(condition).alias("n"))
+
+
+def status_pivot(matches: DataFrame, statuses: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """(by, a column for each status): counts in one pass, zero where there is none."""
+    return matches.groupBy(*by).agg(*[F.count_if(F.col("status") == s).alias(s.lower()) for s in statuses])
+
+
+def verdict_counts(verdicts_: DataFrame) -> DataFrame:
+    """(verdict, n, ordinal) in the fixed order of verdicts, those that don't occur too."""
+    every = verdicts_.sparkSession.createDataFrame([(v, k) for k, v in enumerate(VERDICTS)], "verdict string, ordinal int")
+    n = verdicts_.groupBy("verdict").agg(F.count("*").alias("n"))
+    return every.join(n, "verdict", "left").select("verdict", F.coalesce("n", F.lit(0)).alias("n"), "ordinal")
+
+
+def first_names(rows: DataFrame, by: Sequence[str], name: str, order: Sequence[str], limit: int) -> DataFrame:
+    """(by, names, total): distinct names in the order in which they are first seen, at most limit of them listed."""
+    seen = rows.groupBy(*by, name).agg(F.min(F.struct(*order)).alias("at"))
+    ranked = seen.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy("at", name)))
+    listed = F.transform(F.array_sort(F.collect_list(F.when(F.col("_n") <= limit, F.struct(F.col("_n").alias("k"), F.col(name).alias("v"))))), lambda x: x["v"])
+    return ranked.groupBy(*by).agg(listed.alias("names"), F.count("*").alias("total"))
+
+
+def global_status(applied: Column, violations: Column, unjudged: Column, covered: Column, mutants_survived: Column, dropped: Column, disputed: Column) -> Column:
+    """struct(status, reason) of a principle on a project without a reference: what stands first in this order decides."""
+
+    def own(status: str, reason: str) -> Column:
+        return F.struct(F.lit(status).alias("status"), F.lit(reason).alias("reason"))
+
+    return (
+        F.when(~applied, own("not_applied", "no_role"))
+        .when(violations > 0, own("violated", "findings"))
+        .when(unjudged > 0, own("unverified", "not_judged"))
+        .when(~covered, own("unverified", "coverage"))
+        .when(mutants_survived > 0, own("unverified", "mutants"))
+        .when(dropped > 0, own("unverified", "dropped"))
+        .when(disputed > 0, own("unverified", "disputed"))
+        .otherwise(own("ok", ""))
+    )
+
+
+def most_specific(hits: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Of the catalogue errors that fit a fact, the one whose signature has most keys, then the first in the catalogue.
+
+    hits: by, error, keys (how many), ordinal.
+    """
+    best = F.min(F.struct((-F.col("keys")).alias("k"), "ordinal", "error"))
+    return hits.groupBy(*by).agg(best.alias("b")).select(*by, F.col("b.error").alias("error"))
+
+
+def not_judged_reason(results: DataFrame, by: Sequence[str]) -> DataFrame:
+    """(by, reason): why a target has no verdict: an error, a failure without facts, or nothing that was judged."""
+    n = results.groupBy(*by).agg(
+        F.count_if(F.col("status") == "ERROR").alias("errors"), F.count_if((F.col("status") == "FAILED") & (F.coalesce(F.size("facts"), F.lit(0)) <= 0)).alias("bare"), F.count_if(F.col("status") != "SKIPPED").alias("judged")
+    )
+    reason = F.when(F.col("errors") > 0, "error").when(F.col("bare") > 0, "failed_without_facts").when(F.col("judged") == 0, "nothing_judged")
+    return n.select(*by, reason.alias("reason")).where("reason is not null")
