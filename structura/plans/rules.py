@@ -348,7 +348,8 @@ def compare_parameters(pairs: DataFrame, expected: DataFrame, found: DataFrame,
     f = pairs.join(found, ["project", "target_id"]).select("pair", *[c for c in found.columns if c.startswith("f_")])
     typed = F.when(F.col("e_annotation").isNotNull() & F.col("f_annotation").isNotNull() & (F.col("e_annotation") != F.col("f_annotation")), F.concat(F.lit("annotation of "), "e_name"))
     if mode == "exact":
-        both = e.join(f, (e["pair"] == f["pair"]) & (F.col("e_place") == F.col("f_place")), "full").select(F.coalesce(e["pair"], f["pair"]).alias("pair"), "e_name", "f_name", "e_kind", "f_kind", "e_required", "f_required", "e_annotation", "f_annotation")
+        e, f = e.withColumnRenamed("pair", "e_pair"), f.withColumnRenamed("pair", "f_pair")
+        both = e.join(f, (F.col("e_pair") == F.col("f_pair")) & (F.col("e_place") == F.col("f_place")), "full").select(F.coalesce("e_pair", "f_pair").alias("pair"), "e_name", "f_name", "e_kind", "f_kind", "e_required", "f_required", "e_annotation", "f_annotation")
         counts = both.groupBy("pair").agg(F.count("e_name").alias("n"), F.count("f_name").alias("m")).where("n <> m").select("pair", F.format_string("%d parameters, expected %d", "m", "n").alias("error"))
         checks = F.array(F.when(F.col("e_name") != F.col("f_name"), F.concat(F.lit("name "), "f_name")), F.when(F.col("e_kind") != F.col("f_kind"), F.concat(F.lit("kind of "), "e_name")), F.when(F.col("e_required") != F.col("f_required"), F.concat(F.lit("need of "), "e_name")), F.when(~F.col("e_annotation").eqNullSafe(F.col("f_annotation")), F.concat(F.lit("annotation of "), "e_name")))
         return counts.unionByName(both.join(counts.select("pair"), "pair", "left_anti").select("pair", F.explode(F.filter(checks, lambda x: x.isNotNull())).alias("error")))
@@ -463,6 +464,8 @@ def evaluate(facts: DataFrame, matches: DataFrame, rules: Sequence[Rule], fail_o
     local = [r for r in good if r.rule_type not in PROJECT_WIDE]
     if local:
         open_ = ctx.projects.crossJoin(F.broadcast(ctx.rules(local))).join(ctx.matches.where("status = 'MATCHED'").select("project", "source_id"), ["project", "source_id"], "left_anti")
+        if parts:  # some kinds judge a member through its matched class
+            open_ = open_.join(reduce(DataFrame.unionByName, parts).select("project", "rule_id").distinct(), ["project", "rule_id"], "left_anti")
         status = ctx.matches.select("project", "source_id", "target_id", F.col("status").alias("match_status"))
         rows = open_.join(status, ["project", "source_id"], "left")
         parts.append(rows.select("project", "rule_id", "rule_type", "source_id", "target_id", F.lit("FAILED" if fail_on_unmatched else "SKIPPED").alias("status"), "severity", F.lit("required_target_missing" if fail_on_unmatched else "match_status").alias("reason"), F.col("match_status").alias("detail")))
