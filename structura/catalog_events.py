@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from structura.catalog import query, table
-from structura.operators import runtime
+from structura.operators import flow, runtime
 
 #: The submission whose run is the reference.
 MODEL = "BUILDING/1-URGENT"
@@ -326,3 +326,24 @@ def observing_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     probe = F.when(priority == "1-URGENT", "crashed").otherwise("completed")
     verdict = runtime.gate(priority != "5-LOW", status != "P", probe, price >= 50000, status != "F")
     return table(spark, sf_dir, "orders").select(verdict.alias("v")).groupBy(F.col("v.status").alias("status"), F.col("v.reason").alias("reason")).agg(F.count("*").alias("n"))
+
+
+@query(
+    "variable_flow",
+    """WITH RECURSIVE n AS (SELECT user_id AS function, day(ts) AS node, max_by(event_type, event_id) AS stage FROM events GROUP BY ALL),
+         g AS (SELECT DISTINCT user_id AS function, day(ts) AS node, day(ts) + 1 + event_id % 4 AS next FROM events WHERE day(ts) < 28),
+         s AS (SELECT function, min(node) AS node FROM g GROUP BY 1),
+         o AS (SELECT function, node, CASE stage WHEN 'signup' THEN 0 WHEN 'view' THEN 1 WHEN 'purchase' THEN 2 END AS ordinal FROM n WHERE stage IN ('signup', 'view', 'purchase')),
+         r AS (SELECT s.function, s.node, CASE WHEN coalesce(ordinal, -1) = 0 THEN 1 ELSE 0 END AS progress, coalesce(ordinal, -1) > 0 AS bad FROM s LEFT JOIN o USING (function, node)
+               UNION SELECT r.function, g.next, CASE WHEN coalesce(o.ordinal, -1) = r.progress THEN r.progress + 1 ELSE r.progress END, coalesce(o.ordinal, -1) > r.progress
+               FROM r JOIN g ON g.function = r.function AND g.node = r.node LEFT JOIN o ON o.function = r.function AND o.node = g.next WHERE NOT r.bad)
+    SELECT function, node, progress, CASE WHEN bad THEN 'out_of_order' ELSE 'stage_missing' END AS reason FROM r
+    WHERE bad OR (progress < 3 AND NOT EXISTS (SELECT 1 FROM g WHERE g.function = r.function AND g.node = r.node))""",
+)
+def variable_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days are nodes of a user's graph, an event leads to a later day, and a day's last event is its stage."""
+    day = F.dayofmonth("ts")
+    events = table(spark, sf_dir, "events").select(F.col("user_id").alias("function"), day.alias("node"), (day + 1 + F.col("event_id") % 4).cast("int").alias("next"), "event_type", "event_id")
+    edges = events.where("node < 28").select("function", "node", "next").distinct()
+    stages = events.groupBy("function", "node").agg(F.max_by("event_type", "event_id").alias("stage"))
+    return flow.stage_paths(edges, stages, edges.groupBy("function").agg(F.min("node").alias("node")), _STAGES, ["function"])
