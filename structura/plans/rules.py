@@ -90,7 +90,8 @@ def compile_rules(rules: Sequence[Rule]) -> tuple[list[Rule], list[tuple[Rule, s
 class Context:
     """Facts, matches and what several rules ask of them, each made once."""
 
-    def __init__(self, facts: DataFrame, matches: DataFrame):
+    def __init__(self, facts: DataFrame, matches: DataFrame, events: dict[str, DataFrame] | None = None):
+        self.events = events or {}
         self.spark: SparkSession = facts.sparkSession
         self.rounds = Rounds(self.spark, "rules")
         self.facts, self.matches = facts, self.rounds.keep(matches)
@@ -449,13 +450,13 @@ def register(rule_type: str, evaluator: Callable[[Context, Sequence[Rule]], Data
     PARAMETERS[rule_type] = dict(parameters or {})
 
 
-def evaluate(facts: DataFrame, matches: DataFrame, rules: Sequence[Rule], fail_on_unmatched: bool = False) -> DataFrame:
+def evaluate(facts: DataFrame, matches: DataFrame, rules: Sequence[Rule], fail_on_unmatched: bool = False, events: dict[str, DataFrame] | None = None) -> DataFrame:
     """Results of all rules on all projects (columns RESULT).
 
     A rule whose source isn't matched in a project is SKIPPED there, or FAILED with fail_on_unmatched; one with bad
-    parameters is FAILED everywhere.
+    parameters is FAILED everywhere. events are tables of what submissions did, for rules that observe.
     """
-    ctx = Context(facts, matches)
+    ctx = Context(facts, matches, events)
     good, bad = compile_rules(rules)
     parts: list[DataFrame] = []
     for kind in sorted({r.rule_type for r in good}):

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from structura.operators import matching
-from structura.plans import member_rules  # noqa: F401  its kinds of rules register
+from structura.plans import member_rules, runtime_rules  # noqa: F401  their kinds of rules register
 from structura.plans import rules as R
 from structura.sinks import report
 from structura.sources import config as cfg

@@ -288,7 +288,7 @@ def compile_marker(d: dict, source_id: str, base_ids: dict[str, str]) -> list[Ru
     elif marker == "enforce_flow" and not p.get("cases"):
         out.append(rule("variable_flow", some("stages", "variable")))
     if marker in ALSO_OBSERVED and p.get("cases"):
-        out.append(rule(ALSO_OBSERVED[marker], {"marker": marker} | p, "#observed"))
+        out.append(rule(ALSO_OBSERVED[marker], {"marker": marker} | ({"module": d["module"]} if marker == "module_interface" else {}) | p, "#observed"))
     return out
 
 
