@@ -211,9 +211,25 @@ def classes(fps: DataFrame, scratch: Scratch) -> DataFrame:
     parts = shuffle_partitions(fps.sparkSession)
     distinct = scratch.save(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
     joined = components(links(distinct, parts), scratch)
-    labelled = distinct.join(joined, distinct["fp"] == joined["node"], "left").select("fp", "rep", F.coalesce("label", "fp").alias("label"))
-    least = labelled.groupBy("label").agg(F.min("rep").alias("component_id"))
-    return labelled.join(least, "label").select("fp", "label", "component_id")
+    named = distinct.join(joined, distinct["fp"] == joined["node"], "left").select("fp", "rep", F.coalesce("label", "fp").alias("label"))
+    least = named.groupBy("label").agg(F.min("rep").alias("component_id"))
+    return named.join(least, "label").select("fp", "label", "component_id")
+
+
+def labelled(fps: DataFrame, found: DataFrame, scratch: Scratch) -> DataFrame:
+    """fps (doc_id, fp) with what found (fp, ...) says of each fingerprint.
+
+    Fingerprints that many rows share don't make a join's partition large: at most four a shuffle partition have more than
+    a fourth of a partition's share of rows, and what is found of those is broadcast.
+    """
+    most = 4 * shuffle_partitions(fps.sparkSession)
+    n = fps.groupBy("fp").agg(F.count("*").alias("n"))
+    least = (n.agg(F.sum("n")).first()[0] or 0) / most
+    hot = scratch.save(n.where((F.col("n") > least) & (F.col("n") > 1000)).join(found, "fp").drop("n"), "hot")
+    rest = [c for c in found.columns if c != "fp"]
+    marked = fps.join(F.broadcast(hot.select(F.col("fp").alias("_hot"), *[F.col(c).alias(f"_{c}") for c in rest])), F.col("fp") == F.col("_hot"), "left")
+    few = marked.where("_hot is null").select(*fps.columns).join(found, "fp").select(*fps.columns, *rest)
+    return marked.where("_hot is not null").select(*fps.columns, *[F.col(f"_{c}").alias(c) for c in rest]).unionByName(few)
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
@@ -225,7 +241,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     scratch = Scratch(df.sparkSession, "simhash")
     fps = scratch.save(fingerprints(df, id_col, text_col, words), "fps")
     found = classes(fps, scratch)
-    return fps.join(found, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return labelled(fps, found.select("fp", "component_id"), scratch).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_first(df: DataFrame, fps: DataFrame, found: DataFrame, tag: Callable[[bytes], int], scratch: Scratch, id_col: str, text_col: str) -> DataFrame:
@@ -233,7 +249,7 @@ def keep_first(df: DataFrame, fps: DataFrame, found: DataFrame, tag: Callable[[b
     from pyspark.sql import Window
 
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "fp")
-    grouped = fps.join(found, "fp")
+    grouped = labelled(fps, found.select("fp", "label"), scratch)
     keeper = grouped.groupBy("label").agg(F.min(order).alias("first"))
     drop = scratch.save(grouped.join(keeper, "label").where(order != F.col("first")).select(F.col("doc_id").alias("_id"), F.col("fp").alias("_fp")).distinct(), "drop")
 

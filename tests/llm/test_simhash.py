@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import xxhash
 
+from structura.llm import simhash as S
 from structura.llm.simhash import anchors, fingerprint, links, near_dedup, near_duplicates
 
 from .conftest import plain
@@ -102,3 +103,21 @@ def test_fingerprint_of_long_text():
 
 def test_empty(empty):
     assert near_duplicates(empty).collect() == [] and near_dedup(empty).collect() == []
+
+
+def test_hot_fingerprints_meet_what_is_found(spark):
+    from structura.llm.common import Scratch
+
+    rows = [(k, 7) for k in range(5000)] + [(10_000 + k, k % 900) for k in range(2000)]
+    fps = spark.createDataFrame(rows, "doc_id long, fp long").repartition(5)
+    found = spark.createDataFrame([(k, k * 3) for k in range(900)], "fp long, label long")
+    got = S.labelled(fps, found, Scratch(spark, "hot"))
+    assert sorted(map(tuple, got.select("doc_id", "fp", "label").collect())) == sorted((i, f, f * 3) for i, f in rows)
+
+
+def test_components_of_a_long_path(spark):
+    from structura.llm.common import Scratch
+
+    edges = spark.createDataFrame([(k, k + 1) for k in range(1500)] + [(5001, 5000)], "src long, dst long")
+    got = {r.node: r.label for r in S.components(edges, Scratch(spark, "path")).collect()}
+    assert got == {**{k: 0 for k in range(1501)}, 5000: 5000, 5001: 5000}
