@@ -98,7 +98,7 @@ def _long_pieces(long: DataFrame, pattern: str, chunk: int, overlap: int, parts:
     ).repartition(parts, "row", "k")
 
     def bounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fields = [("row", pa.int64()), ("doc_id", pa.int64()), ("k", pa.int32()), ("head", pa.list_(pa.int32())), ("tail", pa.list_(pa.int32())), ("part", pa.string())]
+        fields = [("row", pa.string()), ("doc_id", pa.int64()), ("k", pa.int32()), ("head", pa.list_(pa.int32())), ("tail", pa.list_(pa.int32())), ("part", pa.string())]
         for batch in batches:
             rows = []
             for row, doc_id, k, part in zip(*(batch.column(c).to_pylist() for c in ("row", "doc_id", "k", "part"))):
@@ -110,7 +110,7 @@ def _long_pieces(long: DataFrame, pattern: str, chunk: int, overlap: int, parts:
                 rows.append((row, doc_id, k, [p for p in starts if p < overlap], tail, part))
             yield _batch(rows, fields)
 
-    split = cut.mapInArrow(lean(bounds), "row long, doc_id long, k int, head array<int>, tail array<int>, part string")
+    split = cut.mapInArrow(lean(bounds), "row string, doc_id long, k int, head array<int>, tail array<int>, part string")
     by_doc = Window.partitionBy("row").orderBy("k")
     # array_intersect keeps the order of its first argument, so the first element is the first common position.
     met = split.withColumn("sync", F.when(F.col("k") == 0, 0).otherwise(F.try_element_at(F.array_intersect(F.lag("tail").over(by_doc), "head"), F.lit(1))))
@@ -144,19 +144,19 @@ def encode_documents(
     short = rows.where(~is_long).mapInArrow(lean(whole), _DDL)
 
     # Rows of long texts are told apart by identifier and digest; a row that repeats in full is encoded once and counted.
-    long = rows.where(is_long).withColumn("row", F.xxhash64("doc_id", F.sha2(F.col("text").cast("binary"), 256)))
+    long = rows.where(is_long).withColumn("row", F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.sha2(F.col("text").cast("binary"), 256)))
     copies = long.groupBy("row").agg(F.count("*").alias("copies"))
     parts = shuffle_partitions(df.sparkSession)
     pieces = _long_pieces(long.dropDuplicates(["row"]), pattern, chunk, overlap, parts).repartition(parts, "row", "piece")
 
     def encode_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fields = [("row", pa.int64()), ("doc_id", pa.int64()), ("piece", pa.int64()), ("ids", pa.binary())]
+        fields = [("row", pa.string()), ("doc_id", pa.int64()), ("piece", pa.int64()), ("ids", pa.binary())]
         for batch in batches:
             rows = [(r, d, p, np.array(encode(path, pattern, t), dtype="<u4").tobytes()) for r, d, p, t in zip(*(batch.column(c).to_pylist() for c in ("row", "doc_id", "piece", "share")))]
             yield _batch(rows, fields)
 
     shares = pieces.groupBy("row", "doc_id", "piece").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "share"))), lambda x: x["share"]), "").alias("share"))
-    encoded = shares.mapInArrow(lean(encode_pieces), "row long, doc_id long, piece long, ids binary")
+    encoded = shares.mapInArrow(lean(encode_pieces), "row string, doc_id long, piece long, ids binary")
     joined = encoded.groupBy("row", "doc_id").agg(F.array_sort(F.collect_list(F.struct("piece", "ids"))).alias("pieces")).join(copies, "row")
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -78,13 +78,13 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 def fewer_files(df: DataFrame) -> DataFrame:
-    """df in at most so many waves of tasks over all cores: thousands of small files cost more than the rows in them.
+    """df in as many tasks as there are cores, or one for sixteen shuffle partitions where those are more.
 
-    One wave on few cores, up to eight on many, where a task that is lost should be a small part of the whole. For every file
-    in a local folder, an executor starts a process that sets its permissions.
+    Thousands of small files cost more than the rows in them, and for every file in a local folder an executor starts a
+    process that sets its permissions. A task reads its partitions one after another, so its memory is that of one.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.coalesce(cores * min(8, max(1, cores // 16)))
+    spark = df.sparkSession
+    return df.coalesce(max(spark.sparkContext.defaultParallelism, shuffle_partitions(spark) // 16))
 
 
 class Scratch:
@@ -100,7 +100,7 @@ class Scratch:
     def save(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
         """Write a table and read it again; the shuffle files that it took are removed once it is there.
 
-        It has as many files as few waves of tasks write at most.
+        It has as many files as fewer_files leaves at most.
         """
         df = fewer_files(df)
         self.at[name] = path = f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
