@@ -28,7 +28,7 @@ def test_stages_against_brute_force(spark):
         groups.setdefault("".join(t.split()), i)
     rows = {i: rows[i] for i in groups.values()}
     rows = {i: rows[i] for _, i in near_kept(list(rows.items()))}  # a likeness of 0.8 or more, by comparing all pairs
-    spans = dict(zip(rows, suffix_dedup.brute_force(list(rows.values()), C.PASSAGE))))
+    spans = dict(zip(rows, suffix_dedup.brute_force(list(rows.values()), C.PASSAGE)))
     rows = {i: suffix_dedup.cut(t.encode(), np.array(spans[i], np.int64)).decode("utf-8", "ignore") for i, t in rows.items()}
     from structura.llm.bpe import encode
 
