@@ -200,14 +200,14 @@ def one_to_one_winner(spark: SparkSession, sf_dir: str) -> DataFrame:
     r"""
     WITH d AS (SELECT doc_id, list_distinct(list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}_]+'), lambda x: x <> '')) AS w FROM documents),
          b AS (SELECT item_id, list_distinct(list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}_]+'), lambda x: x <> '')) AS w FROM benchmark),
-         k AS (SELECT DISTINCT doc_id, item_id FROM (SELECT doc_id, unnest(w) AS t FROM d) x JOIN (SELECT item_id, unnest(w) AS t FROM b) y USING (t) WHERE length(t) >= 10),
+         k AS (SELECT DISTINCT doc_id, item_id FROM (SELECT doc_id, unnest(w) AS t FROM d) x JOIN (SELECT item_id, unnest(w) AS t FROM b) y USING (t)),
          j AS (SELECT doc_id, item_id, len(list_intersect(d.w, b.w)) AS i, len(d.w) + len(b.w) AS n FROM k JOIN d USING (doc_id) JOIN b USING (item_id)),
          s AS (SELECT doc_id, item_id, round(i / (n - i), 6) AS score FROM j)
     SELECT doc_id, item_id, score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, item_id) AS r FROM s) WHERE r = 1
     """,
 )
 def doc_token_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document's likest benchmark item of all with which it shares a word. Its SQL still looks only at those that share ten letters or more."""
+    """Each document's likest benchmark item of all with which it shares a word."""
     docs = table(spark, sf_dir, "documents").select("doc_id", C.word_set("text").alias("w"))
     items = table(spark, sf_dir, "benchmark").select("item_id", C.word_set("text").alias("v"))
     # Counts of shared words come from joining on words, of all words from the arrays' sizes: no text meets an item's.
