@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from structura.llm import bpe, exact_dedup, lattice_lm, merkle, packing, simhash, suffix_dedup, token_counts, toxicity, warc
+from structura.llm import bpe, exact_dedup, lattice_lm, manifest, merkle, packing, simhash, suffix_dedup, token_counts, toxicity, warc
 from structura.llm.common import Scratch, small_batches
 
 RANKS, TOKENIZER, PIECES = "byte_bpe_50k.tiktoken", "byte_bpe_50k.json", "piece_bpe_32k.model"
@@ -65,15 +65,57 @@ def op10_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice_lm.language_scores(_table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proofs of all documents, checked after every document whose crc32 five divides has its text in lower case."""
+    return manifest.manifest(_table(spark, sf_dir, "documents"), changed=F.crc32(F.col("doc_id").cast("string")) % 5 == 0)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_merkle_fingerprints, op3_byte_bpe, op4_exact_dedup, op5_simhash, op6_best_fit_packing, op7_suffix_dedup, op8_toxicity, op9_token_counts, op10_lattice_lm, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_merkle_fingerprints, op3_byte_bpe, op4_exact_dedup, op5_simhash, op6_best_fit_packing, op7_suffix_dedup, op8_toxicity, op9_token_counts, op10_lattice_lm, op12_merkle_manifest, pipeline)}
+
+
+def _manifest_sql(depth: int = 5) -> str:
+    """Both trees level by level: r<k> holds the runs of level k, and every document's way folds them, left joins where a tree has ended."""
+    text = lambda c: f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen({c}::VARCHAR) || ':' || {c}::VARCHAR END"
+    row = lambda t: "sha256(" + " || ".join(map(text, ("doc_id", "source", "lang", "n_chars", t))) + ")"
+    low = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    bits = "list_reduce([xor(crc, byte), 0, 0, 0, 0, 0, 0, 0, 0], lambda c, i: xor(c >> 1, 3988292384 * (c & 1)))"
+    crc = f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), lambda crc, byte: {bits}), 4294967295)"
+    out = f"""
+        WITH d AS (SELECT doc_id, source, {row("text")} AS leaf, CASE WHEN {crc} % 5 = 0 THEN {row(low)} ELSE {row("text")} END AS bad FROM documents),
+             l AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS t FROM d),
+             a0 AS (SELECT t, i, leaf AS h FROM l)"""
+    for name, first in (("a", "a0"), ("b", "b0")):
+        if name == "b":  # the trees' roots are what no level has hashed further
+            kept = " UNION ALL ".join(f"SELECT t, h FROM a{k} WHERE t IN (SELECT t FROM a{k} GROUP BY t HAVING count(*) = 1)" for k in range(depth + 1))
+            out += f", roots AS ({kept}), b0 AS (SELECT 0 AS t, t AS i, h FROM roots)"
+        for k in range(depth):
+            out += f""",
+             {name}r{k} AS (SELECT t, i // 16 AS run, list(h ORDER BY i) AS hs FROM {name}{k} WHERE t IN (SELECT t FROM {name}{k} GROUP BY t HAVING count(*) > 1) GROUP BY 1, 2),
+             {name}{k + 1} AS (SELECT t, run AS i, sha256(array_to_string(hs, '')) AS h FROM {name}r{k})"""
+    ends = " UNION ALL ".join(f"SELECT h FROM b{k} WHERE (SELECT count(*) FROM b{k}) = 1" for k in range(depth + 1))
+    out += f", top AS ({ends}), p0 AS (SELECT *, bad AS f, '' AS way FROM l)"
+    steps = [("a", k, "t", "i") for k in range(depth)] + [("b", k, "0", "t") for k in range(depth)]
+    for n, (name, k, tree, at) in enumerate(steps):
+        place = f"(p.{at} // {16**k}) % 16"
+        left, right = f"coalesce(array_to_string(r.hs[1:{place}], ''), '')", f"coalesce(array_to_string(r.hs[{place} + 2:], ''), '')"
+        tree = "0" if tree == "0" else "p.t"
+        out += f""",
+             p{n + 1} AS (SELECT p.* EXCLUDE (f, way), CASE WHEN r.hs IS NULL THEN f ELSE sha256({left} || f || {right}) END AS f, way || {left} || {right} AS way
+                          FROM p{n} p LEFT JOIN {name}r{k} r ON r.t = {tree} AND r.run = p.{at} // {16 ** (k + 1)})"""
+    return out + f"""
+        SELECT doc_id, leaf, roots.h AS subroot, top.h AS root, sha256(way) AS proof_sha256, f AS folded_root, f = top.h AS verified
+        FROM p{len(steps)} p JOIN roots ON roots.t = p.t JOIN top ON true
+    """
+
 
 ORACLE_SQL = {
+    "op12_merkle_manifest": _manifest_sql(),
     "op1_warc": """
         WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, coalesce(html, '') AS html FROM pages),
              k AS (SELECT *, max(page_id) OVER (PARTITION BY html) AS keep FROM p)
