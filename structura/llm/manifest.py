@@ -199,7 +199,7 @@ def manifest(df: DataFrame, fields: tuple[str, ...] = FIELDS, group: str = "sour
     root = found.first()[0]
 
     no_path = F.expr("cast(array() as array<struct<left: string, right: string>>)")
-    above = spark.range(1).select(F.lit(TOP).cast("long").alias("tree"), F.lit(0).cast("long").alias("index"), no_path.alias("path"))
+    above = spark.createDataFrame([(TOP, 0)], "tree long, index long").withColumn("path", no_path)
     for level in reversed(range(top)):
         above = _down(runs.where(f"tree = {TOP}"), level, above)
     roots = scratch.save(trees.join(above.select(F.col("index").alias("_index"), "path"), F.col("tree") == F.col("_index")).join(subroots, "tree").select("tree", "size", "subroot", "path"), "roots")

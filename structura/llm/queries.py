@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from structura.llm import bpe, exact_dedup, lattice_lm, manifest, merkle, packing, simhash, suffix_dedup, token_counts, toxicity, warc
+from structura.llm import bpe, exact_dedup, lattice_lm, manifest, merkle, negatives, packing, simhash, suffix_dedup, token_counts, toxicity, warc
 from structura.llm.common import Scratch, small_batches
 
 RANKS, TOKENIZER, PIECES = "byte_bpe_50k.tiktoken", "byte_bpe_50k.json", "piece_bpe_32k.model"
@@ -70,13 +70,19 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.manifest(_table(spark, sf_dir, "documents"), changed=F.crc32(F.col("doc_id").cast("string")) % 5 == 0)
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Anchors are the rows whose identifier is divisible by 100; where 7 divides it, the label is the next one."""
+    rows = _table(spark, sf_dir, "embeddings").withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return negatives.hard_negatives(rows, F.col("vec_id") % 100 == 0)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_merkle_fingerprints, op3_byte_bpe, op4_exact_dedup, op5_simhash, op6_best_fit_packing, op7_suffix_dedup, op8_toxicity, op9_token_counts, op10_lattice_lm, op12_merkle_manifest, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_merkle_fingerprints, op3_byte_bpe, op4_exact_dedup, op5_simhash, op6_best_fit_packing, op7_suffix_dedup, op8_toxicity, op9_token_counts, op10_lattice_lm, op12_merkle_manifest, op13_hard_negatives, pipeline)}
 
 
 def _manifest_sql(depth: int = 5) -> str:
@@ -116,6 +122,17 @@ def _manifest_sql(depth: int = 5) -> str:
 
 ORACLE_SQL = {
     "op12_merkle_manifest": _manifest_sql(),
+    "op13_hard_negatives": """
+        WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS q FROM embeddings
+                   WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+             s AS (SELECT a.vec_id AS anchor_id, e.vec_id, e.label = a.label AS alike, list_sum(list_transform(list_zip(a.q, e.q), lambda z: z[1] * z[2]))::BIGINT AS score
+                   FROM e AS a JOIN e ON true WHERE a.vec_id % 100 = 0),
+             p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE alike AND vec_id IS DISTINCT FROM anchor_id
+                   QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+             n AS (SELECT p.anchor_id, positive_id, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+                   FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT alike AND 80 * positive_score <= 100 * score AND score <= positive_score)
+        SELECT anchor_id, positive_id, rank::INT AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5
+    """,
     "op1_warc": """
         WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, coalesce(html, '') AS html FROM pages),
              k AS (SELECT *, max(page_id) OVER (PARTITION BY html) AS keep FROM p)
