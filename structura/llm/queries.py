@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from structura.llm import bpe, exact_dedup, lattice_lm, manifest, merkle, negatives, packing, simhash, suffix_dedup, token_counts, toxicity, warc
+from structura.llm import bpe, exact_dedup, lattice_lm, manifest, merkle, negatives, ngram_join, packing, simhash, suffix_dedup, token_counts, toxicity, warc
 from structura.llm.common import Scratch, small_batches
 
 RANKS, TOKENIZER, PIECES = "byte_bpe_50k.tiktoken", "byte_bpe_50k.json", "piece_bpe_32k.model"
@@ -65,6 +65,10 @@ def op10_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice_lm.language_scores(_table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
 
 
+def op11_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_sets(_table(spark, sf_dir, "documents"), words=3, need=90)
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Proofs of all documents, checked after every document whose crc32 five divides has its text in lower case."""
     return manifest.manifest(_table(spark, sf_dir, "documents"), changed=F.crc32(F.col("doc_id").cast("string")) % 5 == 0)
@@ -82,7 +86,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_merkle_fingerprints, op3_byte_bpe, op4_exact_dedup, op5_simhash, op6_best_fit_packing, op7_suffix_dedup, op8_toxicity, op9_token_counts, op10_lattice_lm, op12_merkle_manifest, op13_hard_negatives, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_merkle_fingerprints, op3_byte_bpe, op4_exact_dedup, op5_simhash, op6_best_fit_packing, op7_suffix_dedup, op8_toxicity, op9_token_counts, op10_lattice_lm, op11_ngram_join, op12_merkle_manifest, op13_hard_negatives, pipeline)}
 
 
 def _manifest_sql(depth: int = 5) -> str:
