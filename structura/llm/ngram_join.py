@@ -9,9 +9,10 @@ share a prefix token, their sizes allow the likeness, so does what comes after t
 256-bit parities of their tokens. Pairs expand to members, whose full sets are compared.
 
 Only connected texts are asked for, so no bucket is taken apart into all its pairs at first: its first and last group, as
-leaders, meet the others (pairs grow in proportion to the tokens), and so do the first member of a group and its others.
-What these links leave unconnected within a bucket, and only that, meets in pairs. Sets come from the texts again, only for
-classes in a pair; a class in many pairs spreads over as many keys as it needs.
+leaders, meet the others (pairs grow in proportion to the tokens), and so do the first member of a group and its others. A
+few more leaders, drawn for each bucket, meet what these links leave unconnected in it; what is still left, and only that,
+meets in pairs. Sets come from the texts again, only for classes in a pair and once for each; a class in many pairs spreads
+over as many keys as it needs.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from structura.llm.common import Scratch, byte_views, lean, shuffle_partitions, texts
@@ -30,6 +31,8 @@ from structura.llm.simhash import components, labelled
 NEED = 90
 #: Slots of the sketch, and the pieces in which tasks hand theirs over.
 SLOT_BITS, PIECES = 20, 64
+#: Leaders of a bucket in the second round.
+DRAWN = 4
 #: Pairs that one key of a comparison holds.
 PAIRS = 512
 #: Slots of the filter of rows whose sets are wanted.
@@ -142,8 +145,8 @@ def prefixes(rows: DataFrame, words: int, need: int, counts: np.ndarray) -> Data
 
 
 def entries(groups: DataFrame) -> DataFrame:
-    """(token, pos, gid, n, b0 to b3): a row for each token of each group's prefix."""
-    rest = ["gid", "n", "b0", "b1", "b2", "b3"]
+    """(token, pos, gid, n): a row for each token of each group's prefix."""
+    rest = ["gid", "n"]
 
     def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -155,14 +158,17 @@ def entries(groups: DataFrame) -> DataFrame:
                 pos = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), pa.array(pos, pa.int32()), *[part.column(c).take(at) for c in rest]], names=["token", "pos", *rest])
 
-    return groups.select("prefix", *rest).mapInArrow(lean(stage), "token long, pos int, gid long, n int, b0 long, b1 long, b2 long, b3 long")
+    return groups.select("prefix", *rest).mapInArrow(lean(stage), "token long, pos int, gid long, n int")
 
 
 def _fits(a: str, b: str, need: int) -> Column:
     """Whether sizes and parities allow two sets (columns n, b0 to b3 of both) to be alike; no parities: nothing said."""
-    low, high, shared = f"least({a}.n, {b}.n)", f"greatest({a}.n, {b}.n)", least_shared_sql(f"({a}.n + {b}.n)", need)
     apart = " + ".join(f"bit_count({a}.b{k} ^ {b}.b{k})" for k in range(4))
-    return F.expr(f"100 * {low} >= {need} * {high} and coalesce({apart}, 0) <= {a}.n + {b}.n - 2 * {shared}")
+    return _sizes(a, b, need) & F.expr(f"coalesce({apart}, 0) <= {a}.n + {b}.n - 2 * {least_shared_sql(f'({a}.n + {b}.n)', need)}")
+
+
+def _sizes(a: str, b: str, need: int) -> Column:
+    return F.expr(f"100 * least({a}.n, {b}.n) >= {need} * greatest({a}.n, {b}.n)")
 
 
 def least_shared_sql(total: str, need: int) -> str:
@@ -174,31 +180,48 @@ def _positions(a: str, b: str, need: int) -> Column:
     return F.expr(f"least({a}.n - {a}.pos, {b}.n - {b}.pos) >= {least_shared_sql(f'({a}.n + {b}.n)', need)}")
 
 
-def compared(pairs: DataFrame, df: DataFrame, classes: DataFrame, words: int, need: int, scratch: Scratch, name: str) -> DataFrame:
-    """(src, dst) of the pairs (a, b) of classes (cid, fp, rep) that are alike, by their sets."""
-    spark = df.sparkSession
-    parts = shuffle_partitions(spark)
-    wanted = scratch.save(pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct().join(classes.select("cid", "fp", "rep"), "cid"), f"{name}_wanted")
-    slot = F.expr(f"coalesce(xxhash64(rep), 0) & {(1 << FILTER_BITS) - 1}")
-    used = np.zeros((1 << FILTER_BITS) // 64, np.uint64)
-    for r in wanted.select(slot.alias("slot")).groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits")).collect():
-        used[r.word] = r.bits & 0xFFFFFFFFFFFFFFFF
-    shared = spark.sparkContext.broadcast(used.tobytes())
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
-        filled = np.unpackbits(np.frombuffer(shared.value, np.uint8), bitorder="little").view(bool)
-        for batch in batches:
-            use = np.flatnonzero(filled[batch.column("slot").to_numpy()])
-            views = byte_views(batch.column("text"))
-            own = [shingles(bytes(views[k]), words).tobytes() for k in use.tolist()]
-            yield pa.RecordBatch.from_arrays([batch.column("rep").take(pa.array(use)), pa.array([xxhash.xxh3_128_digest(s) for s in own], pa.binary()), pa.array(own, pa.binary())], names=["rep", "fp", "shingles"])
-
-    found = texts(df).withColumnRenamed("doc_id", "rep").select("rep", slot.alias("slot"), "text").mapInArrow(lean(sets), "rep long, fp binary, shingles binary")
-    own = wanted.select("cid", F.col("fp").alias("_fp"), F.col("rep").alias("_rep"))
-    held = scratch.save(found.join(own, (found["fp"] == own["_fp"]) & found["rep"].eqNullSafe(own["_rep"])).select("cid", "shingles"), f"{name}_sets")
-
+class Sets:
+    """The token sets of classes, from the texts, written once for each class that is asked for."""
+
+    def __init__(self, rows: DataFrame, classes: DataFrame, words: int, scratch: Scratch):
+        self.rows, self.classes, self.words, self.scratch, self.tables = rows, classes, words, scratch, []
+
+    def of(self, wanted: DataFrame) -> DataFrame:
+        """(cid, shingles) of at least the classes of wanted (cid)."""
+        for table in self.tables:
+            wanted = wanted.join(table.select("cid"), "cid", "left_anti")
+        name, scratch, words = f"sets{len(self.tables)}", self.scratch, self.words
+        wanted = scratch.save(wanted.distinct().join(self.classes.select("cid", "fp", "rep"), "cid"), f"{name}_wanted")
+        slot = F.expr(f"coalesce(xxhash64(rep), 0) & {(1 << FILTER_BITS) - 1}")
+        used = np.zeros((1 << FILTER_BITS) // 64, np.uint64)
+        for r in wanted.select(slot.alias("slot")).groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits")).collect():
+            used[r.word] = r.bits & 0xFFFFFFFFFFFFFFFF
+        shared = self.rows.sparkSession.sparkContext.broadcast(used.tobytes())
+
+        def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            import xxhash
+
+            filled = np.unpackbits(np.frombuffer(shared.value, np.uint8), bitorder="little").view(bool)
+            for batch in batches:
+                use = np.flatnonzero(filled[batch.column("slot").to_numpy()])
+                views = byte_views(batch.column("text"))
+                own = [shingles(bytes(views[k]), words).tobytes() for k in use.tolist()]
+                yield pa.RecordBatch.from_arrays([batch.column("rep").take(pa.array(use)), pa.array([xxhash.xxh3_128_digest(s) for s in own], pa.binary()), pa.array(own, pa.binary())], names=["rep", "fp", "shingles"])
+
+        found = texts(self.rows).withColumnRenamed("doc_id", "rep").select("rep", slot.alias("slot"), "text").mapInArrow(lean(sets), "rep long, fp binary, shingles binary")
+        own = wanted.select("cid", F.col("fp").alias("_fp"), F.col("rep").alias("_rep"))
+        self.tables.append(scratch.save(found.join(own, (found["fp"] == own["_fp"]) & found["rep"].eqNullSafe(own["_rep"])).select("cid", "shingles"), name))
+        out = self.tables[0]
+        for table in self.tables[1:]:
+            out = out.unionByName(table)
+        return out
+
+
+def compared(pairs: DataFrame, sets: Sets, need: int, name: str) -> DataFrame:
+    """(src, dst) of the pairs (a, b) of classes that are alike, by their sets."""
+    scratch = sets.scratch
+    parts = shuffle_partitions(pairs.sparkSession)
+    held = sets.of(pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))))
     many = pairs.groupBy("a").agg(F.ceil(F.count("*") / PAIRS).alias("salts"))
     dealt = scratch.save(pairs.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), "salts").alias("salt")), f"{name}_dealt")
     heads = dealt.select("a", "salt").distinct().join(held, F.col("a") == F.col("cid")).select("a", "salt", F.lit(None).cast("long").alias("b"), "shingles")
@@ -223,59 +246,93 @@ def compared(pairs: DataFrame, df: DataFrame, classes: DataFrame, words: int, ne
     return scratch.save(met.mapInArrow(lean(check), "src long, dst long"), name)
 
 
-def linked(df: DataFrame, classes: DataFrame, words: int, need: int, scratch: Scratch) -> DataFrame:
-    """(node, label): the component of every class (cid, fp, rep, n, prefix, b0 to b3) that is linked with another."""
-    parities = ["b0", "b1", "b2", "b3"]
-    alone = [F.when(F.col("members") == 1, F.col(c)).alias(c) for c in parities]
-    groups = scratch.save(classes.groupBy("n", "prefix").agg(F.min("cid").alias("gid"), F.count("*").alias("members"), *[F.min(c).alias(c) for c in parities]).select("gid", "n", "prefix", "members", *alone), "groups")
-    several = groups.where("members > 1").select("gid", F.col("n").alias("_n"), F.col("prefix").alias("_prefix"))
-    members = scratch.save(classes.join(several, (F.col("n") == F.col("_n")) & (F.col("prefix") == F.col("_prefix"))).select("gid", "cid", "n", *parities), "members")
-
-    # Tokens that several groups share, in buckets of sizes: sizes that allow the likeness differ by one step at most.
-    each = entries(groups)
-    common = each.groupBy("token").agg(F.min("gid").alias("_low"), F.max("gid").alias("_high")).where("_low < _high").select(F.col("token").alias("_token"))
-    step = F.floor(F.log("n") / (math.log(100 / need) * 1.0001)).cast("int")
-    shared = scratch.save(each.join(common, F.col("token") == F.col("_token")).drop("_token").withColumn("step", step), "shared")
-    bucketed = shared.withColumn("bucket", F.explode(F.array("step", F.col("step") + 1)))
-
-    # Leaders: the first and the last group of a bucket, and the first member of a group.
-    one = F.struct("gid", "n", "pos", *parities)
-    leaders = bucketed.groupBy("token", "bucket").agg(F.min(one).alias("first"), F.max(one).alias("last")).where("first.gid < last.gid")
-    leaders = leaders.select(F.col("token").alias("_token"), F.col("bucket").alias("_bucket"), F.explode(F.array("first", "last")).alias("lead"))
-    lead = bucketed.alias("x").join(leaders.alias("l"), F.expr("x.token = l._token and x.bucket = l._bucket and x.gid <> l.lead.gid"))
-    lead = lead.select(F.struct("x.*").alias("x"), F.col("lead")).where(_fits("x", "lead", need) & _positions("x", "lead", need))
-    met = lead.select(F.col("lead.gid").alias("a"), F.col("x.gid").alias("g")).distinct()
-    expanded = met.join(members.select("gid", "cid"), F.col("g") == F.col("gid"), "left").select("a", F.coalesce("cid", "g").alias("b"))
-    star = members.where("cid <> gid").select(F.col("gid").alias("a"), F.col("cid").alias("b"))
-    pairs = scratch.save(expanded.unionByName(star).distinct(), "leading")
-    links = compared(pairs, df, classes, words, need, scratch, "leading_links")
+_PARITIES = ["b0", "b1", "b2", "b3"]
+
+
+class _Groups:
+    """Classes of equal size and prefix as groups, and what is known of their components so far."""
+
+    def __init__(self, classes: DataFrame, need: int, scratch: Scratch):
+        self.need, self.scratch = need, scratch
+        alone = [F.when(F.col("members") == 1, F.col(c)).alias(c) for c in _PARITIES]
+        self.all = scratch.save(classes.groupBy("n", "prefix").agg(F.min("cid").alias("gid"), F.count("*").alias("members"), *[F.min(c).alias(c) for c in _PARITIES]).select("gid", "n", "prefix", "members", *alone), "groups")
+        several = self.all.where("members > 1").select(F.col("gid").alias("_gid"), F.col("n").alias("_n"), F.col("prefix").alias("_prefix"))
+        self.members = scratch.save(classes.join(several, (F.col("n") == F.col("_n")) & (F.col("prefix") == F.col("_prefix"))).select(F.col("_gid").alias("gid"), "cid", "n", *_PARITIES), "members")
+
+    def shared(self) -> DataFrame:
+        """entries() of tokens that several groups share, with bucket: sizes that allow the likeness lie in one or in neighbours, so a row is in its own and the next."""
+        each = entries(self.all)
+        common = each.groupBy("token").agg(F.min("gid").alias("_low"), F.max("gid").alias("_high")).where("_low < _high").select(F.col("token").alias("_token"))
+        step = F.floor(F.log("n") / (math.log(100 / self.need) * 1.0001)).cast("int")
+        return self.scratch.save(each.join(common, F.col("token") == F.col("_token")).drop("_token").withColumn("step", step), "shared").withColumn("bucket", F.explode(F.array("step", F.col("step") + 1)))
+
+    def leading(self, shared: DataFrame) -> DataFrame:
+        """Pairs (a, b) of classes: the first and last group of each bucket with its others, and a group's first member with its others."""
+        one = F.struct("gid", "n", "pos")
+        leaders = shared.groupBy("token", "bucket").agg(F.min(one).alias("first"), F.max(one).alias("last")).where("first.gid < last.gid")
+        leaders = leaders.select(F.col("token").alias("t"), F.col("bucket").alias("k"), F.explode(F.array("first", "last")).alias("l")).select("t", "k", "l.*")
+        fits = _sizes("x", "l", self.need) & _positions("x", "l", self.need)
+        met = shared.alias("x").join(leaders.alias("l"), F.expr("x.token = l.t and x.bucket = l.k and x.gid <> l.gid") & fits).select(F.col("l.gid").alias("g"), F.col("x.gid").alias("h")).distinct()
+        x, y = (self.all.select("gid", "n", *_PARITIES).alias(s) for s in "xy")
+        near = met.join(x, F.expr("g = x.gid")).join(y, F.expr("h = y.gid")).where(_fits("x", "y", self.need)).select(F.col("g").alias("a"), "h")
+        expanded = near.join(self.members.select("gid", "cid"), F.col("h") == F.col("gid"), "left").select("a", F.coalesce("cid", "h").alias("b"))
+        return expanded.unionByName(self.members.where("cid <> gid").select(F.col("gid").alias("a"), F.col("cid").alias("b"))).distinct()
+
+    def labelled(self, joined: DataFrame, name: str) -> DataFrame:
+        """(gid, cid, n, b0 to b3, label) of all classes that may have a partner."""
+        single = self.all.where("members = 1").select("gid", F.col("gid").alias("cid"), "n", *_PARITIES)
+        every = self.members.unionByName(single).join(joined.select(F.col("node").alias("_node"), F.col("label").alias("_label")), F.col("cid") == F.col("_node"), "left")
+        return self.scratch.save(every.select("gid", "cid", "n", *_PARITIES, F.coalesce("_label", "cid").alias("label")), name)
+
+    def unsettled(self, shared: DataFrame, named: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+        """Rows of shared, with parities and the least and greatest label of their group, in buckets of more than one component; and groups (gid) of more than one."""
+        state = named.groupBy(F.col("gid").alias("_gid")).agg(F.min("label").alias("low"), F.max("label").alias("high"))
+        known = shared.join(state, F.col("gid") == F.col("_gid")).drop("_gid")
+        open_ = known.groupBy("token", "bucket").agg(F.min("low").alias("_low"), F.max("high").alias("_high")).where("_low < _high").select(F.col("token").alias("_token"), F.col("bucket").alias("_bucket"))
+        some = known.join(open_, (F.col("token") == F.col("_token")) & (F.col("bucket") == F.col("_bucket"))).drop("_token", "_bucket")
+        parities = self.all.select(F.col("gid").alias("_gid"), *_PARITIES)
+        return self.scratch.save(some.join(parities, F.col("gid") == F.col("_gid")).drop("_gid"), name), state.where("low < high").select(F.col("_gid").alias("gid"))
+
+    def expanded(self, met: DataFrame, named: DataFrame) -> DataFrame:
+        """Pairs of members (a < b) of pairs of groups (g, h), of different components, that parities allow."""
+        left, right = (named.select(*[F.col(c).alias(f"{s}_{c}") for c in named.columns]) for s in "xy")
+        side = lambda s: F.struct(*[F.col(f"{s}_{c}").alias(c) for c in ("n", *_PARITIES)]).alias(s)
+        grown = met.join(left, F.col("g") == F.col("x_gid")).join(right, F.col("h") == F.col("y_gid")).where("x_label <> y_label and (g <> h or x_cid < y_cid)")
+        grown = grown.select(F.least("x_cid", "y_cid").alias("a"), F.greatest("x_cid", "y_cid").alias("b"), side("x"), side("y"))
+        return grown.where(_fits("x", "y", self.need)).select("a", "b").distinct()
+
+
+def linked(rows: DataFrame, classes: DataFrame, named: DataFrame, words: int, need: int, scratch: Scratch) -> DataFrame:
+    """(node, label): the component of every class (cid, n, prefix, b0 to b3) that is linked with another. named: cid, fp, rep."""
+    groups = _Groups(classes, need, scratch)
+    scratch.drop("classes")
+    sets = Sets(rows, named, words, scratch)
+    shared = groups.shared()
+    pairs = scratch.save(groups.leading(shared), "leading")
+    links = compared(pairs, sets, need, "leading_links")
     joined = components(links, scratch)
-
-    # What is left: in buckets with more than one component, pairs of groups that aren't both in the same one.
-    label = lambda c: F.coalesce("label", c)
-    named = scratch.save(members.join(joined, F.col("cid") == F.col("node"), "left").select("gid", "cid", "n", *parities, label("cid").alias("label")), "named")
-    mixed = named.groupBy("gid").agg(F.min("label").alias("_low"), F.max("label").alias("_high"))
-    whole = groups.where("members = 1").select("gid").join(joined, F.col("gid") == F.col("node")).select("gid", F.col("label").alias("_low"), F.col("label").alias("_high"))
-    state = mixed.unionByName(whole).withColumnRenamed("gid", "_gid")
-    open_rows = shared.join(state, F.col("gid") == F.col("_gid"), "left").drop("_gid").withColumns({"low": F.coalesce("_low", "gid"), "high": F.coalesce("_high", "gid")}).drop("_low", "_high")
-    open_rows = scratch.save(open_rows.withColumn("bucket", F.explode(F.array("step", F.col("step") + 1))), "open")
-    unsettled = open_rows.groupBy("token", "bucket").agg(F.min("low").alias("_low"), F.max("high").alias("_high")).where("_low < _high").select(F.col("token").alias("_token"), F.col("bucket").alias("_bucket"))
-    some = scratch.save(open_rows.join(unsettled, (F.col("token") == F.col("_token")) & (F.col("bucket") == F.col("_bucket"))).drop("_token", "_bucket"), "unsettled")
-    apart = F.expr("not (x.low = x.high and x.low = y.low and y.low = y.high) and x.gid < y.gid and x.bucket = greatest(x.step, y.step)")
-    rest = some.alias("x").join(some.alias("y"), F.expr("x.token = y.token and x.bucket = y.bucket") & apart & _fits("x", "y", need) & _positions("x", "y", need))
-    rest = rest.select(F.col("x.gid").alias("g"), F.col("y.gid").alias("h")).distinct().unionByName(mixed.where("_low < _high").select(F.col("gid").alias("g"), F.col("gid").alias("h")))
-    single = groups.where("members = 1").join(joined, F.col("gid") == F.col("node"), "left").select("gid", F.col("gid").alias("cid"), "n", *parities, label("gid").alias("label"))
-    all_members = named.unionByName(single)
-    left, right = (all_members.select(*[F.col(c).alias(f"{s}_{c}") for c in all_members.columns]) for s in ("x", "y"))
-    side = lambda s: F.struct(*[F.col(f"{s}_{c}").alias(c) for c in ("n", *parities)]).alias(s)
-    grown = rest.join(left, F.col("g") == F.col("x_gid")).join(right, F.col("h") == F.col("y_gid")).where("x_label <> y_label and (g <> h or x_cid < y_cid)")
-    grown = grown.select(F.col("x_cid").alias("a"), F.col("y_cid").alias("b"), side("x"), side("y")).where(_fits("x", "y", need)).select("a", "b").distinct()
-    tried = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    pairs = scratch.save(grown.join(tried, ["a", "b"], "left_anti"), "left")
-    if pairs.isEmpty():
-        return joined
-    more = compared(pairs, df, classes, words, need, scratch, "left_links")
-    return joined if more.isEmpty() else components(links.unionByName(more), scratch)
+    tried = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    same = "(x.low = x.high and x.low = y.low and y.low = y.high)"
+    near = _fits("x", "y", need) & _positions("x", "y", need)
+    for turn in ("drawn", "rest"):
+        known = groups.labelled(joined, f"{turn}_known")
+        some, mixed = groups.unsettled(shared, known, f"{turn}_unsettled")
+        if turn == "drawn":
+            order = Window.partitionBy("token", "bucket").orderBy(F.xxhash64("token", "gid"), "gid")
+            leaders = some.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= DRAWN)
+            met = some.alias("x").join(leaders.alias("y"), F.expr(f"x.token = y.token and x.bucket = y.bucket and x.gid <> y.gid and not {same}") & near)
+        else:
+            met = some.alias("x").join(some.alias("y"), F.expr(f"x.token = y.token and x.bucket = y.bucket and x.gid < y.gid and x.bucket = greatest(x.step, y.step) and not {same}") & near)
+        met = met.select(F.least("x.gid", "y.gid").alias("g"), F.greatest("x.gid", "y.gid").alias("h")).distinct()
+        if turn == "rest":
+            met = met.unionByName(mixed.select(F.col("gid").alias("g"), F.col("gid").alias("h")))
+        pairs = scratch.save(groups.expanded(met, known).join(tried, ["a", "b"], "left_anti"), turn)
+        if pairs.isEmpty():
+            continue
+        links = links.unionByName(compared(pairs, sets, need, f"{turn}_links"))
+        tried = tried.unionByName(pairs)
+        joined = components(links, scratch)
+    return joined
 
 
 def similar_sets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, need: int = NEED) -> DataFrame:
@@ -294,10 +351,12 @@ def similar_sets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kept = ["n", "prefix", "b0", "b1", "b2", "b3"]
     classes = docs.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("rep"), *[F.min(c).alias(c) for c in kept])
     classes = scratch.save(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
-    joined = linked(rows, classes, words, need, scratch)
-    labels = scratch.save(classes.select("cid", "fp", "rep").join(joined, F.col("cid") == F.col("node"), "left").select("fp", "rep", F.coalesce("label", "cid").alias("label")), "labels")
+    slim = scratch.save(docs.select("doc_id", "n", "fp"), "own")
+    named = scratch.save(classes.select("cid", "fp", "rep"), "class_names")
+    scratch.drop("docs")
+    joined = linked(rows, classes, named, words, need, scratch)
+    labels = scratch.save(named.join(joined, F.col("cid") == F.col("node"), "left").select("fp", "rep", F.coalesce("label", "cid").alias("label")), "labels")
     least = labels.groupBy("label").agg(F.min("rep").alias("component_id"))
     found = labels.join(least, "label").select("fp", "component_id")
-    slim = docs.select("doc_id", "n", "fp")
     full = labelled(slim.where("n > 0"), found, scratch).select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
     return full.unionByName(slim.where("n = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id")))
