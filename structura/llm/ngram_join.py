@@ -31,8 +31,8 @@ from structura.llm.simhash import components, labelled
 NEED = 90
 #: Slots of the sketch, and the pieces in which tasks hand theirs over.
 SLOT_BITS, PIECES = 20, 64
-#: Leaders of a bucket in the second round.
-DRAWN = 4
+#: Groups beyond which a bucket is dense, and the leaders drawn for it in the second round.
+DENSE, DRAWN = 32, 4
 #: Pairs that one key of a comparison holds.
 PAIRS = 512
 #: Slots of the filter of rows whose sets are wanted.
@@ -260,19 +260,21 @@ class _Groups:
         self.members = scratch.save(classes.join(several, (F.col("n") == F.col("_n")) & (F.col("prefix") == F.col("_prefix"))).select(F.col("_gid").alias("gid"), "cid", "n", *_PARITIES), "members")
 
     def shared(self) -> DataFrame:
-        """entries() of tokens that several groups share, with bucket: sizes that allow the likeness lie in one or in neighbours, so a row is in its own and the next."""
+        """entries() of tokens that several groups share, in buckets of sizes that hold several: with step (its size's bucket), bucket
+        (its own or the next, as sizes that allow the likeness lie in one or in neighbours), size (groups there), first and last (of those)."""
         each = entries(self.all)
         common = each.groupBy("token").agg(F.min("gid").alias("_low"), F.max("gid").alias("_high")).where("_low < _high").select(F.col("token").alias("_token"))
         step = F.floor(F.log("n") / (math.log(100 / self.need) * 1.0001)).cast("int")
-        return self.scratch.save(each.join(common, F.col("token") == F.col("_token")).drop("_token").withColumn("step", step), "shared").withColumn("bucket", F.explode(F.array("step", F.col("step") + 1)))
+        shared = self.scratch.save(each.join(common, F.col("token") == F.col("_token")).drop("_token").withColumn("step", step), "shared")
+        bucketed = shared.withColumn("bucket", F.explode(F.array("step", F.col("step") + 1)))
+        one = F.struct("gid", "n", "pos")
+        several = bucketed.groupBy(F.col("token").alias("_token"), F.col("bucket").alias("_bucket")).agg(F.min(one).alias("first"), F.max(one).alias("last"), F.count("*").alias("size")).where("size > 1")
+        return self.scratch.save(bucketed.join(several, (F.col("token") == F.col("_token")) & (F.col("bucket") == F.col("_bucket"))).drop("_token", "_bucket"), "crowded")
 
     def leading(self, shared: DataFrame) -> DataFrame:
         """Pairs (a, b) of classes: the first and last group of each bucket with its others, and a group's first member with its others."""
-        one = F.struct("gid", "n", "pos")
-        leaders = shared.groupBy("token", "bucket").agg(F.min(one).alias("first"), F.max(one).alias("last")).where("first.gid < last.gid")
-        leaders = leaders.select(F.col("token").alias("t"), F.col("bucket").alias("k"), F.explode(F.array("first", "last")).alias("l")).select("t", "k", "l.*")
-        fits = _sizes("x", "l", self.need) & _positions("x", "l", self.need)
-        met = shared.alias("x").join(leaders.alias("l"), F.expr("x.token = l.t and x.bucket = l.k and x.gid <> l.gid") & fits).select(F.col("l.gid").alias("g"), F.col("x.gid").alias("h")).distinct()
+        each = shared.select("gid", "n", "pos", F.explode(F.array("first", "last")).alias("l")).select(F.struct("gid", "n", "pos").alias("x"), "l")
+        met = each.where(F.expr("x.gid <> l.gid") & _sizes("x", "l", self.need) & _positions("x", "l", self.need)).select(F.col("l.gid").alias("g"), F.col("x.gid").alias("h")).distinct()
         x, y = (self.all.select("gid", "n", *_PARITIES).alias(s) for s in "xy")
         near = met.join(x, F.expr("g = x.gid")).join(y, F.expr("h = y.gid")).where(_fits("x", "y", self.need)).select(F.col("g").alias("a"), "h")
         expanded = near.join(self.members.select("gid", "cid"), F.col("h") == F.col("gid"), "left").select("a", F.coalesce("cid", "h").alias("b"))
@@ -284,14 +286,29 @@ class _Groups:
         every = self.members.unionByName(single).join(joined.select(F.col("node").alias("_node"), F.col("label").alias("_label")), F.col("cid") == F.col("_node"), "left")
         return self.scratch.save(every.select("gid", "cid", "n", *_PARITIES, F.coalesce("_label", "cid").alias("label")), name)
 
-    def unsettled(self, shared: DataFrame, named: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
-        """Rows of shared, with parities and the least and greatest label of their group, in buckets of more than one component; and groups (gid) of more than one."""
-        state = named.groupBy(F.col("gid").alias("_gid")).agg(F.min("label").alias("low"), F.max("label").alias("high"))
-        known = shared.join(state, F.col("gid") == F.col("_gid")).drop("_gid")
-        open_ = known.groupBy("token", "bucket").agg(F.min("low").alias("_low"), F.max("high").alias("_high")).where("_low < _high").select(F.col("token").alias("_token"), F.col("bucket").alias("_bucket"))
-        some = known.join(open_, (F.col("token") == F.col("_token")) & (F.col("bucket") == F.col("_bucket"))).drop("_token", "_bucket")
-        parities = self.all.select(F.col("gid").alias("_gid"), *_PARITIES)
-        return self.scratch.save(some.join(parities, F.col("gid") == F.col("_gid")).drop("_gid"), name), state.where("low < high").select(F.col("_gid").alias("gid"))
+    def open_pairs(self, shared: DataFrame, known: DataFrame, drawn: bool, name: str) -> DataFrame:
+        """Pairs of groups (g < h) in a bucket that aren't both in one component and may be alike: drawn leaders of dense buckets and the others, or all.
+
+        Dense buckets lose their rows first where they are one component by now; in the others no more than DENSE rows meet.
+        """
+        one = F.count("*") == 1
+        state = known.groupBy(F.col("gid").alias("_gid")).agg(F.min("label").alias("low"), F.max("label").alias("high"), *[F.when(one, F.min(c)).alias(c) for c in _PARITIES])
+        slim = shared.select("token", "bucket", "step", "size", "gid", "n", "pos")
+        attach = lambda rows: rows.join(state, F.col("gid") == F.col("_gid")).drop("_gid")
+        dense = attach(slim.where(F.col("size") > DENSE))
+        open_ = dense.groupBy(F.col("token").alias("_token"), F.col("bucket").alias("_bucket")).agg(F.min("low").alias("_low"), F.max("high").alias("_high")).where("_low < _high").select("_token", "_bucket")
+        rows = dense.join(open_, (F.col("token") == F.col("_token")) & (F.col("bucket") == F.col("_bucket"))).drop("_token", "_bucket")
+        rows = self.scratch.save(rows, f"{name}_dense")
+        apart = F.expr("x.token = y.token and x.bucket = y.bucket and not (x.low = x.high and x.low = y.low and y.low = y.high)") & _fits("x", "y", self.need) & _positions("x", "y", self.need)
+        if drawn:
+            order = Window.partitionBy("token", "bucket").orderBy(F.xxhash64("token", "gid"), "gid")
+            leaders = rows.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= DRAWN)
+            met = rows.alias("x").join(leaders.alias("y"), F.expr("x.gid <> y.gid") & apart)
+        else:
+            rows = rows.unionByName(self.scratch.save(attach(slim.where(F.col("size") <= DENSE)), f"{name}_sparse"))
+            met = rows.alias("x").join(rows.alias("y"), F.expr("x.gid < y.gid and x.bucket = greatest(x.step, y.step)") & apart)
+        met = met.select(F.least("x.gid", "y.gid").alias("g"), F.greatest("x.gid", "y.gid").alias("h")).distinct()
+        return met if drawn else met.unionByName(state.where("low < high").select(F.col("_gid").alias("g"), F.col("_gid").alias("h")))
 
     def expanded(self, met: DataFrame, named: DataFrame) -> DataFrame:
         """Pairs of members (a < b) of pairs of groups (g, h), of different components, that parities allow."""
@@ -312,20 +329,9 @@ def linked(rows: DataFrame, classes: DataFrame, named: DataFrame, words: int, ne
     links = compared(pairs, sets, need, "leading_links")
     joined = components(links, scratch)
     tried = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    same = "(x.low = x.high and x.low = y.low and y.low = y.high)"
-    near = _fits("x", "y", need) & _positions("x", "y", need)
     for turn in ("drawn", "rest"):
         known = groups.labelled(joined, f"{turn}_known")
-        some, mixed = groups.unsettled(shared, known, f"{turn}_unsettled")
-        if turn == "drawn":
-            order = Window.partitionBy("token", "bucket").orderBy(F.xxhash64("token", "gid"), "gid")
-            leaders = some.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= DRAWN)
-            met = some.alias("x").join(leaders.alias("y"), F.expr(f"x.token = y.token and x.bucket = y.bucket and x.gid <> y.gid and not {same}") & near)
-        else:
-            met = some.alias("x").join(some.alias("y"), F.expr(f"x.token = y.token and x.bucket = y.bucket and x.gid < y.gid and x.bucket = greatest(x.step, y.step) and not {same}") & near)
-        met = met.select(F.least("x.gid", "y.gid").alias("g"), F.greatest("x.gid", "y.gid").alias("h")).distinct()
-        if turn == "rest":
-            met = met.unionByName(mixed.select(F.col("gid").alias("g"), F.col("gid").alias("h")))
+        met = groups.open_pairs(shared, known, turn == "drawn", turn)
         pairs = scratch.save(groups.expanded(met, known).join(tried, ["a", "b"], "left_anti"), turn)
         if pairs.isEmpty():
             continue
