@@ -7,9 +7,10 @@ decisions, giving taken targets' losers and unmatched names another one, runs pe
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from structura.functions import columns as C
@@ -28,6 +29,19 @@ class Config:
     name_fallback: bool = True
 
 
+@dataclass(frozen=True)
+class Similarities:
+    """How alike two entities are, each a function of two columns that gives one from 0 to 1: of their bags, modules, names and documentation.
+
+    Any of them can be exchanged; scores stay expressions, so a likeness of one's own is planned like those here.
+    """
+
+    structure: Callable[[str, str], Column] = C.bag_jaccard
+    module: Callable[[str, str], Column] = C.module_similarity
+    name: Callable[[str, str], Column] = C.name_similarity
+    documentation: Callable[[str, str], Column] = lambda a, b: C.set_jaccard(C.word_set(a), C.word_set(b))
+
+
 _SIDE = ["canonical_id", "kind", "module", "qualname", "name", "signature_key", "bag", "docstring"]
 
 
@@ -43,9 +57,9 @@ def _sides(sources: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFrame
     return s, t
 
 
-def _features(pairs: DataFrame) -> DataFrame:
+def _features(pairs: DataFrame, alike: Similarities) -> DataFrame:
     return pairs.withColumns(
-        {"ast": C.bag_jaccard("s_bag", "t_bag"), "mod": C.module_similarity("s_module", "t_module"), "distance": C.module_distance("s_module", "t_module"), "same": F.col("s_name") == F.col("t_name"), "source_id": F.col("s_canonical_id"), "target_id": F.col("t_canonical_id")}
+        {"ast": alike.structure("s_bag", "t_bag"), "mod": alike.module("s_module", "t_module"), "distance": C.module_distance("s_module", "t_module"), "same": F.col("s_name") == F.col("t_name"), "source_id": F.col("s_canonical_id"), "target_id": F.col("t_canonical_id")}
     )
 
 
@@ -68,22 +82,22 @@ def explicit_pairs(sources: DataFrame, targets: DataFrame, explicit: DataFrame)
     return one.where("n = 1").drop("n").join(sources.select(F.col("canonical_id").alias("source_id")), "source_id", "left_semi")
 
 
-def structural_candidates(sources: DataFrame, targets: DataFrame, cap: int = 0) -> DataFrame:
+def structural_candidates(sources: DataFrame, targets: DataFrame, cap: int = 0, alike: Similarities = Similarities()) -> DataFrame:
     """Targets of the same kind and signature, or kind and name for entities without one, by structure and module."""
     s, t = _sides(sources, targets)
     by_signature = s.where("s_signature_key <> '-'").join(t, (F.col("s_kind") == F.col("t_kind")) & (F.col("s_signature_key") == F.col("t_signature_key")))
     by_name = s.where("s_signature_key = '-'").join(t, (F.col("s_kind") == F.col("t_kind")) & (F.col("s_name") == F.col("t_name")))
-    scored = _features(by_signature.unionByName(by_name)).withColumn("confidence", F.round(0.70 * F.col("ast") + 0.30 * F.col("mod"), 6))
+    scored = _features(by_signature.unionByName(by_name), alike).withColumn("confidence", F.round(0.70 * F.col("ast") + 0.30 * F.col("mod"), 6))
     return _capped(scored, cap)
 
 
-def fuzzy_candidates(sources: DataFrame, targets: DataFrame, seeds: DataFrame, cap: int = 0) -> DataFrame:
+def fuzzy_candidates(sources: DataFrame, targets: DataFrame, seeds: DataFrame, cap: int = 0, alike: Similarities = Similarities()) -> DataFrame:
     """Seeds and all targets of the same kind and name, by structure, name and documentation, less penalties."""
     s, t = _sides(sources, targets)
     named = s.join(t, (F.col("s_kind") == F.col("t_kind")) & (F.col("s_name") == F.col("t_name"))).select("project", F.col("s_canonical_id").alias("source_id"), F.col("t_canonical_id").alias("target_id"))
     ids = named.unionByName(seeds.select("project", "source_id", "target_id")).distinct()
     s, t = s.withColumn("source_id", F.col("s_canonical_id")), t.withColumn("target_id", F.col("t_canonical_id"))
-    pairs = _features(ids.join(s, "source_id").join(t, ["project", "target_id"]))
+    pairs = _features(ids.join(s, "source_id").join(t, ["project", "target_id"]), alike)
     pairs = _capped(pairs, cap)
     s_class, t_class = C.class_of("s_qualname"), C.class_of("t_qualname")
     method = F.col("s_kind") == "method"
@@ -92,19 +106,19 @@ def fuzzy_candidates(sources: DataFrame, targets: DataFrame, seeds: DataFrame, c
         + F.when(method & (F.col("t_kind") == "method") & C.first_parameter_differs("s_signature_key", "t_signature_key"), 0.03).otherwise(0.0)
     )
     both_documented = (F.col("s_docstring") != "") & (F.col("t_docstring") != "")
-    doc = F.when(both_documented, C.set_jaccard(C.word_set("s_docstring"), C.word_set("t_docstring"))).otherwise(0.0)
+    doc = F.when(both_documented, alike.documentation("s_docstring", "t_docstring")).otherwise(0.0)
     structural = F.round(0.70 * F.col("ast") + 0.30 * F.col("mod"), 6)
-    score = F.round(0.55 * structural + 0.30 * C.name_similarity("s_name", "t_name") + 0.15 * doc - penalty, 6)
+    score = F.round(0.55 * structural + 0.30 * alike.name("s_name", "t_name") + 0.15 * doc - penalty, 6)
     return pairs.withColumn("confidence", F.greatest(score, F.lit(0.0)))
 
 
-def candidates(sources: DataFrame, targets: DataFrame, config: Config = Config(), done: DataFrame | None = None) -> DataFrame:
+def candidates(sources: DataFrame, targets: DataFrame, config: Config = Config(), done: DataFrame | None = None, alike: Similarities = Similarities()) -> DataFrame:
     """(project, source_id, target_id, confidence, mod, distance, name_score, stage) of the pairs not in done.
 
     A source whose best structural candidate is poor, or has rivals it can't be told from, is ranked by the fuzzy score.
     """
     projects = targets.select("project").distinct()
-    second = structural_candidates(sources, targets, config.stage2_cap)
+    second = structural_candidates(sources, targets, config.stage2_cap, alike)
     if done is not None:
         second = second.join(done.select("project", "source_id").distinct(), ["project", "source_id"], "left_anti")
     top = selection.top_k(second, ["project", "source_id"], _rank(), max(config.max_fuzzy, config.top_n, 2))
@@ -116,10 +130,10 @@ def candidates(sources: DataFrame, targets: DataFrame, config: Config = Config()
     rival = (F.col("best") >= config.threshold) & F.coalesce(F.col("next") >= F.col("best") - config.delta, F.lit(False)) & (F.col("n") <= config.max_fuzzy)
     fuzzy = state.where((F.coalesce("best", F.lit(0.0)) < config.min_candidate) | rival).select("project", "source_id")
     seeds = top.where(F.col("rank") <= config.max_fuzzy).join(fuzzy, ["project", "source_id"], "left_semi")
-    third = fuzzy_candidates(sources, targets, seeds, config.stage3_cap).join(fuzzy, ["project", "source_id"], "left_semi")
+    third = fuzzy_candidates(sources, targets, seeds, config.stage3_cap, alike).join(fuzzy, ["project", "source_id"], "left_semi")
     if done is not None:
         third = third.join(done.select("project", "source_id").distinct(), ["project", "source_id"], "left_anti")
-    columns = ["project", "source_id", "target_id", "confidence", "mod", "distance", C.name_similarity("s_name", "t_name").alias("name_score")]
+    columns = ["project", "source_id", "target_id", "confidence", "mod", "distance", alike.name("s_name", "t_name").alias("name_score")]
     third = third.select(*columns, F.lit("fuzzy").alias("stage"))
     other = second.join(third.select("project", "source_id").distinct(), ["project", "source_id"], "left_anti").select(*columns, F.lit("structural").alias("stage"))
     return selection.top_k(other.unionByName(third), ["project", "source_id"], _rank(), max(config.top_n, 2))
@@ -132,7 +146,7 @@ def required_names(pairs: DataFrame, sources: DataFrame, targets: DataFrame) ->
     return pairs.join(s, "source_id").join(t, ["project", "target_id"]).where("_s = _t").select(*pairs.columns)
 
 
-def match(sources: DataFrame, targets: DataFrame, config: Config = Config(), mapping: DataFrame | None = None, explicit: DataFrame | None = None, same_names: bool = False) -> DataFrame:
+def match(sources: DataFrame, targets: DataFrame, config: Config = Config(), mapping: DataFrame | None = None, explicit: DataFrame | None = None, same_names: bool = False, alike: Similarities = Similarities()) -> DataFrame:
     """A row for each project and source: (project, source_id, target_id, status, confidence, stage).
 
     explicit names targets of some sources, which go before all stages; with same_names only equal qualified names are candidates.
@@ -141,7 +155,7 @@ def match(sources: DataFrame, targets: DataFrame, config: Config = Config(), map
     if explicit is not None:
         named = explicit_pairs(sources, targets, explicit).withColumn("stage", F.lit("explicit"))
         exact = named.unionByName(exact.join(named, ["project", "source_id"], "left_anti").join(named, ["project", "target_id"], "left_anti"))
-    found = candidates(sources, targets, config, exact)
+    found = candidates(sources, targets, config, exact, alike)
     if same_names:
         found = required_names(found, sources, targets)
         found = selection.top_k(found.drop("rank"), ["project", "source_id"], _rank(), max(config.top_n, 2))

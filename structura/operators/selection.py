@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from structura.plans.scratch import Rounds
+
 Order = Sequence[str | Column]
 
 
@@ -47,27 +49,30 @@ def in_turn(rows: DataFrame, group: str, order: Order, limit: int) -> DataFrame:
 def in_turn_once(rows: DataFrame, group: str, order: Order, identity: str, limit: int) -> DataFrame:
     """As in_turn, but a row that is in several groups is taken once, and its other groups go on with their next.
 
-    Which group takes it depends on all turns before, so this runs in one task, over at most limit + limit * groups rows a group.
+    The groups' turns, in order, take rows one after another, each the first of its group that none before it took. That is
+    found in rounds of claims: every group claims its rows in order, leaving out those that a turn before its own holds; a
+    claimed row is held by the earliest turn; and so on until nothing changes. After k rounds the first k turns are right for
+    good, and mostly all of them are after a few. At most limit rows are taken, so the first limit rows of a group are enough.
     """
-    groups = rows.select(group).distinct().count()
-    ranked = top_k(rows, [group], order, limit * (groups + 1), "_rank").select(group, identity, "_rank")
-
-    def take(key, pdf):
-        import pandas as pd
-
-        queues = {g: list(x[identity]) for g, x in pdf.sort_values([group, "_rank"]).groupby(group, sort=True)}
-        taken: list = []
-        while len(taken) < limit and any(queues.values()):
-            for g, queue in queues.items():
-                while queue and queue[0] in {i for _, i in taken}:
-                    queue.pop(0)
-                if queue and len(taken) < limit:
-                    taken.append((g, queue.pop(0)))
-        return pd.DataFrame({group: [g for g, _ in taken], identity: [i for _, i in taken], "turn": range(len(taken))})
-
-    kinds = dict(rows.dtypes)
-    chosen = ranked.groupBy(F.lit(0)).applyInPandas(take, f"`{group}` {kinds[group]}, `{identity}` {kinds[identity]}, turn long")
-    return rows.join(F.broadcast(chosen), [group, identity])  # limit rows
+    rounds = Rounds(rows.sparkSession, "turns")
+    listed = rows.where(F.col(group).isNotNull() & F.col(identity).isNotNull()).dropDuplicates([group, identity])
+    ranked = rounds.keep(top_k(listed, [group], order, limit, "_rank"))
+    # Of each group its rows in order with the turn that holds each; a scan over at most limit rows gives its next claims.
+    scan = f"""aggregate(_rows, named_struct('n', 0, 'out', cast(array() as array<struct<id: {dict(rows.dtypes)[identity]}, turn: int>>)),
+        (s, r) -> if(r.held is not null and r.held.owner <> `{group}` and (r.held.turn < s.n + 1 or (r.held.turn = s.n + 1 and r.held.owner < `{group}`)), s,
+                     named_struct('n', s.n + 1, 'out', concat(s.out, array(named_struct('id', r.id, 'turn', s.n + 1))))), s -> s.out)"""
+    held = rounds.keep(ranked.select(F.col(identity).alias("_id"), F.struct(F.lit(0).alias("turn"), F.col(group).alias("owner")).alias("_held")).where("false"))
+    while True:
+        with_held = ranked.select(group, "_rank", F.col(identity).alias("_id")).join(held, "_id", "left")
+        lists = with_held.groupBy(group).agg(F.transform(F.array_sort(F.collect_list(F.struct("_rank", F.col("_id").alias("id"), F.col("_held").alias("held")))), lambda x: F.struct(x["id"].alias("id"), x["held"].alias("held"))).alias("_rows"))
+        claims = lists.select(group, F.explode(F.expr(scan)).alias("c")).select(F.col("c.id").alias("_id"), F.struct(F.col("c.turn").alias("turn"), F.col(group).alias("owner")).alias("_held"))
+        after = rounds.keep(claims.groupBy("_id").agg(F.min("_held").alias("_held")))
+        changed = not after.join(held, ["_id", "_held"], "left_anti").isEmpty() or not held.join(after, ["_id", "_held"], "left_anti").isEmpty()
+        held = after
+        if not changed:
+            break
+    chosen = held.orderBy("_held").limit(limit).select("_id", F.col("_held.owner").alias("_owner"), F.row_number().over(Window.orderBy("_held")).alias("turn"))
+    return ranked.drop("_rank").join(F.broadcast(chosen), (F.col(identity) == F.col("_id")) & (F.col(group) == F.col("_owner"))).drop("_id", "_owner")  # limit rows
 
 
 def page(rows: DataFrame, order: Order, offset: int = 0, limit: int = 50, most: int = 500) -> DataFrame:

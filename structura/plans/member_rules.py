@@ -25,12 +25,8 @@ def _classes(ctx: R.Context) -> DataFrame:
 
 
 def _near(ctx: R.Context) -> DataFrame:
-    """(project, owner_id, holder, distance): each class with itself (0) and its ancestors (how many bases away, 1 for any)."""
-    c = _classes(ctx).select("project", "owner_id")
-    direct = ctx.bases().select("project", F.col("origin").alias("owner_id"), F.col("end").alias("holder"), F.lit(1).alias("distance"))
-    far = ctx.ancestors().select("project", F.col("start").alias("owner_id"), F.col("node").alias("holder"), F.lit(2).alias("distance"))
-    every = c.select("project", "owner_id", F.col("owner_id").alias("holder"), F.lit(0).alias("distance")).unionByName(direct).unionByName(far)
-    return every.groupBy("project", "owner_id", "holder").agg(F.min("distance").alias("distance"))
+    """(project, owner_id, holder, distance): each class with itself (0) and its ancestors in the order in which members are looked up."""
+    return ctx.lookup().groupBy("project", "owner_id", "holder").agg(F.min("place").alias("distance"))
 
 
 def _synthetic(ctx: R.Context) -> DataFrame:
@@ -63,24 +59,12 @@ def _selected(p: dict) -> Column:
 
 def member_set(ctx: R.Context, rules: Sequence[R.Rule]) -> DataFrame:
     """So many members of some kinds, a name, a storage and a method kind."""
-
-    def judge(r: R.Rule) -> DataFrame:
-        p = r.params
-        own = members(ctx, p["declared_only"]).where(_selected(p))
-        if "any" not in p["member_kinds"]:
-            own = own.where(F.col("member_kind").isin(list(p["member_kinds"])))
-        if p["method_kind"] != "any":
-            own = own.where(F.col("method_kind").isNull() | (F.col("method_kind") == p["method_kind"]))
-        if p["storage"] != "any":
-            own = own.where(F.col("storage").isNull() | (F.col("storage") == p["storage"]))
-        if not p["allow_property"]:
-            own = own.where("member_kind <> 'property'")
-        n = own.groupBy("project", F.col("owner_id").alias("target_id")).agg(F.count("*").alias("n"))
-        rows = ctx.matched([r]).join(n, ["project", "target_id"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-        most = F.lit(True) if p["max_count"] is None else F.col("n") <= p["max_count"]
-        return R._results(rows, (F.col("n") >= p["min_count"]) & most, F.when(F.col("n") < p["min_count"], F.when(F.col("n") == 0, "no_matching_members_found").otherwise("too_few_matching_members")).otherwise("too_many_matching_members"), F.col("n"))
-
-    return R._one(rules, judge)
+    rows = R.with_params(ctx.matched(rules), f"{R.SELECTION}, member_kinds: array<string>, method_kind: string, storage: string, allow_property: boolean, min_count: int, max_count: int")
+    own = members(ctx).withColumnRenamed("owner_id", "target_id")
+    kinds = F.array_contains("p.member_kinds", F.lit("any")) | F.array_contains("p.member_kinds", F.col("member_kind"))
+    fits = [F.col(f"{c}").isNull() | R.is_any(f"p.{c}", c) for c in ("method_kind", "storage")]
+    hits = rows.join(own, ["project", "target_id"]).where(R.chosen() & kinds & fits[0] & fits[1] & (F.col("p.allow_property") | (F.col("member_kind") != "property")))
+    return R.between(R.counted(rows, hits, F.count("*")), "members")
 
 
 def _verdict_of_candidates(ctx: R.Context, r: R.Rule, rows: DataFrame, found: DataFrame, missing: str) -> DataFrame:

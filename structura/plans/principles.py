@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -119,18 +120,28 @@ def verify_marker(results: DataFrame, marker: str) -> DataFrame:
 # ---- reference-free: who plays which role
 
 
-def io_roles(calls: DataFrame, entry_points: DataFrame) -> DataFrame:
+@dataclass(frozen=True)
+class Predicates:
+    """What discovery takes a call for, as functions of the callee's column: reading from a user, and talking to one at all."""
+
+    reads: Callable[[Column], Column] = lambda callee: callee.isin(*KEYBOARD)
+    talks: Callable[[Column], Column] = lambda callee: callee.isin(*IO_CALLS)
+
+
+def io_roles(calls: DataFrame, entry_points: DataFrame, predicates: Predicates = Predicates()) -> DataFrame:
     """(project, function, role): `io` reads the keyboard, is an entry point, or calls a helper that reads; `logic` is what io calls
     directly; a logic function that talks to the user itself is `disputed`. Other functions play none.
 
-    calls: project, caller, callee (project functions, or builtins by name); entry_points: project, function.
+    calls: project, caller, callee (project functions, or builtins by name); entry_points: project, function. predicates say
+    which callees read and talk.
     """
-    reads = calls.where(F.col("callee").isin(*KEYBOARD)).select("project", F.col("caller").alias("function")).distinct()
+    read, talk = predicates.reads(F.col("callee")), predicates.talks(F.col("callee"))
+    reads = calls.where(read).select("project", F.col("caller").alias("function")).distinct()
     helped = calls.join(reads.withColumnRenamed("function", "callee"), ["project", "callee"]).select("project", F.col("caller").alias("function"))
     io = reads.union(helped).union(entry_points.select("project", "function")).distinct()
-    called = calls.where(~F.col("callee").isin(*IO_CALLS)).join(io.withColumnRenamed("function", "caller"), ["project", "caller"]).select("project", F.col("callee").alias("function")).distinct()
+    called = calls.where(~talk).join(io.withColumnRenamed("function", "caller"), ["project", "caller"]).select("project", F.col("callee").alias("function")).distinct()
     logic = called.join(io, ["project", "function"], "left_anti")
-    talks = calls.where(F.col("callee").isin(*IO_CALLS)).select("project", F.col("caller").alias("function")).distinct().withColumn("talks", F.lit(True))
+    talks = calls.where(talk).select("project", F.col("caller").alias("function")).distinct().withColumn("talks", F.lit(True))
     logic = logic.join(talks, ["project", "function"], "left").select("project", "function", F.when(F.col("talks"), "disputed").otherwise("logic").alias("role"))
     return io.withColumn("role", F.lit("io")).unionByName(logic)
 

@@ -11,11 +11,11 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from structura.functions import columns as C
-from structura.operators import edges, graph, module_graph
+from structura.operators import aliases, edges, graph, linearize, module_graph, paths, selection
 from structura.plans.scratch import Rounds
 from structura.sources import python_source as P
 
@@ -28,7 +28,7 @@ FINAL = ("final", "typing.final", "typing_extensions.final")
 
 #: For each kind its parameters with their types; a missing one takes the default in PARAMETERS' value.
 PARAMETERS: dict[str, dict[str, object]] = {
-    "import_policy": {"forbidden": [], "allow": [], "mode": "reachable", "ignore_type_checking": True, "ignore_globs": []},
+    "import_policy": {"forbidden": [], "allow": [], "mode": "reachable", "ignore_type_checking": True, "ignore_globs": [], "scope": "package", "package": ""},
     "module_cycles": {"ignore_type_checking": True},
     "module_layers": {"layers": [], "closed": [], "ignore_type_checking": True},
     "architecture_static": {"policy": "allow_new_modules", "allow": [], "forbid": [], "require_all": False, "ignore_type_checking": True},
@@ -37,16 +37,16 @@ PARAMETERS: dict[str, dict[str, object]] = {
     "abstract_class": {"negated": False},
     "decorated": {"decorators": "final", "negated": False},
     "method_set": {"names": [], "pattern": "", "declared_only": False, "method_kind": "any", "min_count": 1, "max_count": None},
-    "member_absence": {"names": [], "pattern": "", "declared_only": False},
-    "attribute_contract": {"name": "", "storage": "any", "annotation": None, "require_writable": False, "declared_only": False},
+    "member_absence": {"names": [], "pattern": "", "declared_only": False, "member_kind": "any", "storage": "any", "descriptor_kinds": [], "include_dynamic_attributes": False},
+    "attribute_contract": {"name": "", "storage": "any", "annotation": None, "require_writable": False, "declared_only": False, "allow_property": False, "allow_missing": False, "descriptor_kinds": [], "include_dynamic_attributes": False, "interpret_dataclass_fields": False},
     "api_signature": {"mode": "compatible", "allow_extra_params": True, "allow_param_rename": False},
-    "protocol_conformance": {"protocol": "", "mode": "compatible"},
+    "protocol_conformance": {"protocol": "", "mode": "compatible", "enforce_method_kind": True},
     "module_interface": {"names": [], "ignore_type_checking": True},
     "private_access": {"allow": []},
 }
 CHOICES = {
     "mode": ("reachable", "direct", "compatible", "exact", "any"), "policy": edges.POLICIES, "relation": ("exact", "direct", "transitive"), "method_kind": ("any", "instance", "class", "static"),
-    "storage": ("any", "class", "instance", "property"), "decorators": ("final", "abstract"),
+    "storage": ("any", "class", "instance", "property"), "scope": ("package", "module"), "member_kind": ("any", "method", "attribute", "property"), "decorators": ("final", "abstract"),
 }
 
 
@@ -124,16 +124,46 @@ class Context:
         """Rules that ask about a whole project."""
         return self.projects.crossJoin(F.broadcast(self.rules(rules))).withColumn("target_id", F.lit(None).cast("string"))
 
+    def ordered_bases(self) -> DataFrame:
+        """(project, class, place, base): direct bases of classes in order, by canonical identifier where a project's class can be told, else as spelled."""
+        return self.once(("ordered_bases",), self._ordered_bases)
+
+    def _ordered_bases(self) -> DataFrame:
+        c = self.entities.where("kind = 'class'")
+        spelled = c.select("project", F.col("canonical_id").alias("class"), "module", F.posexplode("bases").alias("place", "base")).withColumn("base", F.regexp_replace("base", r"\[.*$", ""))
+        here = F.when(F.col("module") != "", F.concat_ws(".", "module", "base")).otherwise(F.col("base"))
+        spelled = self.rounds.keep(spelled.withColumn("here", here).drop("module"))
+        named = self.rounds.keep(c.select("project", F.col("canonical_id").alias("id"), F.when(F.col("module") != "", F.concat_ws(".", "module", "qualname")).otherwise(F.col("qualname")).alias("dotted")))
+        tried = spelled.select("project", "class", "place", F.explode(F.array("base", "here")).alias("dotted")).distinct()
+        # What is no class by itself may be a name that another module imports or a package re-exports.
+        unknown = tried.join(named, ["project", "dotted"], "left_anti").select("project", F.col("dotted").alias("name")).distinct()
+        pointers = P.aliases(self.facts.where("role = 'target'")).select("project", "name", "target")
+        passed_on = unknown.select("project", "name", F.explode(C.prefixes("name")).alias("prefix")).join(pointers.select("project", F.col("name").alias("prefix")).distinct(), ["project", "prefix"]).select("project", "name").distinct()
+        passed_on = self.rounds.keep(passed_on)
+        if not passed_on.isEmpty():
+            meant = aliases.rewritten(passed_on, pointers, ["project"]).where("resolved is not null").select("project", F.col("name").alias("dotted"), "resolved")
+            tried = tried.unionByName(tried.join(meant, ["project", "dotted"]).select("project", "class", "place", F.col("resolved").alias("dotted")))
+        found = tried.join(named, ["project", "dotted"]).where("id <> class").groupBy("project", "class", "place").agg(F.min("id").alias("id"))
+        return spelled.join(found, ["project", "class", "place"], "left").select("project", "class", "place", F.coalesce("id", "base").alias("base"), F.col("id").isNotNull().alias("own"))
+
     def bases(self) -> DataFrame:
         """(project, origin, end): direct bases of classes, by canonical identifier, where a project's class can be told."""
-        return self.once(("bases",), self._bases)
+        return self.ordered_bases().where("own").select("project", F.col("class").alias("origin"), F.col("base").alias("end")).distinct()
 
-    def _bases(self) -> DataFrame:
-        c = self.entities.where("kind = 'class'")
-        spelled = c.select("project", F.col("canonical_id").alias("origin"), "module", F.explode("bases").alias("base")).withColumn("base", F.regexp_replace("base", r"\[.*$", ""))
-        tried = spelled.select("project", "origin", F.explode(F.array(F.col("base"), F.when(F.col("module") != "", F.concat_ws(".", "module", "base")).otherwise(F.col("base")))).alias("dotted")).distinct()
-        named = c.select("project", F.col("canonical_id").alias("end"), F.when(F.col("module") != "", F.concat_ws(".", "module", "qualname")).otherwise(F.col("qualname")).alias("dotted"))
-        return tried.join(named, ["project", "dotted"]).select("project", "origin", "end").where("origin <> end").distinct()
+    def lookup(self) -> DataFrame:
+        """(project, owner_id, holder, place): each class with itself (0) and its ancestors in the order in which Python looks members up.
+
+        A class that Python would refuse (its bases contradict each other) has its ancestors in no order, after itself.
+        """
+        return self.once(("lookup",), self._lookup)
+
+    def _lookup(self) -> DataFrame:
+        orders = self.rounds.keep(linearize.linearize(self.ordered_bases(), ["project"]))
+        classes = self.entities.where("kind = 'class'").select("project", F.col("canonical_id").alias("owner_id"))
+        ordered = linearize.positions(orders, ["project"]).withColumnRenamed("class", "owner_id").join(classes, ["project", "owner_id"], "left_semi").select("project", "owner_id", "holder", "place")
+        rest = classes.join(orders.where("mro is not null").select("project", F.col("class").alias("owner_id")), ["project", "owner_id"], "left_anti")
+        above = rest.join(self.ancestors().select("project", F.col("start").alias("owner_id"), F.col("node").alias("holder")), ["project", "owner_id"]).withColumn("place", F.lit(1))
+        return ordered.unionByName(rest.select("project", "owner_id", F.col("owner_id").alias("holder"), F.lit(0).alias("place"))).unionByName(above)
 
     def ancestors(self) -> DataFrame:
         """(project, start, node): all ancestors of every class."""
@@ -154,9 +184,10 @@ class Context:
         return own if declared_only else self.once(("offered",), lambda: self._offered(own))
 
     def _offered(self, own: DataFrame) -> DataFrame:
-        up = self.ancestors().select("project", F.col("start").alias("heir"), F.col("node").alias("owner_id")).join(own, ["project", "owner_id"])
-        up = up.join(own.select("project", F.col("owner_id").alias("heir"), "name").distinct(), ["project", "heir", "name"], "left_anti")
-        return own.unionByName(up.drop("owner_id").withColumnRenamed("heir", "owner_id").withColumn("inherited", F.lit(True)).select(*own.columns))
+        reached = self.lookup().withColumnRenamed("owner_id", "heir").join(own.withColumnRenamed("owner_id", "holder"), ["project", "holder"])
+        first = Window.partitionBy("project", "heir", "name").orderBy("place", "holder")
+        nearest = reached.withColumn("_n", F.dense_rank().over(first)).where("_n = 1")  # a class may define a name more than once
+        return nearest.withColumn("inherited", F.col("place") > 0).withColumnRenamed("heir", "owner_id").select(*own.columns)
 
 
 def _results(rows: DataFrame, ok: Column, reason: Column, detail: Column | None = None) -> DataFrame:
@@ -178,20 +209,43 @@ def _one(rules: Sequence[Rule], f: Callable[[Rule], DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, [f(r) for r in rules])
 
 
+def _scope(ctx: Context, r: Rule) -> DataFrame:
+    """(project, start): the modules in which a rule about imports looks."""
+    own = ctx.modules.select("project", F.col("module").alias("start")).distinct()
+    if r.params["scope"] == "module":
+        module = ctx.entities.select("project", F.col("canonical_id").alias("target_id"), F.col("module").alias("start"))
+        return own.join(ctx.matched([r]).join(module, ["project", "target_id"]).select("project", "start"), ["project", "start"], "left_semi")
+    return own.where(C.in_module("start", F.lit(r.params["package"]))) if r.params["package"] else own
+
+
+#: Paths that a result lists; it counts all.
+REPORTED = 25
+
+
 def import_policy(ctx: Context, rules: Sequence[Rule]) -> DataFrame:
-    """No import under a forbidden prefix, directly or through the project's own modules; allowed prefixes end a path."""
+    """No import under a forbidden prefix, directly or through the project's own modules; allowed prefixes end a path.
+
+    Reachable imports are counted, all of them, and a shortest path is listed for each pair of ends, the shortest REPORTED;
+    imports inside functions lead no further. The scope is a package (all modules unless one is named), or the module that is
+    matched with the rule's own; it says where a path begins.
+    """
 
     def judge(r: Rule) -> DataFrame:
         p = r.params
         rows = module_graph.without_ignored(ctx.imports, p["ignore_globs"])
         rows = rows.where(~F.col("in_type_checking")) if p["ignore_type_checking"] else rows
-        plain = rows.select("project", F.col("importer").alias("origin"), F.col("imported").alias("end"))
+        names = ["project", F.col("importer").alias("origin"), F.col("imported").alias("end")]
+        starts = _scope(ctx, r)
         if p["mode"] == "direct":
-            bad = plain.where(C.first_prefix("end", p["forbidden"]).isNotNull() & C.first_prefix("end", p["allow"]).isNull()).select("project", F.concat_ws(" -> ", "origin", "end").alias("hit"))
-        else:
-            paths = graph.simple_paths(plain, ctx.modules.select("project", F.col("module").alias("start")), p["forbidden"], p["allow"], ctx.modules, ["project"])
-            bad = paths.select("project", F.array_join("path", " -> ").alias("hit"))
-        return _by_hits(ctx.of_projects([r]), bad, ["project"], "forbidden_import", F.col("hit"))
+            bad = rows.select(*names).join(starts.select("project", F.col("start").alias("origin")), ["project", "origin"], "left_semi").where(C.first_prefix("end", p["forbidden"]).isNotNull() & C.first_prefix("end", p["allow"]).isNull()).select("project", F.concat_ws(" -> ", "origin", "end").alias("hit"))
+            return _by_hits(ctx.of_projects([r]), bad, ["project"], "forbidden_import", F.col("hit"))
+        starts = starts.where(C.first_prefix("start", p["allow"]).isNull()) if p["allow"] else starts
+        asked = (ctx.rounds.keep(rows.where("is_top_level").select(*names).distinct()), ctx.rounds.keep(starts), p["forbidden"], p["allow"], ctx.modules, ["project"])
+        total = paths.path_counts(*asked).groupBy("project").agg(F.sum("paths").alias("n"))
+        shown = selection.top_k(paths.shortest_paths(*asked), ["project"], [F.size("path"), F.array_join("path", " ")], REPORTED)
+        listed = shown.groupBy("project").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "path"))), lambda x: F.array_join(x["path"], " -> ")), "; ").alias("shown"))
+        out = ctx.of_projects([r]).join(total, "project", "left").join(listed, "project", "left")
+        return _results(out, F.col("n").isNull(), F.lit("forbidden_import"), F.concat(F.col("n").cast("string"), F.when(F.col("n") == 1, " path: ").otherwise(" paths: "), F.col("shown")))
 
     return _one(rules, judge)
 
@@ -278,58 +332,102 @@ def decorated(ctx: Context, rules: Sequence[Rule]) -> DataFrame:
     return _results(rows, has != _p("negated", "boolean"), F.when(has, "decorator_present").otherwise("decorator_missing"))
 
 
-def _named(r: Rule) -> Column:
-    names, pattern = r.params["names"], r.params["pattern"]
-    return F.col("name").isin(names) if names else F.col("name").rlike(f"^(?:{pattern})$") if pattern else F.lit(True)
+def with_params(rows: DataFrame, fields: str) -> DataFrame:
+    """Rules' parameters as a column p, so that one plan judges any number of rules."""
+    return rows.withColumn("p", F.from_json("params", f"struct<{fields}>"))
+
+
+#: How a rule chooses members: by names, else by a pattern, else all.
+SELECTION = "names: array<string>, pattern: string, declared_only: boolean"
+
+
+def chosen() -> Column:
+    """Whether a row's rule (p) chooses its member (name, inherited)."""
+    named = F.when(F.size("p.names") > 0, F.array_contains("p.names", F.col("name"))).when(F.col("p.pattern") != "", F.rlike("name", F.concat(F.lit("^(?:"), F.col("p.pattern"), F.lit(")$")))).otherwise(True)
+    return named & ~(F.col("p.declared_only") & F.col("inherited"))
+
+
+def is_any(of: str, column: str) -> Column:
+    """Whether a rule's choice is any, or what a column says."""
+    return (F.col(of) == "any") | F.coalesce(F.col(column) == F.col(of), F.lit(False))
+
+
+def counted(rows: DataFrame, hits: DataFrame, n: Column) -> DataFrame:
+    """rows with n: what a rule's hits in a project come to, 0 without any."""
+    key = ["project", "rule_id", "target_id"]
+    return rows.join(hits.groupBy(*key).agg(n.alias("n")), key, "left").withColumn("n", F.coalesce("n", F.lit(0)))
+
+
+def between(rows: DataFrame, what: str) -> DataFrame:
+    """Results by whether n lies between a rule's least and greatest count."""
+    least, n = F.col("p.min_count"), F.col("n")
+    reason = F.when((n == 0) & (least > 0), f"no_matching_{what}_found").when(n < least, f"too_few_matching_{what}").otherwise(f"too_many_matching_{what}")
+    return _results(rows, (n >= least) & F.coalesce(n <= F.col("p.max_count"), F.lit(True)), reason, n)
 
 
 def method_set(ctx: Context, rules: Sequence[Rule]) -> DataFrame:
     """So many methods of a name, pattern and kind, own or inherited, a property's accessors once."""
+    rows = with_params(ctx.matched(rules), f"{SELECTION}, method_kind: string, min_count: int, max_count: int")
+    m = ctx.offered().select("project", F.col("owner_id").alias("target_id"), "name", "method_kind", "inherited")
+    hits = rows.join(m, ["project", "target_id"]).where(chosen() & is_any("p.method_kind", "method_kind"))
+    return between(counted(rows, hits, F.countDistinct("name")), "methods")
 
-    def judge(r: Rule) -> DataFrame:
-        p = r.params
-        m = ctx.offered(p["declared_only"]).where(_named(r))
-        m = m if p["method_kind"] == "any" else m.where(F.col("method_kind") == p["method_kind"])
-        n = m.groupBy("project", F.col("owner_id").alias("target_id")).agg(F.countDistinct("name").alias("n"))
-        rows = ctx.matched([r]).join(n, ["project", "target_id"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-        most = F.lit(True) if p["max_count"] is None else F.col("n") <= p["max_count"]
-        ok = (F.col("n") >= p["min_count"]) & most
-        return _results(rows, ok, F.when((F.col("n") == 0) & (F.lit(p["min_count"]) > 0), "no_matching_methods_found").when(F.col("n") < p["min_count"], "too_few_matching_methods").otherwise("too_many_matching_methods"), F.col("n"))
 
-    return _one(rules, judge)
+#: Which attributes a rule looks at besides plain ones.
+ORIGINS = "descriptor_kinds: array<string>, include_dynamic_attributes: boolean, interpret_dataclass_fields: boolean"
+
+
+def class_attributes(ctx: Context) -> DataFrame:
+    """(project, target_id, name, storage, annotation, writable, lineno, origin, descriptor, inherited): every class's attributes and its ancestors'."""
+
+    def make() -> DataFrame:
+        c = ctx.entities.where("kind = 'class'").select("project", "module", F.col("qualname").alias("owner"), F.col("canonical_id").alias("holder"))
+        a = P.attributes(ctx.facts.where("role = 'target'"), P.DESCRIPTORS, True, True).join(c, ["project", "module", "owner"])
+        reached = ctx.lookup().join(a, ["project", "holder"])
+        return reached.select("project", F.col("owner_id").alias("target_id"), "name", "storage", "annotation", "writable", "lineno", "origin", "descriptor", (F.col("place") > 0).alias("inherited"))
+
+    return ctx.once(("attributes",), make)
+
+
+def _looked_at() -> Column:
+    """Whether a row's rule looks at attributes of that origin."""
+    dynamic, data = F.coalesce("p.include_dynamic_attributes", F.lit(False)), F.coalesce("p.interpret_dataclass_fields", F.lit(False))
+    return (F.col("origin") == "plain") | ((F.col("origin") == "descriptor") & F.array_contains("p.descriptor_kinds", F.col("descriptor"))) | ((F.col("origin") == "dynamic") & dynamic) | ((F.col("origin") == "dataclass") & data)
 
 
 def member_absence(ctx: Context, rules: Sequence[Rule]) -> DataFrame:
-    def judge(r: Rule) -> DataFrame:
-        c = ctx.entities.where("kind = 'class'").select("project", "module", F.col("qualname").alias("owner"), F.col("canonical_id").alias("owner_id"))
-        a = P.attributes(ctx.facts.where("role = 'target'")).join(c, ["project", "module", "owner"]).select("project", "owner_id", "name", "lineno")
-        m = ctx.offered(r.params["declared_only"]).select("project", "owner_id", "name", "lineno")
-        hits = a.unionByName(m).where(_named(r)).select("project", F.col("owner_id").alias("target_id"), F.concat(F.col("name"), F.lit(":"), F.col("lineno")).alias("hit"))
-        return _by_hits(ctx.matched([r]), hits, ["project", "target_id"], "forbidden_member", F.col("hit"))
+    """No member of a name, kind and storage, own or inherited. Methods have no storage, so they count only where any will do."""
+    rows = with_params(ctx.matched(rules), f"{SELECTION}, {ORIGINS}, member_kind: string, storage: string")
+    kind = F.when(F.col("storage") == "property", "property").otherwise("attribute")
+    attributes = class_attributes(ctx).select("project", "target_id", "name", "lineno", "storage", kind.alias("kind_of_member"), "origin", "descriptor", "inherited")
+    none = F.lit(None).cast("string")
+    methods = ctx.offered().where("not is_property").select("project", F.col("owner_id").alias("target_id"), "name", "lineno", none.alias("storage"), F.lit("method").alias("kind_of_member"), F.lit("plain").alias("origin"), none.alias("descriptor"), "inherited")
+    hits = rows.join(attributes.unionByName(methods), ["project", "target_id"]).where(chosen() & _looked_at() & is_any("p.storage", "storage") & is_any("p.member_kind", "kind_of_member"))
+    return _by_hits(rows, hits, ["project", "rule_id", "target_id"], "forbidden_member", F.concat(F.col("name"), F.lit(":"), F.col("lineno")))
 
-    return _one(rules, judge)
 
+#: Where the last candidate for an attribute drops out, in order.
+_ATTRIBUTE_STEPS = ("missing_attribute", "storage_mismatch", "property_not_allowed", "annotation_mismatch", "not_writable", "ok")
 
-def attribute_contract(ctx: Context, rules: Sequence[Rule]) -> DataFrame:
-    """An attribute with a name, storage, annotation and writability; the reason is the step at which the last one drops out."""
 
-    def judge(r: Rule) -> DataFrame:
-        p = r.params
-        c = ctx.entities.where("kind = 'class'").select("project", "module", F.col("qualname").alias("owner"), F.col("canonical_id").alias("owner_id"))
-        a = P.attributes(ctx.facts.where("role = 'target'")).join(c, ["project", "module", "owner"]).where(F.col("name") == p["name"]).withColumn("inherited", F.lit(False))
-        if not p["declared_only"]:
-            up = ctx.ancestors().select("project", F.col("start").alias("heir"), F.col("node").alias("owner_id"))
-            a = a.unionByName(up.join(a.drop("inherited"), ["project", "owner_id"]).drop("owner_id").withColumnRenamed("heir", "owner_id").withColumn("inherited", F.lit(True)).select(*a.columns))
-        stored = F.lit(True) if p["storage"] == "any" else F.col("storage").isin("instance", "property") if p["storage"] == "instance" else F.col("storage") == p["storage"]
-        typed = F.lit(True) if p["annotation"] is None else F.coalesce(F.col("annotation") == p["annotation"], F.lit(False))
-        writable = F.col("writable") if p["require_writable"] else F.lit(True)
-        step = F.when(~stored, 1).when(~typed, 2).when(~writable, 3).otherwise(4)
-        n = a.groupBy("project", F.col("owner_id").alias("target_id")).agg(F.max(step).alias("step"))
-        rows = ctx.matched([r]).join(n, ["project", "target_id"], "left").withColumn("step", F.coalesce("step", F.lit(0)))
-        words = F.array(*map(F.lit, ("missing_attribute", "storage_mismatch", "annotation_mismatch", "not_writable", "ok")))
-        return _results(rows, F.col("step") == 4, F.element_at(words, F.col("step") + 1))
+def attribute_contract(ctx: Context, rules: Sequence[Rule]) -> DataFrame:
+    """An attribute with a name, storage, annotation and writability; the reason is the step at which the last one drops out.
 
-    return _one(rules, judge)
+    A property counts only where properties are allowed, another descriptor where its kind is named; with allow_missing a
+    rule is SKIPPED where there is nothing of the name.
+    """
+    rows = with_params(ctx.matched(rules), f"{ORIGINS}, name: string, storage: string, annotation: string, require_writable: boolean, declared_only: boolean, allow_property: boolean, allow_missing: boolean")
+    rows = rows.withColumn("name", F.col("p.name"))
+    stored = F.when(F.col("p.storage") == "any", True).when(F.col("p.storage") == "instance", F.col("storage").isin("instance", "property")).otherwise(F.col("storage") == F.col("p.storage"))
+    allowed = F.col("p.allow_property") | (F.col("storage") != "property") | F.col("descriptor").isNotNull()
+    typed = F.col("p.annotation").isNull() | F.coalesce(F.col("annotation") == F.col("p.annotation"), F.lit(False))
+    writable = ~F.col("p.require_writable") | F.col("writable")
+    step = F.when(~stored, 1).when(~allowed, 2).when(~typed, 3).when(~writable, 4).otherwise(5)
+    candidates = rows.join(class_attributes(ctx), ["project", "target_id", "name"]).where(_looked_at() & ~(F.col("p.declared_only") & F.col("inherited")))
+    out = counted(rows, candidates, F.max(step)).withColumn("reason", F.element_at(F.array(*map(F.lit, _ATTRIBUTE_STEPS)), F.col("n") + 1))
+    optional = (F.col("n") == 0) & F.col("p.allow_missing")
+    judged = _results(out, F.col("n") == 5, F.when(optional, "optional_attribute_missing").otherwise(F.col("reason")))
+    return judged.withColumn("status", F.when(F.col("reason") == "optional_attribute_missing", "SKIPPED").otherwise(F.col("status")))
 
 
 def _params(entities_: DataFrame, prefix: str, keys: Sequence[str]) -> DataFrame:
@@ -386,13 +484,15 @@ def protocol_conformance(ctx: Context, rules: Sequence[Rule]) -> DataFrame:
     def judge(r: Rule) -> DataFrame:
         proto = r.params["protocol"]
         own = ctx.reference.where((F.col("kind") == "method") & (F.concat_ws(".", F.when(F.col("module") != "", F.col("module")), F.regexp_extract("qualname", r"^(.*)\.[^.]*$", 1)) == proto))
-        need = own.where(~C.is_dunder("name") & ~F.col("is_property")).select(F.col("name"), F.col("canonical_id").alias("source_id"))
+        need = own.where(~C.is_dunder("name") & ~F.col("is_property")).select(F.col("name"), F.col("canonical_id").alias("source_id"), F.coalesce("method_kind", F.lit("instance")).alias("want_kind"))
         attrs = P.attributes(ctx.facts.where("role = 'source'")).where(F.concat_ws(".", F.when(F.col("module") != "", F.col("module")), F.col("owner")) == proto).select("name").distinct()
         rows = ctx.matched([r]).withColumn("pair_rule", F.concat_ws("|", "project", "rule_id", "target_id"))
-        offered = ctx.offered().select("project", F.col("owner_id"), "name", F.col("canonical_id").alias("method_id"))
+        offered = ctx.offered().select("project", F.col("owner_id"), "name", F.col("canonical_id").alias("method_id"), F.coalesce("method_kind", F.lit("instance")).alias("kind_found"))
         wanted = rows.select("project", F.col("target_id").alias("owner_id"), "pair_rule").crossJoin(F.broadcast(need))
         have = wanted.join(offered, ["project", "owner_id", "name"], "left")
         missing = have.where("method_id is null").select("pair_rule", F.concat(F.lit("missing method "), "name").alias("error"))
+        if r.params["enforce_method_kind"]:
+            missing = missing.unionByName(have.where("method_id is not null and kind_found <> want_kind").select("pair_rule", F.concat(F.col("name"), F.lit(": "), F.col("kind_found"), F.lit(" method, not "), F.col("want_kind")).alias("error")))
         pairs = have.where("method_id is not null").select("project", "source_id", F.col("method_id").alias("target_id"), F.concat_ws("#", "pair_rule", "name").alias("pair"))
         e, f = ctx.reference.withColumnRenamed("canonical_id", "source_id"), ctx.entities.withColumnRenamed("canonical_id", "target_id")
         bad = compare_parameters(pairs, _params(e, "e", ["source_id"]), _params(f, "f", ["project", "target_id"]), r.params["mode"]) if r.params["mode"] != "any" else None

@@ -2,11 +2,13 @@
 
 Events are tables by name: cases (project, case, status), calls, instances, imports, writes, spies, objects, members,
 stages as structura.sources.observe gives them, and reference_calls, reference_stages of the reference's own run. Without
-events every such rule is SKIPPED; a case that didn't complete fails its rules, or is the reference's error.
+events every such rule is SKIPPED; a case that didn't complete fails its rules, or is the reference's error. A rule that lists
+cases is judged by those, and SKIPPED where one of them wasn't recorded, as is any rule in a project without cases.
 """
 
 from __future__ import annotations
 
+import copy
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -122,6 +124,25 @@ JUDGES: dict[str, Judge] = {
 }
 
 
+def _of_cases(ctx: R.Context, rule: R.Rule) -> tuple[R.Context, list[str]]:
+    """The context with the events of the cases that a rule names, and their names; of all cases where it names none."""
+    names = sorted({str(c["name"]) for c in rule.params.get("cases") or [] if isinstance(c, dict) and c.get("name")})
+    if not names:
+        return ctx, names
+    own = copy.copy(ctx)
+    named = lambda k: F.col("case").isin(names) | (F.col("case").isNull() if k == "imports" else F.lit(False))  # noqa: E731  imports happen before any case
+    own.events = {k: t.where(named(k)) if "case" in t.columns else t for k, t in ctx.events.items()}
+    return own, names
+
+
+def _failing(ctx: R.Context) -> set[str]:
+    """The reference's own cases that didn't complete, asked once a run: cases of one reference."""
+    if not hasattr(ctx, "failing"):
+        cases = ctx.events.get("reference_cases")
+        ctx.failing = set() if cases is None else {r.case for r in cases.where("status <> 'completed'").select("case").distinct().collect()}
+    return ctx.failing
+
+
 def _evaluator(kind: str) -> Callable[[R.Context, Sequence[R.Rule]], DataFrame]:
     def evaluate(ctx: R.Context, rules: Sequence[R.Rule]) -> DataFrame:
         if not ctx.events:
@@ -129,14 +150,17 @@ def _evaluator(kind: str) -> Callable[[R.Context, Sequence[R.Rule]], DataFrame]:
             return R._results(rows, F.lit(False), F.lit("dynamic_checks_disabled")).withColumn("status", F.lit("SKIPPED"))
 
         def judge(r: R.Rule) -> DataFrame:
-            rows = ctx.of_projects([r])
-            hits, reason, shown = JUDGES[kind](ctx, r.params)
+            own, names = _of_cases(ctx, r)
+            rows = own.of_projects([r])
+            hits, reason, shown = JUDGES[kind](own, r.params)
             judged = R._by_hits(rows, hits, ["project"], reason, shown)
             # A case of the project that didn't run decides before its events: the reference's fault if it can't run it either.
-            cases = ctx.events["cases"].groupBy("project").agg(F.min(F.when(F.col("status") != "completed", F.struct(F.lit(True).alias("x"), "status"))).alias("bad"))
-            failing = ctx.events["reference_cases"].where("status <> 'completed'").count() > 0 if "reference_cases" in ctx.events else False  # cases of one reference
+            cases = own.events["cases"].groupBy("project").agg(F.min(F.when(F.col("status") != "completed", F.struct(F.lit(True).alias("x"), "status"))).alias("bad"), F.countDistinct("case").alias("recorded"))
+            failing = bool(_failing(ctx) & set(names) if names else _failing(ctx))
             gate = runtime.gate(F.lit(True), F.lit(True), F.when(F.startswith("bad.status", F.lit("probe_")), F.substr("bad.status", F.lit(7))).otherwise("completed"), F.col("bad").isNull(), F.lit(not failing))
-            out = judged.join(cases, "project", "left").withColumn("gate", gate)
+            unseen = F.coalesce("recorded", F.lit(0)) < max(1, len(names))
+            skipped = F.struct(F.lit("SKIPPED").alias("status"), F.when(F.coalesce("recorded", F.lit(0)) == 0, "no_recorded_case").otherwise("case_not_recorded").alias("reason"))
+            out = judged.join(cases, "project", "left").withColumn("gate", F.when(unseen & F.col("bad").isNull(), skipped).otherwise(gate))
             return out.withColumns({"status": F.coalesce("gate.status", "status"), "reason": F.coalesce("gate.reason", "reason")}).select(*judged.columns)
 
         return R._one(rules, judge)

@@ -32,7 +32,7 @@ class Rounds:
     """Written tables of an iterative plan; keeps the last two, so that a round can read the one before it."""
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root, self.kept = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", []
+        self.spark, self.root, self.kept, self.growing = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", [], {}
         _left.append((spark, self.root))
 
     def keep(self, df: DataFrame) -> DataFrame:
@@ -40,6 +40,21 @@ class Rounds:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def append(self, name: str, df: DataFrame) -> DataFrame:
+        """Add what is new to a table that grows round by round, and give only that: earlier rows are never written again."""
+        parts = self.growing.setdefault(name, [])
+        df.write.parquet(path := f"{self.root}/{name}/part{len(parts)}")
+        parts.append((path, df.schema))
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def has(self, name: str) -> bool:
+        return name in self.growing
+
+    def all(self, name: str) -> DataFrame:
+        """All rows added to a table so far."""
+        parts = self.growing[name]
+        return self.spark.read.schema(parts[0][1]).parquet(*[path for path, _ in parts])
+
     def step(self, df: DataFrame) -> DataFrame:
         path = f"{self.root}/{uuid.uuid4().hex[:10]}"
         df.write.parquet(path)

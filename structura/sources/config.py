@@ -36,6 +36,7 @@ class RunConfig:
     policy: str = "any_fail"
     threshold: int = 1
     report: str = ""
+    events: str = ""
     matching: MatchConfig = field(default_factory=MatchConfig)
 
 

@@ -67,6 +67,14 @@ MARKERS: dict[str, str] = {
     "enforce_flow": f"stages variable {OBSERVING}",
 }
 SEVERITIES = ("error", "warning", "info")
+#: Parameters that nothing here honours, with the values that ask for nothing: any other value is an issue, never dropped in silence.
+UNSUPPORTED: dict[str, dict[str, tuple]] = {
+    "does_not_have": {"signature_mode": ("any",)},
+    "require_member_set": {"descriptor_kinds": (None, []), "include_dynamic_attributes": (False,), "interpret_dataclass_fields": (False,), "constructor_kind": (None, "auto")},
+    "required_factory": {"detection_mode": (None, "auto", "annotation")},
+    "architecture_entry": {"ignore_external": (True,)},
+    "forbid_runtime_calls": {"cover_module": (False, None)},
+}
 
 DECLARATION = "project string, role string, path string, module string, qualname string, kind string, marker string, params string, severity string, message string, lineno int, ordinal int, container string, issues string"
 
@@ -240,7 +248,9 @@ def compile_marker(d: dict, source_id: str, base_ids: dict[str, str]) -> list[Ru
     def some(*keys: str, **renamed: str) -> dict:
         return {k: p[k] for k in keys if k in p} | {to: p[k] for k, to in renamed.items() if k in p}
 
-    if d["issues"]:
+    dropped = [f"{k} is not supported" for k, harmless in UNSUPPORTED.get(marker, {}).items() if k in p and p[k] not in harmless]
+    if d["issues"] or dropped:
+        d = d | {"issues": "; ".join([*filter(None, [d["issues"]]), *dropped])}
         return [rule("compiler_invalid_param", {"issues": d["issues"].split("; ")})]
     out: list[Rule] = []
     if marker == "required_entity_signature":
@@ -258,11 +268,12 @@ def compile_marker(d: dict, source_id: str, base_ids: dict[str, str]) -> list[Ru
     elif marker == "required_factory":
         out.append(rule("required_factory", some("satisfy_with", "allow_inherited", "allow_missing", signature_mode="mode") | _names({"name_match": "any"} | p, own)))
     elif marker == "required_attribute":
-        out.append(rule("attribute_contract", some("name", "annotation", "storage", "require_writable", "declared_only")))
+        out.append(rule("attribute_contract", some("name", "annotation", "storage", "require_writable", "declared_only", "allow_property", "allow_missing", "descriptor_kinds", "include_dynamic_attributes", "interpret_dataclass_fields")))
     elif marker == "does_not_have":
-        out.append(rule("member_absence", some("declared_only") | _names(p, str(p.get("name", own)))))
+        chosen = {"names": list(p.get("aliases") or []), "pattern": ""} if p.get("name_match") == "alias" else _names(p, str(p.get("name", own)))
+        out.append(rule("member_absence", some("declared_only", "member_kind", "storage", "include_dynamic_attributes") | ({"descriptor_kinds": list(P.DESCRIPTORS[1:])} if p.get("include_descriptors") else {}) | chosen))
     elif marker == "forbid_imports":
-        out.append(rule("import_policy", {k: v for k, v in some("forbidden", "mode", "ignore_type_checking", "allow", "ignore_globs").items() if v is not None}))
+        out.append(rule("import_policy", {k: v for k, v in some("forbidden", "mode", "ignore_type_checking", "allow", "ignore_globs", "scope", "package").items() if v is not None}))
     elif marker == "enforce_layers":
         out.append(rule("module_layers", {k: v for k, v in some("layers", "closed", "ignore_type_checking").items() if v is not None}))
     elif marker == "forbid_cycles":
@@ -272,7 +283,7 @@ def compile_marker(d: dict, source_id: str, base_ids: dict[str, str]) -> list[Ru
     elif marker == "module_interface":
         out.append(rule("module_interface", some("names", "ignore_type_checking")))
     elif marker == "implements_protocol":
-        out.append(rule("protocol_conformance", {"protocol": str(p.get("protocol", ""))} | some(signature_mode="mode")))
+        out.append(rule("protocol_conformance", {"protocol": str(p.get("protocol", ""))} | some("enforce_method_kind", signature_mode="mode")))
     elif marker in _NOMINAL:
         relation, negated = _NOMINAL[marker]
         out.append(rule("nominal_type", {"base": base_ids.get(str(p.get("base", "")), str(p.get("base", ""))), "relation": relation, "negated": negated}))
