@@ -8,8 +8,8 @@ Equal sets are one class. Classes of equal size with equal prefixes are one grou
 share a prefix token, their sizes allow the likeness, so does what comes after the shared token, and, for groups of one, so do
 256-bit parities of their tokens. Pairs expand to members, whose full sets are compared.
 
-Only connected texts are asked for, so no bucket is taken apart into all its pairs at first: its first and last group, as
-leaders, meet the others (pairs grow in proportion to the tokens), and so do the first member of a group and its others. A
+Tokens that a few groups share bring these together in pairs. Others are dealt to buckets by size. Only connected texts are
+asked for, so a dense bucket isn't taken apart into all its pairs at first: its first and last group, as leaders, meet the others (pairs grow in proportion to the tokens), and so do the first member of a group and its others. A
 few more leaders, drawn for each bucket, meet what these links leave unconnected in it; what is still left, and only that,
 meets in pairs. Sets come from the texts again, only for classes in a pair and once for each; a class in many pairs spreads
 over as many keys as it needs.
@@ -31,7 +31,7 @@ from structura.llm.simhash import components, labelled
 NEED = 90
 #: Slots of the sketch, and the pieces in which tasks hand theirs over.
 SLOT_BITS, PIECES = 20, 64
-#: Groups beyond which a bucket is dense, and the leaders drawn for it in the second round.
+#: Groups beyond which a token or a bucket is dense, and the leaders drawn for it in the second round.
 DENSE, DRAWN = 32, 4
 #: Pairs that one key of a comparison holds.
 PAIRS = 512
@@ -259,21 +259,25 @@ class _Groups:
         several = self.all.where("members > 1").select(F.col("gid").alias("_gid"), F.col("n").alias("_n"), F.col("prefix").alias("_prefix"))
         self.members = scratch.save(classes.join(several, (F.col("n") == F.col("_n")) & (F.col("prefix") == F.col("_prefix"))).select(F.col("_gid").alias("gid"), "cid", "n", *_PARITIES), "members")
 
-    def shared(self) -> DataFrame:
-        """entries() of tokens that several groups share, in buckets of sizes that hold several: with step (its size's bucket), bucket
-        (its own or the next, as sizes that allow the likeness lie in one or in neighbours), size (groups there), first and last (of those)."""
+    def shared(self) -> tuple[DataFrame, DataFrame]:
+        """entries() of tokens that a few groups share, and those of the others (dense tokens) in buckets of sizes.
+
+        A dense row has step (its size's bucket), bucket (its own or the next, as sizes that allow the likeness lie in one or in
+        neighbours), size (groups there, several at least), first and last (of those).
+        """
         each = entries(self.all)
-        common = each.groupBy("token").agg(F.min("gid").alias("_low"), F.max("gid").alias("_high")).where("_low < _high").select(F.col("token").alias("_token"))
+        common = each.groupBy("token").agg(F.min("gid").alias("_low"), F.max("gid").alias("_high"), F.count("*").alias("sharing")).where("_low < _high").select(F.col("token").alias("_token"), "sharing")
+        shared = self.scratch.save(each.join(common, F.col("token") == F.col("_token")).drop("_token"), "shared")
         step = F.floor(F.log("n") / (math.log(100 / self.need) * 1.0001)).cast("int")
-        shared = self.scratch.save(each.join(common, F.col("token") == F.col("_token")).drop("_token").withColumn("step", step), "shared")
-        bucketed = shared.withColumn("bucket", F.explode(F.array("step", F.col("step") + 1)))
+        bucketed = shared.where(F.col("sharing") > DENSE).drop("sharing").withColumn("step", step).withColumn("bucket", F.explode(F.array("step", F.col("step") + 1)))
         one = F.struct("gid", "n", "pos")
         several = bucketed.groupBy(F.col("token").alias("_token"), F.col("bucket").alias("_bucket")).agg(F.min(one).alias("first"), F.max(one).alias("last"), F.count("*").alias("size")).where("size > 1")
-        return self.scratch.save(bucketed.join(several, (F.col("token") == F.col("_token")) & (F.col("bucket") == F.col("_bucket"))).drop("_token", "_bucket"), "crowded")
+        crowded = bucketed.join(several, (F.col("token") == F.col("_token")) & (F.col("bucket") == F.col("_bucket"))).drop("_token", "_bucket")
+        return shared.where(F.col("sharing") <= DENSE).drop("sharing"), self.scratch.save(crowded, "crowded")
 
     def leading(self, shared: DataFrame) -> DataFrame:
-        """Pairs (a, b) of classes: the first and last group of each bucket with its others, and a group's first member with its others."""
-        each = shared.select("gid", "n", "pos", F.explode(F.array("first", "last")).alias("l")).select(F.struct("gid", "n", "pos").alias("x"), "l")
+        """Pairs (a, b) of classes: the first and last group of each dense bucket with its others, and a group's first member with its others."""
+        each = shared.where(F.col("size") > DENSE).select("gid", "n", "pos", F.explode(F.array("first", "last")).alias("l")).select(F.struct("gid", "n", "pos").alias("x"), "l")
         met = each.where(F.expr("x.gid <> l.gid") & _sizes("x", "l", self.need) & _positions("x", "l", self.need)).select(F.col("l.gid").alias("g"), F.col("x.gid").alias("h")).distinct()
         x, y = (self.all.select("gid", "n", *_PARITIES).alias(s) for s in "xy")
         near = met.join(x, F.expr("g = x.gid")).join(y, F.expr("h = y.gid")).where(_fits("x", "y", self.need)).select(F.col("g").alias("a"), "h")
@@ -286,8 +290,8 @@ class _Groups:
         every = self.members.unionByName(single).join(joined.select(F.col("node").alias("_node"), F.col("label").alias("_label")), F.col("cid") == F.col("_node"), "left")
         return self.scratch.save(every.select("gid", "cid", "n", *_PARITIES, F.coalesce("_label", "cid").alias("label")), name)
 
-    def open_pairs(self, shared: DataFrame, known: DataFrame, drawn: bool, name: str) -> DataFrame:
-        """Pairs of groups (g < h) in a bucket that aren't both in one component and may be alike: drawn leaders of dense buckets and the others, or all.
+    def open_pairs(self, sparse: DataFrame, shared: DataFrame, known: DataFrame, drawn: bool, name: str) -> DataFrame:
+        """Pairs of groups (g < h) that share a token, aren't both in one component and may be alike: drawn leaders of dense buckets and the others, or all.
 
         Dense buckets lose their rows first where they are one component by now; in the others no more than DENSE rows meet.
         """
@@ -299,15 +303,20 @@ class _Groups:
         open_ = dense.groupBy(F.col("token").alias("_token"), F.col("bucket").alias("_bucket")).agg(F.min("low").alias("_low"), F.max("high").alias("_high")).where("_low < _high").select("_token", "_bucket")
         rows = dense.join(open_, (F.col("token") == F.col("_token")) & (F.col("bucket") == F.col("_bucket"))).drop("_token", "_bucket")
         rows = self.scratch.save(rows, f"{name}_dense")
-        apart = F.expr("x.token = y.token and x.bucket = y.bucket and not (x.low = x.high and x.low = y.low and y.low = y.high)") & _fits("x", "y", self.need) & _positions("x", "y", self.need)
+        apart = F.expr("x.token = y.token and not (x.low = x.high and x.low = y.low and y.low = y.high)") & _fits("x", "y", self.need) & _positions("x", "y", self.need)
         if drawn:
             order = Window.partitionBy("token", "bucket").orderBy(F.xxhash64("token", "gid"), "gid")
             leaders = rows.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= DRAWN)
-            met = rows.alias("x").join(leaders.alias("y"), F.expr("x.gid <> y.gid") & apart)
+            met = rows.alias("x").join(leaders.alias("y"), F.expr("x.bucket = y.bucket and x.gid <> y.gid") & apart)
         else:
             rows = rows.unionByName(self.scratch.save(attach(slim.where(F.col("size") <= DENSE)), f"{name}_sparse"))
-            met = rows.alias("x").join(rows.alias("y"), F.expr("x.gid < y.gid and x.bucket = greatest(x.step, y.step)") & apart)
-        met = met.select(F.least("x.gid", "y.gid").alias("g"), F.greatest("x.gid", "y.gid").alias("h")).distinct()
+            met = rows.alias("x").join(rows.alias("y"), F.expr("x.bucket = y.bucket and x.gid < y.gid and x.bucket = greatest(x.step, y.step)") & apart)
+        pair = (F.least("x.gid", "y.gid").alias("g"), F.greatest("x.gid", "y.gid").alias("h"))
+        met = met.select(*pair)
+        if not drawn:
+            few = self.scratch.save(attach(sparse), f"{name}_few")
+            met = met.unionByName(few.alias("x").join(few.alias("y"), F.expr("x.gid < y.gid") & apart).select(*pair))
+        met = met.distinct()
         return met if drawn else met.unionByName(state.where("low < high").select(F.col("_gid").alias("g"), F.col("_gid").alias("h")))
 
     def expanded(self, met: DataFrame, named: DataFrame) -> DataFrame:
@@ -324,14 +333,14 @@ def linked(rows: DataFrame, classes: DataFrame, named: DataFrame, words: int, ne
     groups = _Groups(classes, need, scratch)
     scratch.drop("classes")
     sets = Sets(rows, named, words, scratch)
-    shared = groups.shared()
+    sparse, shared = groups.shared()
     pairs = scratch.save(groups.leading(shared), "leading")
     links = compared(pairs, sets, need, "leading_links")
     joined = components(links, scratch)
     tried = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     for turn in ("drawn", "rest"):
         known = groups.labelled(joined, f"{turn}_known")
-        met = groups.open_pairs(shared, known, turn == "drawn", turn)
+        met = groups.open_pairs(sparse, shared, known, turn == "drawn", turn)
         pairs = scratch.save(groups.expanded(met, known).join(tried, ["a", "b"], "left_anti"), turn)
         if pairs.isEmpty():
             continue
