@@ -28,7 +28,7 @@ from structura.llm.common import Scratch, lean, shuffle_partitions
 #: Rows of the sample that pivots come from, pivots at most, and rounds of moving them to the middle of their cells.
 SAMPLE, CELLS, ROUNDS = 1024, 256, 5
 #: Anchors of a group: at least the first number, a share of all, at most the last.
-GROUP_LEAST, GROUP_SHARE, GROUP_MOST = 64, 256, 1 << 16
+GROUP_LEAST, GROUP_SHARE, GROUP_MOST = 256, 64, 1 << 16
 #: Labels fall into so many slots, each with a bound of its own.
 SLOTS = 16
 #: Searches that one step compares with a batch of rows, and candidates held before they are thinned to the best.
@@ -331,7 +331,7 @@ def hard_negatives(df: DataFrame, anchor, id_col: str = "vec_id", vector_col: st
     count = anchors.count()
     if most is not None and most >= 1 << 62:
         raise ValueError("norms of 2**31 or more give scores that don't fit a long")
-    cells = min(CELLS, max(4, 4 * -(-count // GROUP_LEAST)))
+    cells = min(CELLS, max(8, count // 8))
     sample = [r.q for r in rows.orderBy(F.xxhash64("row", "q"), "row").select(F.col("q")).limit(SAMPLE).collect()]
     space = Space([bytes(q) for q in sample], max(1, (length or 0) // 4), most or 0.0, cells)
 
