@@ -26,7 +26,7 @@ def _mro_sql(levels: int = 3) -> str:
     out = f"WITH RECURSIVE {_CLASSES_SQL}, o0 AS (SELECT 'made' AS class, ['made'] AS mro UNION ALL SELECT 'named', ['named'])"
     for k in range(1, levels + 1):
         out += f""",
-    s{k} AS (SELECT class, list(mro ORDER BY place) || [any_value(bases)] AS lists FROM (SELECT class, bases, unnest(bases) AS base, generate_subscripts(bases, 1) AS place FROM b WHERE level = {k}) x JOIN o{k - 1} o ON o.class = x.base GROUP BY x.class),
+    s{k} AS (SELECT x.class, list(mro ORDER BY place) || [any_value(bases)] AS lists FROM (SELECT class, bases, unnest(bases) AS base, generate_subscripts(bases, 1) AS place FROM b WHERE level = {k}) x JOIN o{k - 1} o ON o.class = x.base GROUP BY x.class),
     m{k} AS (SELECT class, lists AS rest, []::VARCHAR[] AS done FROM s{k}
              UNION ALL
              SELECT class, list_filter(list_transform(rest, lambda x: CASE WHEN x[1] = head THEN x[2:] ELSE x END), lambda x: len(x) > 0), list_append(done, head)
