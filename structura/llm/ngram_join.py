@@ -266,7 +266,7 @@ class _Groups:
         neighbours), size (groups there, several at least), first and last (of those).
         """
         each = entries(self.all)
-        common = each.groupBy("token").agg(F.min("gid").alias("_low"), F.max("gid").alias("_high"), F.count("*").alias("sharing")).where("_low < _high").select(F.col("token").alias("_token"), "sharing")
+        common = each.groupBy(F.col("token").alias("_token")).agg(F.count("*").alias("sharing")).where("sharing > 1")  # a group has a token once
         shared = self.scratch.save(each.join(common, F.col("token") == F.col("_token")).drop("_token"), "shared")
         step = F.floor(F.log("n") / (math.log(100 / self.need) * 1.0001)).cast("int")
         bucketed = shared.where(F.col("sharing") > DENSE).drop("sharing").withColumn("step", step).withColumn("bucket", F.explode(F.array("step", F.col("step") + 1)))
