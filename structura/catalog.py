@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from structura.functions import columns as C
 from structura.functions import globs
-from structura.operators import edges, graph, membership, selection, summary
+from structura.operators import edges, graph, likeness, membership, selection, summary
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -150,7 +150,7 @@ def metric_normalisation(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- likeness and choice
 
 
-#: Parts that share brand and size, by the likeness of their names and types; blocks stay small as parts grow.
+#: Parts that share brand and size, by the likeness of their names and types; parts with equal names are compared once.
 _PAIRS_SQL = """
     WITH p AS (SELECT p_partkey, p_brand, p_size, p_name || ' ' || p_type AS name FROM part),
          s AS (SELECT a.p_partkey AS source_id, b.p_partkey AS target_id,
@@ -159,15 +159,14 @@ _PAIRS_SQL = """
 """
 
 
-def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _likest(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     p = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size", F.concat_ws(" ", "p_name", "p_type").alias("name"))
-    a, b = p.withColumnsRenamed({"p_partkey": "source_id", "name": "source_name"}), p.withColumnsRenamed({"p_partkey": "target_id", "name": "target_name"})
-    return a.join(b, ["p_brand", "p_size"]).where("source_id <> target_id").select("source_id", "target_id", F.round(C.name_similarity("source_name", "target_name"), 6).alias("score"))
+    return likeness.likest_names(p, ["p_brand", "p_size"], "p_partkey", "name", C.name_similarity, k)
 
 
 @query("name_similarity_topk", _PAIRS_SQL + "SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY source_id ORDER BY score DESC, target_id) AS INT) AS rank FROM s) WHERE rank <= 3")
 def name_similarity_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return selection.top_k(_pairs(spark, sf_dir), ["source_id"], [F.desc("score"), "target_id"], 3)
+    return _likest(spark, sf_dir, 3)
 
 
 @query(
@@ -179,7 +178,7 @@ def name_similarity_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """,
 )
 def match_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    two = selection.best_two(_pairs(spark, sf_dir), ["source_id"], "target_id", "score", [F.desc("score"), "target_id"])
+    two = selection.best_two(_likest(spark, sf_dir, 2).drop("rank"), ["source_id"], "target_id", "score", [F.desc("score"), "target_id"])
     return two.withColumn("status", selection.match_status(F.col("best"), F.col("second")))
 
 
@@ -191,7 +190,7 @@ def match_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """,
 )
 def one_to_one_winner(spark: SparkSession, sf_dir: str) -> DataFrame:
-    best = selection.top_k(_pairs(spark, sf_dir), ["source_id"], [F.desc("score"), "target_id"], 1).drop("rank")
+    best = _likest(spark, sf_dir, 1).drop("rank")
     return selection.winners(best, "target_id", [F.desc("score"), "source_id"])
 
 
@@ -232,11 +231,16 @@ def doc_token_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def multiset_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Word bags of each turn against the next one's."""
-    words = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}_]+"), lambda x: x != "").alias("w"))
-    pairs = F.transform(F.array_distinct("w"), lambda t: F.struct(t, F.size(F.filter("w", lambda x: x == t))))
-    bags = words.select("conv_id", "turn", F.map_from_entries(pairs).alias("bag"))
-    nxt = bags.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("bag").alias("next_bag"))
-    return bags.join(nxt, ["conv_id", "turn"]).select("conv_id", "turn", F.round(C.bag_jaccard("bag", "next_bag"), 6).alias("score"))
+    words = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}_]+"), lambda x: x != "")
+    turns = table(spark, sf_dir, "conversations").select(F.struct("conv_id", "turn").alias("first"), F.struct("conv_id", (F.col("turn") - 1).alias("turn")).alias("then"), words.alias("w"))
+    sides = turns.select(F.explode(F.array(F.struct(F.col("first").alias("key"), F.lit(0).alias("side")), F.struct(F.col("then").alias("key"), F.lit(1).alias("side")))).alias("k"), "w")
+    # Both bags of a pair of turns come to one task with the one exchange: counting words and comparing bags are two aggregates there.
+    each = sides.select("k.key.conv_id", "k.key.turn", "k.side", "w").dropna(subset=["conv_id", "turn"]).repartition("conv_id", "turn").select("conv_id", "turn", "side", F.explode_outer("w").alias("t"))
+    count = lambda side: F.count(F.when(F.col("side") == side, F.col("t")))
+    bags = each.groupBy("conv_id", "turn", "t").agg(count(0).alias("x"), count(1).alias("y"), F.min("side").alias("first"), F.max("side").alias("last"))
+    sums = bags.groupBy("conv_id", "turn").agg(F.sum(F.least("x", "y")).alias("lo"), F.sum(F.greatest("x", "y")).alias("hi"), F.sum("x").alias("nx"), F.sum("y").alias("ny"), F.min("first").alias("first"), F.max("last").alias("last"))
+    score = F.when((F.col("nx") == 0) | (F.col("ny") == 0), F.lit(0.0)).otherwise(F.round(F.col("lo") / F.col("hi"), 6))
+    return sums.where("first < last").select("conv_id", "turn", score.alias("score"))
 
 
 @query(
