@@ -224,8 +224,10 @@ def compared(pairs: DataFrame, sets: Sets, need: int, name: str) -> DataFrame:
     held = sets.of(pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))))
     many = pairs.groupBy("a").agg(F.ceil(F.count("*") / PAIRS).alias("salts"))
     dealt = scratch.save(pairs.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), "salts").alias("salt")), f"{name}_dealt")
-    heads = dealt.select("a", "salt").distinct().join(held, F.col("a") == F.col("cid")).select("a", "salt", F.lit(None).cast("long").alias("b"), "shingles")
-    rows = heads.unionByName(dealt.join(held, F.col("b") == F.col("cid")).select("a", "salt", "b", "shingles"))
+    # Both sides of a comparison ask for their sets in one join, so the sets are exchanged once.
+    heads = dealt.select("a", "salt").distinct().select("a", "salt", F.lit(None).cast("long").alias("b"), F.col("a").alias("asked"))
+    asked = heads.unionByName(dealt.select("a", "salt", "b", F.col("b").alias("asked")))
+    rows = asked.join(held, F.col("asked") == F.col("cid")).select("a", "salt", "b", "shingles")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, base = None, None
