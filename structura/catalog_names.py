@@ -164,7 +164,8 @@ def module_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_orderpriority").alias("project"), "importer", F.when(F.col("l_linenumber") % 2 == 0, F.col("_r")).otherwise(F.concat("_n", F.lit(".thing"))).alias("imported"),
         F.col("c_mktsegment").alias("path"), F.col("l_linenumber").alias("lineno"), (F.col("l_linestatus") == "O").alias("in_type_checking"),
     )
-    modules = imports.select("project").distinct().join(nation.select("name").union(nation.select("region")).distinct().withColumnRenamed("name", "module"))
+    projects = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("project")).distinct()
+    modules = projects.join(nation.select("name").union(nation.select("region")).distinct().withColumnRenamed("name", "module"))
     return module_graph.module_edges(imports, modules)
 
 
