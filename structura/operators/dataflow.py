@@ -128,7 +128,7 @@ def deciding(edges: DataFrame, tests: DataFrame, definitions: DataFrame, branche
     own = branches.select(*by, "node", "variable").distinct()
     at_once = tests.where("variable is null").join(own.where("variable is null").select(*by, "node").distinct().withColumn("_at_once", F.lit(True)), [*by, "node"], "left")
     kept = tests.where("variable is not null")
-    arrived = reaching(edges, definitions, by).join(own.where("variable is not null"), [*by, "node", "variable"])
+    arrived = reaching(edges, definitions, by, kept.select(*by, "node", "variable")).join(own.where("variable is not null"), [*by, "node", "variable"])
     hit = arrived.select(*by, F.col("definition").alias("node"), "variable").distinct().withColumn("_later", F.lit(True))
     later = kept.join(hit, [*by, "node", "variable"], "left")
     out = at_once.withColumn("branches", F.coalesce("_at_once", F.lit(False))).drop("_at_once")

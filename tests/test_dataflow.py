@@ -65,3 +65,21 @@ def test_small_programs_are_written_once(spark, monkeypatch):
     got = dataflow.reaching(n.where("node < 29").selectExpr("fn", "node AS origin", "node + 1 AS end"), n.where("node = 0").selectExpr("fn", "node", "'v' AS variable"), ["fn"])
     assert got.count() == 300 * 29 and got.where("definition <> 0").isEmpty()
     assert len(rounds) <= 2
+
+
+def test_only_tests_are_followed(spark, monkeypatch):
+    """Of 40 definitions in a row one keeps a type test: its way alone is found, and ends where the variable is set again."""
+    found = []
+
+    def counted(*args, own=dataflow.reaching):
+        found.append(own(*args))
+        return found[-1]
+
+    monkeypatch.setattr(dataflow, "reaching", counted)
+    nodes = spark.range(40).selectExpr("'f' AS fn", "cast(id as int) AS node")
+    sets = nodes.selectExpr("fn", "node", "if(node in (10, 20), 't', concat('v', node)) AS variable")
+    tests = nodes.where("node in (10, 30)").selectExpr("fn", "node", "'t' AS variable")
+    for branch, want in ((15, True), (20, True), (21, False)):
+        got = dataflow.deciding(nodes.where("node < 39").selectExpr("fn", "node AS origin", "node + 1 AS end"), tests, sets, nodes.where(f"node = {branch}").selectExpr("fn", "node", "'t' AS variable"), ["fn"])
+        assert {r.node: r.branches for r in got.collect()} == {10: want, 30: False}
+        assert found.pop().count() == 10
