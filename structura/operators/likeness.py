@@ -1,4 +1,7 @@
-"""Likest names without comparing all rows with all: equal names are compared once, so work grows with the different names of a block."""
+"""Likest names without comparing all rows with all: equal names are compared once, so work grows with the different names of a block.
+
+Pairs of names are never rows: a name meets lists of up to LIST others of its block and keeps the best of each list.
+"""
 
 from __future__ import annotations
 
@@ -10,19 +13,32 @@ from pyspark.sql import functions as F
 from structura.operators.selection import top_k
 
 
+#: Names in a list that a name is compared with at once.
+LIST = 512
+
+
 def likest_names(rows: DataFrame, by: Sequence[str], identity: str, name: str, score: Callable[[Column, Column], Column], k: int) -> DataFrame:
     """(source_id, target_id, score, rank): for each row the k others of its block (columns by) with the likest names, ties by identity.
 
     Rows of a block with equal names are a class: scores are of pairs of classes, each class shows its first k + 1 identities
-    and keeps the k + 1 best of what it meets, its own among them; a row then leaves itself out. Identities are unique; rows with a
-    null in a block's columns have no partners. An empty table gives no rows.
+    and keeps the k + 1 best of what it meets, its own among them; a row then leaves itself out. The best k + 1 classes, ties by
+    their first identity, hold the best k + 1 identities. Identities are unique; rows with a null in a block's columns have no
+    partners. An empty table gives no rows.
     """
     by = list(by)
     blocks = rows.select(*by, F.col(identity).alias("source_id"), F.col(name).alias("name")).dropna(subset=[*by, "name"])
     shown = top_k(blocks, [*by, "name"], ["source_id"], k + 1).groupBy(*by, "name").agg(F.array_sort(F.collect_list("source_id")).alias("ids"))
-    others = shown.withColumnRenamed("name", "other")
-    met = shown.select(*by, "name").join(others, by).withColumn("score", F.round(score(F.col("name"), F.col("other")), 6))
-    best = top_k(met.select(*by, "name", "score", F.explode("ids").alias("target_id")), [*by, "name"], [F.desc("score"), "target_id"], k + 1)
+    # Names of a block are dealt to as many lists as it needs. Comparing takes long for the few bytes it reads, so its partitions are
+    # fixed on both sides, not merged by their sizes.
+    spread = lambda d: d.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by, "_list")
+    sizes = shown.groupBy(*by).agg(F.ceil(F.count("*") / LIST).alias("_lists"))
+    dealt = shown.join(sizes, by)
+    lists = spread(dealt.withColumn("_list", F.pmod(F.xxhash64("name"), F.col("_lists")))).groupBy(*by, "_list").agg(F.collect_list(F.struct(F.col("name").alias("other"), "ids")).alias("others"))
+    asked = spread(dealt.select(*by, "name", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_lists") - 1)).alias("_list")))
+    scored = F.transform("others", lambda o: F.struct((-F.round(score(F.col("name"), o["other"]), 6)).alias("less"), o["ids"].alias("ids")))
+    met = asked.join(lists, [*by, "_list"]).select(*by, "name", F.slice(F.sort_array(scored), 1, k + 1).alias("some"))
+    best = met.select(*by, "name", F.explode("some").alias("b")).select(*by, "name", (-F.col("b.less")).alias("score"), F.explode("b.ids").alias("target_id"))
+    best = top_k(best, [*by, "name"], [F.desc("score"), "target_id"], k + 1)
     lists = best.groupBy(*by, "name").agg(F.array_sort(F.collect_list(F.struct("rank", "target_id", "score"))).alias("best"))
     own = blocks.join(lists, [*by, "name"]).select("source_id", F.slice(F.filter("best", lambda x: x["target_id"] != F.col("source_id")), 1, k).alias("best"))
     return own.select("source_id", F.posexplode("best").alias("at", "b")).select("source_id", "b.target_id", "b.score", (F.col("at") + 1).alias("rank"))
