@@ -231,16 +231,16 @@ def doc_token_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def multiset_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Word bags of each turn against the next one's."""
-    words = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}_]+"), lambda x: x != "")
-    turns = table(spark, sf_dir, "conversations").select(F.struct("conv_id", "turn").alias("first"), F.struct("conv_id", (F.col("turn") - 1).alias("turn")).alias("then"), words.alias("w"))
-    sides = turns.select(F.explode(F.array(F.struct(F.col("first").alias("key"), F.lit(0).alias("side")), F.struct(F.col("then").alias("key"), F.lit(1).alias("side")))).alias("k"), "w")
-    # Both bags of a pair of turns come to one task with the one exchange: counting words and comparing bags are two aggregates there.
-    each = sides.select("k.key.conv_id", "k.key.turn", "k.side", "w").dropna(subset=["conv_id", "turn"]).repartition("conv_id", "turn").select("conv_id", "turn", "side", F.explode_outer("w").alias("t"))
-    count = lambda side: F.count(F.when(F.col("side") == side, F.col("t")))
-    bags = each.groupBy("conv_id", "turn", "t").agg(count(0).alias("x"), count(1).alias("y"), F.min("side").alias("first"), F.max("side").alias("last"))
-    sums = bags.groupBy("conv_id", "turn").agg(F.sum(F.least("x", "y")).alias("lo"), F.sum(F.greatest("x", "y")).alias("hi"), F.sum("x").alias("nx"), F.sum("y").alias("ny"), F.min("first").alias("first"), F.max("last").alias("last"))
-    score = F.when((F.col("nx") == 0) | (F.col("ny") == 0), F.lit(0.0)).otherwise(F.round(F.col("lo") / F.col("hi"), 6))
-    return sums.where("first < last").select("conv_id", "turn", score.alias("score"))
+    turns = table(spark, sf_dir, "conversations").select(F.struct("conv_id", "turn").alias("first"), F.struct("conv_id", (F.col("turn") - 1).alias("turn")).alias("then"), F.lower("text").alias("text"))
+    sides = turns.select(F.explode(F.array(F.struct(F.col("first").alias("key"), F.lit(0).alias("side")), F.struct(F.col("then").alias("key"), F.lit(1).alias("side")))).alias("k"), "text")
+    each = sides.select("k.key.conv_id", "k.key.turn", "k.side", "text").dropna(subset=["conv_id", "turn"])
+    # Comparing takes long for the few bytes it reads, so its partitions are fixed, not merged by their sizes.
+    each = each.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "conv_id", "turn")
+    # Texts of both sides of a pair of turns come to one row, so words never fill a task's hash table: a task holds a pair's.
+    text = lambda side: F.concat_ws(" ", F.collect_list(F.when(F.col("side") == side, F.col("text"))))
+    pairs = each.groupBy("conv_id", "turn").agg(text(0).alias("a"), text(1).alias("b"), F.min("side").alias("first"), F.max("side").alias("last")).where("first < last")
+    words = lambda c: F.filter(F.split(c, r"[^\p{L}\p{N}_]+"), lambda x: x != "")
+    return pairs.select("conv_id", "turn", words("a").alias("a"), words("b").alias("b")).select("conv_id", "turn", C.bag_likeness("a", "b").alias("score"))
 
 
 @query(
