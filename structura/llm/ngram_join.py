@@ -6,7 +6,8 @@ first, ties by hash), so what thousands of texts share comes late; any order giv
 
 Equal sets are one class. Classes of equal size with equal prefixes are one group, and candidate pairs are pairs of groups: they
 share a prefix token, their sizes allow the likeness, so does what comes after the shared token, and, for groups of one, so do
-256-bit parities of their tokens. Pairs expand to members, whose full sets are compared.
+256-bit parities of their tokens. Pairs expand to members. Parities of as many bits as a set's size asks for then leave out what
+256 bits can't tell apart in long texts; of the pairs that remain, which are links or of nearly that likeness, the full sets are compared.
 
 Tokens that a few groups share bring these together in pairs. Others are dealt to buckets by size. Only connected texts are
 asked for, so a dense bucket isn't taken apart into all its pairs at first: its first and last group, as leaders, meet the others (pairs grow in proportion to the tokens), and so do the first member of a group and its others. A
@@ -88,6 +89,20 @@ def least_shared(a, b, need: int = NEED):
     return -(-need * (a + b) // (100 + need))
 
 
+def parities(tokens: np.ndarray) -> np.ndarray:
+    """Of each class of tokens by their lowest bits, whether a set has an odd number: as many bits (a power of two, 256 at least) as tokens or more, in 64-bit words."""
+    m = max(256, 1 << len(tokens).bit_length())
+    odd = np.bincount((tokens & np.uint64(m - 1)).astype(np.int64), minlength=m) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def folded(words: np.ndarray, length: int) -> np.ndarray:
+    """Parities in fewer words, as if made so."""
+    while len(words) > length:
+        words = words[: len(words) // 2] ^ words[len(words) // 2 :]
+    return words
+
+
 def sketch(rows: DataFrame, words: int) -> np.ndarray:
     """For every slot the number of (text, token) pairs in the whole corpus, up to 2**32 - 1."""
     width = (1 << SLOT_BITS) // PIECES
@@ -119,7 +134,7 @@ def sketch(rows: DataFrame, words: int) -> np.ndarray:
 
 
 def prefixes(rows: DataFrame, words: int, need: int, counts: np.ndarray) -> DataFrame:
-    """doc_id, n, fp (a 128-bit hash of the set), prefix (tokens in order), b0 to b3 (parities of the set's tokens)."""
+    """doc_id, n, fp (a 128-bit hash of the set), prefix (tokens in order), b0 to b3 (parities of the set's tokens), bits (longer ones of larger sets)."""
     shared = rows.sparkSession.sparkContext.broadcast(counts.tobytes())
 
     def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,21 +142,22 @@ def prefixes(rows: DataFrame, words: int, need: int, counts: np.ndarray) -> Data
 
         often = np.frombuffer(shared.value, np.uint32)
         for batch in batches:
-            n, fps, firsts, bits = [], [], [], []
+            n, fps, firsts, short, long = [], [], [], [], []
             for v in byte_views(batch.column("text")):
                 own = shingles(bytes(v), words)
                 n.append(len(own))
                 fps.append(xxhash.xxh3_128_digest(own.tobytes()))
                 firsts.append(own[np.lexsort((own, often[slots(own)]))[: prefix_length(len(own), need)]].tobytes())
-                odd = np.bincount((own & np.uint64(255)).astype(np.int64), minlength=256) & 1
-                bits.append(np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64))
-            quarters = np.array(bits, np.int64).reshape(-1, 4)
+                odd = parities(own)
+                short.append(folded(odd, 4).view(np.int64))
+                long.append(odd.tobytes() if len(odd) > 4 else None)
+            quarters = np.array(short, np.int64).reshape(-1, 4)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n, pa.int32()), pa.array(fps, pa.binary()), pa.array(firsts, pa.binary()), *[pa.array(quarters[:, k]) for k in range(4)]],
-                names=["doc_id", "n", "fp", "prefix", "b0", "b1", "b2", "b3"],
+                [batch.column("doc_id"), pa.array(n, pa.int32()), pa.array(fps, pa.binary()), pa.array(firsts, pa.binary()), *[pa.array(quarters[:, k]) for k in range(4)], pa.array(long, pa.binary())],
+                names=["doc_id", "n", "fp", "prefix", "b0", "b1", "b2", "b3", "bits"],
             )
 
-    return rows.mapInArrow(lean(stage), "doc_id long, n int, fp binary, prefix binary, b0 long, b1 long, b2 long, b3 long")
+    return rows.mapInArrow(lean(stage), "doc_id long, n int, fp binary, prefix binary, b0 long, b1 long, b2 long, b3 long, bits binary")
 
 
 def entries(groups: DataFrame) -> DataFrame:
@@ -180,6 +196,29 @@ def _positions(a: str, b: str, need: int) -> Column:
     return F.expr(f"least({a}.n - {a}.pos, {b}.n - {b}.pos) >= {least_shared_sql(f'({a}.n + {b}.n)', need)}")
 
 
+def likely(pairs: DataFrame, named: DataFrame, need: int) -> DataFrame:
+    """Those pairs (a, b) of classes that may be alike by their long parities: the shorter ones of two sets differ in no more bits than the sets in tokens."""
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left, right = (byte_views(batch.column(c)) for c in ("x_bits", "y_bits"))
+            total = batch.column("total").to_numpy()
+            apart = total - 2 * least_shared(total, 0, need)  # what sets alike differ in at most
+            keep = np.ones(batch.num_rows, bool)
+            for k, (v, w) in enumerate(zip(left, right)):
+                if len(v) and len(w):
+                    x, y = np.frombuffer(v, np.uint64), np.frombuffer(w, np.uint64)
+                    least = min(len(x), len(y))
+                    keep[k] = int(np.bitwise_count(folded(x, least) ^ folded(y, least)).sum()) <= apart[k]
+            at = pa.array(np.flatnonzero(keep))
+            yield pa.RecordBatch.from_arrays([batch.column(c).take(at) for c in ("a", "b")], names=["a", "b"])
+
+    own = named.select("cid", "n", "bits")
+    x, y = (own.select(*[F.col(c).alias(f"{s}_{c}") for c in own.columns]) for s in "xy")
+    both = pairs.join(x, F.col("a") == F.col("x_cid")).join(y, F.col("b") == F.col("y_cid"))
+    return both.select("a", "b", F.expr("x_n + y_n").cast("long").alias("total"), "x_bits", "y_bits").mapInArrow(lean(check), "a long, b long")
+
+
 class Sets:
     """The token sets of classes, from the texts, written once for each class that is asked for."""
 
@@ -331,19 +370,19 @@ class _Groups:
 
 
 def linked(rows: DataFrame, classes: DataFrame, named: DataFrame, words: int, need: int, scratch: Scratch) -> DataFrame:
-    """(node, label): the component of every class (cid, n, prefix, b0 to b3) that is linked with another. named: cid, fp, rep."""
+    """(node, label): the component of every class (cid, n, prefix, b0 to b3) that is linked with another. named: cid, fp, rep, n, bits."""
     groups = _Groups(classes, need, scratch)
     scratch.drop("classes")
     sets = Sets(rows, named, words, scratch)
     sparse, shared = groups.shared()
-    pairs = scratch.save(groups.leading(shared), "leading")
+    pairs = scratch.save(likely(groups.leading(shared), named, need), "leading")
     links = compared(pairs, sets, need, "leading_links")
     joined = components(links, scratch)
     tried = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     for turn in ("drawn", "rest"):
         known = groups.labelled(joined, f"{turn}_known")
         met = groups.open_pairs(sparse, shared, known, turn == "drawn", turn)
-        pairs = scratch.save(groups.expanded(met, known).join(tried, ["a", "b"], "left_anti"), turn)
+        pairs = scratch.save(likely(groups.expanded(met, known).join(tried, ["a", "b"], "left_anti"), named, need), turn)
         if pairs.isEmpty():
             continue
         links = links.unionByName(compared(pairs, sets, need, f"{turn}_links"))
@@ -366,10 +405,10 @@ def similar_sets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     counts = sketch(rows, words)
     docs = scratch.save(prefixes(rows, words, need, counts), "docs")
     kept = ["n", "prefix", "b0", "b1", "b2", "b3"]
-    classes = docs.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("rep"), *[F.min(c).alias(c) for c in kept])
+    classes = docs.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("rep"), *[F.min(c).alias(c) for c in [*kept, "bits"]])
     classes = scratch.save(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
     slim = scratch.save(docs.select("doc_id", "n", "fp"), "own")
-    named = scratch.save(classes.select("cid", "fp", "rep"), "class_names")
+    named = scratch.save(classes.select("cid", "fp", "rep", "n", "bits"), "class_names")
     scratch.drop("docs")
     joined = linked(rows, classes, named, words, need, scratch)
     labels = scratch.save(named.join(joined, F.col("cid") == F.col("node"), "left").select("fp", "rep", F.coalesce("label", "cid").alias("label")), "labels")

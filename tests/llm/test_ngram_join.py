@@ -148,3 +148,38 @@ def test_order_of_slots():
     tokens = J.shingles(b"A b  c\td a B c")
     assert len(tokens) == len(grams("a b c d a b c")) and (np.diff(tokens.astype(object)) > 0).all()
     assert (np.diff(J.slots(tokens)) >= 0).all()
+
+
+def test_long_parities():
+    rng = np.random.default_rng(6)
+    for n, m in ((0, 0), (3, 5), (255, 300), (256, 1000), (3000, 3100), (700, 9000)):
+        both = rng.integers(0, 2**64, n, np.uint64)
+        a, b = (np.unique(np.concatenate((both, rng.integers(0, 2**64, k, np.uint64)))) for k in (7, m))
+        x, y = J.parities(a), J.parities(b)
+        assert len(x) >= 4 and 64 * len(x) >= min(len(a), 256) and 64 * len(y) >= len(b)
+        least = min(len(x), len(y))
+        assert np.bitwise_count(J.folded(x, least) ^ J.folded(y, least)).sum() <= len(np.setxor1d(a, b))
+        odd = np.bincount((b & np.uint64(255)).astype(int), minlength=256) & 1
+        assert (J.folded(y, 4).view(np.uint8) == np.packbits(odd.astype(np.uint8), bitorder="little")).all()
+
+
+def test_long_texts_that_differ_are_not_compared(spark, monkeypatch):
+    """Pairs of long texts share their rarest tokens and differ in blocks that are frequent; 256 parities tell none of them apart."""
+    rng = random.Random(7)
+    blocks = [[f"b{rng.randrange(9000)}" for _ in range(300)] for _ in range(4)]
+    rows = []
+    for k in range(10):
+        base = [f"t{k}x{rng.randrange(9000)}" for _ in range(1200)]
+        rows += [(2 * k + side, " ".join(base + blocks[(k + side) % 4])) for side in (0, 1)]
+    rows.append((90, rows[0][1] + " and more"))
+    compared, asked = J.compared, []
+
+    def counted(pairs, *rest):
+        asked.extend(tuple(r) for r in pairs.collect())
+        return compared(pairs, *rest)
+
+    monkeypatch.setattr(J, "compared", counted)
+    got = joined(spark, rows)
+    assert got == expected(rows)
+    assert [r[2] for r in got if r[0] == 90] == [0]
+    assert len(asked) == 1  # the pair that links
