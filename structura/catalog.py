@@ -164,9 +164,15 @@ def _likest(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     return likeness.likest_names(p, ["p_brand", "p_size"], "p_partkey", "name", C.name_similarity, k)
 
 
-@query("name_similarity_topk", _PAIRS_SQL + "SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY source_id ORDER BY score DESC, target_id) AS INT) AS rank FROM s) WHERE rank <= 3")
+#: All parts, whatever their brand and size.
+_ALL_PAIRS_SQL = _PAIRS_SQL.replace("a.p_brand = b.p_brand AND a.p_size = b.p_size AND ", "")
+
+
+@query("name_similarity_topk", _ALL_PAIRS_SQL + "SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY source_id ORDER BY score DESC, target_id) AS INT) AS rank FROM s) WHERE rank <= 3")
 def name_similarity_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _likest(spark, sf_dir, 3)
+    """Each part's three likest of all others; parts without a name or type come last."""
+    p = table(spark, sf_dir, "part").select("p_partkey", F.concat("p_name", F.lit(" "), "p_type").alias("name"))
+    return likeness.likest_names(p, [], "p_partkey", "name", C.name_similarity, 3).union(likeness.nameless_pairs(p, "p_partkey", "name", 3))
 
 
 @query(
