@@ -29,16 +29,19 @@ def likest_names(rows: DataFrame, by: Sequence[str], identity: str, name: str, s
     by = list(by)
     blocks = rows.select(*by, F.col(identity).alias("source_id"), F.col(name).alias("name")).dropna(subset=[*by, "source_id", "name"])
     shown = top_k(blocks, [*by, "name"], ["source_id"], k + 1).groupBy(*by, "name").agg(F.array_sort(F.collect_list("source_id")).alias("ids"))
-    # Names of a block are dealt to as many lists as it needs. Comparing takes long for the few bytes it reads, so its partitions are
-    # fixed on both sides, not merged by their sizes.
-    spread = lambda d: d.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by, "_list")
-    sizes = shown.groupBy(*by).agg(F.ceil(F.count("*") / LIST).alias("_lists"))
-    dealt = shown.join(sizes, by) if by else shown.crossJoin(F.broadcast(sizes))  # one row
+    # Names of a block are dealt to as many lists as it needs, and those that ask to as many parts, so a list and a part that meet are
+    # of about LIST names each. Comparing takes long for the few bytes it reads, so its partitions are fixed on both sides, not merged
+    # by their sizes.
     full = (F.size("ids") > k) & (F.length("name") < 10**6)
-    lists = spread(dealt.withColumn("_list", F.pmod(F.xxhash64("name"), F.col("_lists")))).groupBy(*by, "_list").agg(F.collect_list(F.struct(F.col("name").alias("other"), "ids")).alias("others"))
-    asked = spread(dealt.where(~full).select(*by, "name", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_lists") - 1)).alias("_list")))
+    spread = lambda d: d.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by, "_list", "_part")
+    sizes = shown.groupBy(*by).agg(F.ceil(F.count("*") / LIST).alias("_lists"), F.greatest(F.ceil(F.count_if(~full) / LIST), F.lit(1)).alias("_parts"))
+    dealt = shown.join(sizes, by) if by else shown.crossJoin(F.broadcast(sizes))  # one row
+    place = lambda n: F.pmod(F.xxhash64("name"), F.col(n))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    lists = spread(dealt.select(*by, "name", "ids", place("_lists").alias("_list"), each("_parts").alias("_part"))).groupBy(*by, "_list", "_part").agg(F.collect_list(F.struct(F.col("name").alias("other"), "ids")).alias("others"))
+    asked = spread(dealt.where(~full).select(*by, "name", place("_parts").alias("_part"), each("_lists").alias("_list")))
     scored = F.transform("others", lambda o: F.struct((-F.round(score(F.col("name"), o["other"]), 6)).alias("less"), o["ids"].alias("ids")))
-    met = asked.join(lists, [*by, "_list"]).select(*by, "name", F.slice(F.sort_array(scored), 1, k + 1).alias("some"))
+    met = asked.join(lists, [*by, "_list", "_part"]).select(*by, "name", F.slice(F.sort_array(scored), 1, k + 1).alias("some"))
     best = met.select(*by, "name", F.explode("some").alias("b")).select(*by, "name", (-F.col("b.less")).alias("score"), F.explode("b.ids").alias("target_id"))
     best = best.union(dealt.where(full).select(*by, "name", F.lit(1.0).alias("score"), F.explode("ids").alias("target_id")))
     best = top_k(best, [*by, "name"], [F.desc("score"), "target_id"], k + 1)

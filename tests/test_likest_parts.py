@@ -1,6 +1,9 @@
 import random
 
+import pytest
+
 from structura.catalog import ORACLE_SQL, QUERIES
+from structura.operators import likeness
 from tests.test_likeness import score
 
 
@@ -40,3 +43,10 @@ def test_rare_and_frequent_names_over_a_whole_table(spark, tmp_path):
         few = [(k, "a" * k, "x", "t", k) for k in range(n)] + [(k, None, "x", "t", 1) for k in (-1, 10, 11)]
         assert got(spark, tmp_path / f"few{n}", few) == wanted(few)
     assert got(spark, tmp_path / "none", rows[:0]) == set()
+
+
+@pytest.mark.parametrize("length", [5, 2])
+def test_parts_that_ask_meet_every_list(spark, tmp_path, monkeypatch, length):
+    monkeypatch.setattr(likeness, "LIST", length)
+    rows = [(k, f"{'abc'[k % 3]}{'xyzuv'[k % 5]} {k * k % 17}", "x", "t", 1) for k in range(30)] + [(50 + k, "ax 0", "y", "t", 2) for k in range(4)]
+    assert got(spark, tmp_path, rows) == wanted(rows)
